@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -97,7 +98,7 @@ class Counter:
 def texts_of(batch: pa.RecordBatch, name: str) -> Iterator[tuple[int, int, list[str]]]:
     """Row ranges of a few MB with their texts; null counts as empty."""
     values = column(batch, name)
-    sizes = np.array([0, *np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.binary_length(values), 0), np.int64))], np.int64)
+    sizes = np.array([0, *np.cumsum(np.asarray(pc.fill_null(pc.binary_length(values), 0), np.int64))], np.int64)
     for i, j in groups(sizes):
         yield i, j, [x or "" for x in values.slice(i, j - i).to_pylist()]
 
