@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from evidara.llm.bpe import encode_decode
 from evidara.llm.common import table
+from evidara.llm.decontamination import decontaminate
 from evidara.llm.token_counts import token_counts
 
 
@@ -20,9 +21,14 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), digests=True)
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
     "op7_bpe": op7_bpe,
+    "op8_decontamination": op8_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {}
