@@ -1,0 +1,27 @@
+"""Connected components of an edge table by min-label propagation with pointer jumping; nothing goes to the driver."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from evidara.llm.common import written
+
+
+def components(edges: DataFrame, most: int = 60) -> DataFrame:
+    """edges (a, b) of longs -> (v, root): for every end of an edge the smallest vertex that it reaches.
+
+    Each round takes the least label among neighbours, then the label's own label, and writes the labels; chains halve,
+    so rounds are about the logarithm of the longest path. No edges give no rows; loops and repeated edges do no harm.
+    """
+    both = written(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), "edges")
+    labels = written(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("l")), "labels")
+    for _ in range(most):
+        near = both.join(labels.select(F.col("v").alias("b"), "l"), "b").groupBy(F.col("a").alias("v")).agg(F.min("l").alias("m"))
+        lower = labels.join(near, "v").select("v", "l", F.least("l", "m").alias("m"))
+        jump = labels.select(F.col("v").alias("m"), F.col("l").alias("j"))
+        after = written(lower.join(jump, "m").select("v", F.least("m", "j").alias("l"), (F.col("l") > F.least("m", "j")).alias("moved")), "labels")
+        labels = after.select("v", "l")
+        if after.where("moved").isEmpty():
+            return labels.withColumnRenamed("l", "root")
+    raise RuntimeError(f"components not settled after {most} rounds")

@@ -10,9 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from evidara.llm.bpe import encode_decode
 from evidara.llm.common import table
 from evidara.llm.decontamination import decontaminate
+from evidara.llm.jaccard_join import near_duplicates
 from evidara.llm.token_counts import token_counts
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -26,6 +31,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_jaccard_join": op2_jaccard_join,
     "op4_token_counts": op4_token_counts,
     "op7_bpe": op7_bpe,
     "op8_decontamination": op8_decontamination,
