@@ -107,7 +107,7 @@ def _profile(docs: DataFrame, size: int) -> DataFrame:
             n = len(ids)
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), keys, pa.array(ids), pa.array(np.diff(bounds)), pa.nulls(n, pa.binary())], names)
         if sketch.any():
-            parts = [zlib.compress(x.tobytes(), 1) for x in sketch.reshape(SKETCH_PARTS, -1)]
+            parts = [zlib.compress(x.astype(np.uint64).tobytes(), 1) for x in sketch.reshape(SKETCH_PARTS, -1)]
             n = len(parts)
             yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(np.arange(n)), pa.array(parts, pa.binary())], names)
 
@@ -122,7 +122,7 @@ def _levels(profile: DataFrame) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, blob in zip(column(batch, "n").to_pylist(), column(batch, "blob"), strict=True):
-                counts = np.frombuffer(zlib.decompress(blob.as_buffer()), np.uint32).astype(np.uint64)
+                counts = np.frombuffer(zlib.decompress(blob.as_buffer()), np.uint64)
                 sums[part] = sums[part] + counts if part in sums else counts
         for part, counts in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([zlib.compress(counts.tobytes(), 1)], pa.binary())], ["n", "blob"])
