@@ -11,6 +11,8 @@ from evidara.llm.bpe import encode_decode
 from evidara.llm.common import table
 from evidara.llm.decontamination import decontaminate
 from evidara.llm.jaccard_join import near_duplicates
+from evidara.llm.quality import quality_scores
+from evidara.llm.quality import train as train_quality
 from evidara.llm.token_counts import token_counts
 
 
@@ -30,11 +32,17 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_scores(docs, train_quality(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_jaccard_join": op2_jaccard_join,
     "op4_token_counts": op4_token_counts,
     "op7_bpe": op7_bpe,
     "op8_decontamination": op8_decontamination,
+    "op9_quality": op9_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {}
