@@ -14,12 +14,19 @@ from evidara.llm.jaccard_join import near_duplicates
 from evidara.llm.quality import quality_scores
 from evidara.llm.quality import train as train_quality
 from evidara.llm.token_counts import token_counts
+from evidara.llm.toxicity import toxicity_scores
+from evidara.llm.toxicity import train as train_toxicity
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity_scores(docs, train_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -39,6 +46,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_jaccard_join": op2_jaccard_join,
+    "op3_toxicity": op3_toxicity,
     "op4_token_counts": op4_token_counts,
     "op7_bpe": op7_bpe,
     "op8_decontamination": op8_decontamination,
