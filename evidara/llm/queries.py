@@ -11,6 +11,7 @@ from evidara.llm.bpe import encode_decode
 from evidara.llm.common import table
 from evidara.llm.decontamination import decontaminate
 from evidara.llm.jaccard_join import near_duplicates
+from evidara.llm.permutation_index import nearest
 from evidara.llm.quality import quality_scores
 from evidara.llm.quality import train as train_quality
 from evidara.llm.token_counts import token_counts
@@ -44,6 +45,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(docs, train_quality(docs, table(spark, sf_dir, "labels")))
 
 
+def op10_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_jaccard_join": op2_jaccard_join,
     "op3_toxicity": op3_toxicity,
@@ -51,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_bpe": op7_bpe,
     "op8_decontamination": op8_decontamination,
     "op9_quality": op9_quality,
+    "op10_permutation_index": op10_permutation_index,
 }
 
 ORACLE_SQL: dict[str, str] = {}
