@@ -17,6 +17,11 @@ from evidara.llm.quality import train as train_quality
 from evidara.llm.token_counts import token_counts
 from evidara.llm.toxicity import toxicity_scores
 from evidara.llm.toxicity import train as train_toxicity
+from evidara.llm.warc import round_trip
+
+
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "pages"))
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +55,7 @@ def op10_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_toxicity": op3_toxicity,
     "op4_token_counts": op4_token_counts,
