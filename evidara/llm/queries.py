@@ -12,6 +12,7 @@ from evidara.llm.common import table
 from evidara.llm.decontamination import decontaminate
 from evidara.llm.jaccard_join import near_duplicates
 from evidara.llm.permutation_index import nearest
+from evidara.llm.pii import personal_data
 from evidara.llm.quality import quality_scores
 from evidara.llm.quality import train as train_quality
 from evidara.llm.token_counts import token_counts
@@ -37,6 +38,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents")).drop("redacted")
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), digests=True)
 
@@ -59,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_jaccard_join": op2_jaccard_join,
     "op3_toxicity": op3_toxicity,
     "op4_token_counts": op4_token_counts,
+    "op5_pii": op5_pii,
     "op7_bpe": op7_bpe,
     "op8_decontamination": op8_decontamination,
     "op9_quality": op9_quality,
