@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from evidara.llm.bpe import encode_decode
 from evidara.llm.common import table
 from evidara.llm.decontamination import decontaminate
+from evidara.llm.html_text import extract
 from evidara.llm.jaccard_join import near_duplicates
 from evidara.llm.permutation_index import nearest
 from evidara.llm.pii import personal_data
@@ -42,6 +43,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(table(spark, sf_dir, "documents")).drop("redacted")
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), digests=True)
 
@@ -65,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op4_token_counts": op4_token_counts,
     "op5_pii": op5_pii,
+    "op6_html_text": op6_html_text,
     "op7_bpe": op7_bpe,
     "op8_decontamination": op8_decontamination,
     "op9_quality": op9_quality,
