@@ -2,11 +2,12 @@
 
 Texts become sets of 64-bit shingle hashes; equal sets are one class from the start. All sets follow one global order:
 shingles that a fixed-size count sketch finds common come last, the others by hash. Two sets can only be similar if they
-share a shingle in their prefixes of that order, so sets meet in buckets by prefix shingle. Each bucket's sets are stored
+share a shingle in their prefixes of that order, so sets meet in buckets by prefix shingle; and if each shares about half
+of a prefix of twice that length, which most sets do with no other and go no further. Each bucket's sets are stored
 in a compressed trie, and every set walks it, sharing the overlap of a common path and leaving subtrees whose remaining
 lengths can't reach the needed overlap, or that hold only sets of its own class.
 
-Buckets are bounded: those of a common shingle are cut into chunks that share a leader. Only where chunks did not grow
+Before whole sets go to the buckets, bitmaps go there that rule out most pairs for certain. Buckets are bounded: those of a common shingle are cut into chunks that share a leader. Only where chunks did not grow
 together into one class are the pairs of chunks compared too, so that a large group of near copies costs linear work
 and no link between classes is lost.
 """
@@ -21,19 +22,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidara.llm.common import NOT_SPACE, apart, column, groups, mixed, small_enough, utf8, words, written
+from evidara.llm.common import CHUNK as CHUNK_BYTES
+from evidara.llm.common import NOT_SPACE, apart, column, groups, mixed, utf8, words, written
 from evidara.llm.components import components
 
 SKETCH_BITS = 22
 SKETCH_PARTS = 64
 #: Prefix shingles in one range of the grouping step.
-RANGE = 400_000
+RANGE = 800_000
 #: Sets in one bucket, and in one chunk of a larger one.
 BUCKET, CHUNK_SETS = 512, 400
 #: Bytes of sets that one task of the trie join holds.
 TASK_BYTES = 16 << 20
-#: Ids that may be broadcast.
-SMALL = 1_000_000
+#: Ids that may be broadcast (with four times as many bucket numbers).
+SMALL = 500_000
 #: Set ids that a task remembers, to handle copies once.
 SEEN = 100_000
 
@@ -139,75 +141,100 @@ def _levels(profile: DataFrame) -> np.ndarray:
 
 
 def _grouped(docs: DataFrame, levels, size: int, percent: int, ranges: int) -> DataFrame:
-    """Buckets: kind 0 (bucket, sid, n) bounded; kind 1 of common shingles, any number of sets."""
-    names = ["r", "hot", "tokens", "sids", "sizes"]
+    """Where sets meet, as rows (kind, bucket, sid, n, c).
+
+    kind 0: bounded buckets of prefix shingles; kind 1: buckets of common shingles, with any number of sets; kind 2: no
+    bucket. c counts a set's shingles, within twice its prefix, that another set of fitting size has there too.
+    """
+    names = ["r", "kind", "tokens", "sids", "sizes", "base"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = levels.value
         for _, ids, values, bounds, fresh in _sets(batches, size, set()):
-            tokens, sids, sizes, hots = [], [], [], []
+            tokens, sids, sizes, hots, base = [], [], [], [], []
             for i in np.flatnonzero(fresh):
                 own = values[bounds[i] : bounds[i + 1]]
                 lv = level[(own & np.uint64(len(level) - 1)).astype(np.int64)]
-                p = prefix(len(own), percent)
+                n = len(own)
+                p = prefix(n, percent)
+                q = p - 1 + max(1, p - 1)
                 if lv.any():
-                    order = np.argsort(lv, kind="stable")[:p]
+                    order = np.argsort(lv, kind="stable")[:q]
                     own, lv = own[order], lv[order]
-                tokens.append(own[:p])
-                hots.append(lv[:p] > 0)
-                sids.append(np.full(p, ids[i]))
-                sizes.append(np.full(p, len(values[bounds[i] : bounds[i + 1]]), np.int32))
+                tokens.append(own[:q])
+                hots.append(lv[:q] > 0)
+                sids.append(np.full(q, ids[i]))
+                sizes.append(np.full(q, n, np.int32))
+                base.append(np.arange(q) < p)
             if not tokens:
                 continue
-            token, hot, sid, n = (np.concatenate(x) for x in (tokens, hots, sids, sizes))
+            token, hot, sid, n, first = (np.concatenate(x) for x in (tokens, hots, sids, sizes, base))
             r = ((token >> np.uint64(24)) % np.uint64(ranges)).astype(np.int64)
-            r[hot] = np.abs(sid[hot] % ranges)
+            r[hot] = sid[hot] % ranges
             key = r * 2 + hot
             order = np.argsort(key, kind="stable")
             starts = np.flatnonzero(np.r_[True, np.diff(key[order]) != 0])
             rows = [(int(key[order[a]]), order[a:b]) for a, b in zip(starts, [*starts[1:], len(order)], strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k // 2 for k, _ in rows], pa.int32()), pa.array([bool(k % 2) for k, _ in rows]), *(pa.array([x[at].tobytes() for _, at in rows], pa.binary()) for x in (token, sid, n))], names
-            )
+            out: list[list] = [[], [], [], []]
+            for _, at in rows:  # each set's shingles are a run
+                run = np.flatnonzero(np.r_[True, sid[at][1:] != sid[at][:-1]])
+                for column_, x in zip(out, (token[at], sid[at][run], np.stack((np.diff(np.r_[run, len(at)]), n[at][run]), 1).astype(np.int32), first[at]), strict=True):
+                    column_.append(x.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([k // 2 for k, _ in rows], pa.int32()), pa.array([k % 2 for k, _ in rows], pa.int32()), *(pa.array(x, pa.binary()) for x in out)], names)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
         for batch in batches:
-            for r, hot, t, s, n in zip(*(column(batch, x) for x in names), strict=True):
-                part = (np.frombuffer(t.as_buffer(), np.uint64), np.frombuffer(s.as_buffer(), np.int64), np.frombuffer(n.as_buffer(), np.int32))
-                if hot.as_py():
-                    yield _rows(1, part[0].view(np.int64), part[1], part[2])
+            for r, kind, t, s, m, f in zip(*(column(batch, x) for x in names), strict=True):
+                runs = np.frombuffer(m.as_buffer(), np.int32).reshape(-1, 2)
+                sids = np.frombuffer(s.as_buffer(), np.int64)
+                part = (np.frombuffer(t.as_buffer(), np.uint64), np.repeat(sids, runs[:, 0]), np.repeat(runs[:, 1], runs[:, 0]), np.frombuffer(f.as_buffer(), bool))
+                if kind.as_py():
+                    yield _rows(2, np.zeros(len(sids), np.int64), sids, runs[:, 1], runs[:, 0])
+                    token, sid, n, first = part
+                    yield _rows(1, token[first].view(np.int64), sid[first], n[first], np.zeros(first.sum(), np.int64))
                 else:
                     held.setdefault(r.as_py(), []).append(part)
         for parts in held.values():
-            token, sid, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+            token, sid, n, first = (np.concatenate(x) for x in zip(*parts, strict=True))
             order = np.lexsort((sid, n, token))
-            token, sid, n = token[order], sid[order], n[order].astype(np.int64)
+            token, sid, n, first = token[order], sid[order], n[order].astype(np.int64), first[order]
             new = np.r_[True, (token[1:] != token[:-1]) | (sid[1:] != sid[:-1])]
-            token, sid, n = token[new], sid[new], n[new]
-            starts = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (100 * n[:-1] < percent * n[1:])])
-            sizes = np.diff(np.r_[starts, len(token)])
-            keep = np.repeat(sizes > 1, sizes)
-            token, sid, n = token[keep], sid[keep], n[keep]
-            sizes = sizes[sizes > 1]
-            if not len(sizes):
+            token, sid, n, first, sizes = _shared(token[new], sid[new], n[new], first[new], percent)
+            if not len(token):
+                continue
+            own, at, c = np.unique(sid, return_index=True, return_counts=True)
+            yield _rows(2, np.zeros(len(own), np.int64), own, n[at], c)
+            token, sid, n, first, sizes = _shared(token[first], sid[first], n[first], first[first], percent)
+            if not len(token):
                 continue
             starts = np.cumsum(sizes) - sizes
             with np.errstate(over="ignore"):  # equal lists of sets are one bucket
                 bucket = mixed(np.add.reduceat(mixed(sid.view(np.uint64)), starts) + sizes.astype(np.uint64)).view(np.int64)
             _, once = np.unique(bucket, return_index=True)
-            first = np.zeros(len(sizes), bool)
-            first[once] = True
-            keep = np.repeat(first, sizes)
-            yield _rows(np.repeat((sizes > BUCKET).astype(np.int32), sizes)[keep], np.repeat(bucket, sizes)[keep], sid[keep], n[keep])
+            keep = np.zeros(len(sizes), bool)
+            keep[once] = True
+            keep = np.repeat(keep, sizes)
+            yield _rows(np.repeat((sizes > BUCKET).astype(np.int32), sizes)[keep], np.repeat(bucket, sizes)[keep], sid[keep], n[keep], np.zeros(keep.sum(), np.int64))
 
-    spread = docs.mapInArrow(cut, "r int, hot boolean, tokens binary, sids binary, sizes binary").repartition(ranges, "r")
-    return spread.mapInArrow(meet, "kind int, bucket long, sid long, n long").distinct()
+    spread = docs.mapInArrow(cut, "r int, kind int, tokens binary, sids binary, sizes binary, base binary").repartition(ranges, "r")
+    rows = spread.mapInArrow(meet, "kind int, bucket long, sid long, n long, c long")
+    return rows.groupBy("kind", "bucket", "sid", "n").agg(F.sum("c").alias("c"))
 
 
-def _rows(kind, bucket: np.ndarray, sid: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+def _shared(token: np.ndarray, sid: np.ndarray, n: np.ndarray, first: np.ndarray, percent: int) -> tuple:
+    """Of entries in order of shingle and size, those that meet another set of fitting size; and the sizes of the meetings."""
+    if not len(token):
+        return token, sid, n, first, n
+    starts = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (100 * n[:-1] < percent * n[1:])])
+    sizes = np.diff(np.r_[starts, len(token)])
+    keep = np.repeat(sizes > 1, sizes)
+    return token[keep], sid[keep], n[keep], first[keep], sizes[sizes > 1]
+
+
+def _rows(kind, bucket: np.ndarray, sid: np.ndarray, n: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
     kind = np.full(len(sid), kind, np.int32) if np.isscalar(kind) else kind
-    return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(bucket), pa.array(sid), pa.array(n.astype(np.int64))], ["kind", "bucket", "sid", "n"])
+    return pa.RecordBatch.from_arrays([pa.array(kind), *(pa.array(x.astype(np.int64)) for x in (bucket, sid, n, c))], ["kind", "bucket", "sid", "n", "c"])
 
 
 class Trie:
@@ -301,27 +328,120 @@ def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
     return out
 
 
-def _trie_join(buckets: DataFrame, sets: DataFrame, percent: int, size_bytes: int) -> DataFrame:
-    """Edges (a, b) that span the classes of each bucket (bucket, sid)."""
-    tasks = max(12, -(-size_bytes // TASK_BYTES))
+def bitmap(values: np.ndarray) -> np.ndarray:
+    """One bit for each cell: whether an odd number of the set's shingles fall there. A power of two of cells by the set's
+    size; halves laid over each other are the bitmap of half the cells."""
+    cells = 1 << min(14, max(8, int(4 * len(values)).bit_length()))
+    return np.packbits(np.bincount((values & np.uint64(cells - 1)).astype(np.int64), minlength=cells).astype(np.uint8) & 1)
+
+
+def plausible(sizes: np.ndarray, maps: list[np.ndarray], percent: int) -> np.ndarray:
+    """For each of some sets the first of its class, where classes join pairs that sizes and bitmaps don't rule out: two sets
+    differ in at least as many shingles as their bitmaps have different bits."""
+    m = len(sizes)
+    order = np.argsort(sizes, kind="stable")
+    n = sizes[order]
+    width = np.array([len(maps[i]) for i in order])
+    same = {w: np.stack([maps[i] for i in order[width == w]]).view(np.uint64) for w in np.unique(width)}
+    half = {w: (x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]) for w, x in same.items() if w > 32}
+    base = {w: int(np.searchsorted(width, w)) for w in same}
+    classes = np.arange(m)
+    ends = np.searchsorted(n, (100 * n) // percent, "right")
+    for i in range(m - 1):
+        own = same[width[i]][i - base[width[i]]]
+        for w, of in ((width[i], same), (2 * width[i], half)):
+            if w not in of:
+                continue
+            a, z = max(i + 1, base[w]), min(ends[i], base[w] + len(of[w]))
+            if a >= z:
+                continue
+            at = np.arange(a, z)[classes[a:z] != classes[i]]
+            if len(at):
+                differ = np.bitwise_count(of[w][at - base[w]] ^ own).sum(1, dtype=np.int64)
+                both = n[i] + n[at]
+                fit = at[differ <= both - 2 * -(-percent * both // (100 + percent))]
+                for c in np.unique(classes[fit]):
+                    classes[classes == max(c, classes[i])] = min(c, classes[i])
+    first = np.full(m, m, np.int64)
+    np.minimum.at(first, classes, order)
+    out = np.empty(m, np.int64)
+    out[order] = first[classes]
+    return out
+
+
+def _met(keyed: DataFrame, assigned: DataFrame, holders: DataFrame, size: int, percent: int, exact: bool) -> DataFrame:
+    """Edges (a, b) that span the classes of each bucket: of links if exact, else of what bitmaps don't rule out.
+
+    assigned: (bucket, sid). Each set is made once, from its holder's text, and sent to its buckets.
+    """
+    per_set = assigned.groupBy("sid").agg(F.collect_list("bucket").alias("buckets"))  # no more than the set's prefix is long
+    wanted = written(per_set.join(holders, "sid").select(F.col("rep").alias("k"), "sid", "n", "buckets"), "wanted")
+    volume, count, listed = wanted.agg(F.sum((F.col("n") * (8 if exact else 1) + 64) * F.size("buckets")), F.count("*"), F.sum(F.size("buckets"))).first()
+    tasks = max(12, -(-(volume or 0) // TASK_BYTES))
+
+    def blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
+        for batch in batches:
+            data, offsets = utf8(column(batch, "t"))
+            want, buckets = column(batch, "sid").to_pylist(), column(batch, "buckets").to_pylist()
+            for i, j in groups(offsets):
+                values, bounds = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], size)
+                out: list[tuple] = []
+                held = 0
+                for n, sid in enumerate(set_ids(values, bounds).tolist()):
+                    if sid == want[i + n] and sid not in done:
+                        done.add(sid)
+                        own = values[bounds[n] : bounds[n + 1]]
+                        blob = (own if exact else bitmap(own)).tobytes()
+                        for bucket in buckets[i + n]:
+                            out.append((bucket, sid, len(own), blob))
+                            held += len(blob)
+                            if held > 4 * CHUNK_BYTES:
+                                yield _blobs(out)
+                                out, held = [], 0
+                yield _blobs(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, dict[int, np.ndarray]] = {}
+        held: dict[int, dict[int, tuple]] = {}
         for batch in batches:
-            for bucket, sid, blob in zip(column(batch, "bucket").to_pylist(), column(batch, "sid").to_pylist(), column(batch, "blob"), strict=True):
-                held.setdefault(bucket, {})[sid] = np.frombuffer(blob.as_buffer().to_pybytes(), np.uint64)
+            for bucket, sid, n, blob in zip(*(column(batch, c).to_pylist() for c in ("bucket", "sid", "n")), column(batch, "blob"), strict=True):
+                held.setdefault(bucket, {})[sid] = n, np.frombuffer(blob.as_buffer().to_pybytes(), np.uint64 if exact else np.uint8)
         a, b = [], []
         for own in held.values():
             if len(own) > 1:
                 sids = sorted(own)
-                for i, first in enumerate(linked([own[s] for s in sids], percent).tolist()):
+                sets = [own[s][1] for s in sids]
+                firsts = linked(sets, percent) if exact else plausible(np.array([own[s][0] for s in sids]), sets, percent)
+                for i, first in enumerate(firsts.tolist()):
                     if first != i:
                         a.append(sids[first])
                         b.append(sids[i])
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    rows = buckets.select("bucket", "sid").join(sets, "sid").select("bucket", "sid", "blob")
-    return rows.repartition(tasks, "bucket").mapInArrow(run, "a long, b long")
+    ids = wanted.select("k", "sid", "buckets")
+    texts = keyed.join(F.broadcast(ids) if count <= SMALL and (listed or 0) <= 4 * SMALL else ids, "k").select("t", "sid", "buckets")
+    sent = texts.mapInArrow(blobs, "bucket long, sid long, n long, blob binary").repartition(tasks, "bucket")
+    return written(sent.mapInArrow(run, "a long, b long"), "met")
+
+
+def _blobs(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["bucket", "sid", "n", "blob"])
+
+
+def _links(keyed: DataFrame, buckets: DataFrame, holders: DataFrame, size: int, percent: int) -> DataFrame:
+    """Edges (a, b) that span the classes which the links inside the buckets (bucket, sid) make.
+
+    First only bitmaps go to the buckets. What they don't rule out falls into classes; a class of few sets meets as a
+    whole, so that each of its sets is sent once, a larger one meets in its part of each bucket.
+    """
+    near = components(_met(keyed, buckets, holders, size, percent, False)).select(F.col("v").alias("sid"), "root")
+    near = written(near.join(holders, "sid").select("sid", "root", "n"), "near")
+    sizes = near.groupBy("root").agg(((F.count("*") <= BUCKET // 2) & (F.sum("n") * 8 <= TASK_BYTES)).alias("few"))
+    near = near.withColumn("key", apart(F.col("root"))).join(sizes.select(apart(F.col("root")).alias("key"), "few"), "key")
+    many = buckets.join(near.where("not few").select("sid", "root"), "sid").select(F.xxhash64("bucket", "root").alias("bucket"), "sid")
+    assigned = near.where("few").select(F.col("root").alias("bucket"), "sid").union(many)
+    return _met(keyed, written(assigned, "assigned"), holders, size, percent, True)
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -342,7 +462,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     total = holders.agg(F.sum((F.col("n") * (100 - percent) / 100).cast("long") + 2)).first()[0] or 0
     levels = spark.sparkContext.broadcast(_levels(profile))
     keyed = rows.where("k is not null")
-    met = written(_grouped(keyed, levels, size, percent, max(12, -(-total // RANGE))), "buckets")
+    met = written(_grouped(keyed, levels, size, percent, max(12, -(-2 * total // RANGE))), "met")
+    # At most n - m of a set's shingles, m = ceil(n * percent / 100), are not in a linked set, so of the first n - m + l of
+    # both as many as l are common; l is taken for the smallest set that can be linked.
+    part = lambda n: F.floor((n * percent + 99) / 100)
+    active = met.where("kind <> 1").groupBy("sid", "n").agg(F.sum("c").alias("c")).where(F.col("c") >= F.greatest(F.lit(1), part(F.col("n")) - part(part(F.col("n"))))).select("sid")
+    met = written(met.where("kind < 2").select("kind", "bucket", "sid", "n").join(active, "sid", "left_semi"), "buckets")
 
     # Common shingles: sets meet by size too, in groups of neighbouring classes of sizes a factor 100 / percent apart.
     step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)))
@@ -352,26 +477,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     blocks = F.ceil(F.col("m") / CHUNK_SETS)
     chunk = F.pmod(F.xxhash64("sid"), blocks)
     chunked = hot.select(F.xxhash64("bucket", chunk).alias("bucket"), F.explode(F.array_distinct(F.array("sid", "leader"))).alias("sid")).distinct()
-    small = met.where("kind = 0").select("bucket", "sid").union(chunked)
-
-    needed = met.select("sid").distinct().join(holders, "sid").select(F.col("rep").alias("k"), "sid", "n")
-    needed = written(needed, "needed")
-    stats = needed.agg(F.sum("n")).first()[0] or 0
-    if not stats:
-        links = spark.createDataFrame([], "a long, b long")
-    else:
-        ids = needed.select("k").distinct()
-        wanted = keyed.join(F.broadcast(ids) if small_enough(ids, SMALL) else ids, "k", "left_semi")
-
-        def blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for _, own, values, bounds, fresh in _sets(batches, size, set()):
-                at = np.flatnonzero(fresh)
-                yield pa.RecordBatch.from_arrays([pa.array(own[at]), pa.array([values[bounds[i] : bounds[i + 1]].tobytes() for i in at], pa.binary())], ["sid", "blob"])
-
-        sets = wanted.mapInArrow(blobs, "sid long, blob binary").join(needed.select("sid"), "sid", "left_semi").dropDuplicates(["sid"])
-        sets = written(sets, "sets")
-        volume = small.join(needed.select("sid", "n"), "sid").agg(F.sum(F.col("n") * 8)).first()[0] or 0
-        links = written(_trie_join(small, sets, percent, volume), "links")
+    small = written(met.where("kind = 0").select("bucket", "sid").union(chunked), "small")
+
+    links = spark.createDataFrame([], "a long, b long")
+    if not small.isEmpty():
+        links = _links(keyed, small, holders, size, percent)
         # Where the chunks of one group did not become one class, every two of its chunks meet as well.
         large = hot.where(F.col("m") > CHUNK_SETS)
         if not large.isEmpty():
@@ -382,9 +492,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
             other = F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
             pairs = large.select("bucket", "sid", chunk.alias("c"), other.alias("d")).where("c <> d")
             pairs = written(pairs.select(F.xxhash64("bucket", F.least("c", "d"), F.greatest("c", "d")).alias("bucket"), "sid").distinct(), "pairs")
-            volume = pairs.join(needed.select("sid", "n"), "sid").agg(F.sum(F.col("n") * 8)).first()[0] or 0
-            if volume:
-                links = links.union(_trie_join(pairs, sets, percent, volume))
+            if not pairs.isEmpty():
+                links = links.union(_links(keyed, pairs, holders, size, percent))
     roots = components(links).withColumnRenamed("v", "sid")
     least = roots.join(holders, "sid").groupBy("root").agg(F.min("rep").alias("least"))
     moved = roots.join(least, "root").select("sid", "least")
