@@ -28,6 +28,8 @@ MEMBER = re.compile(rb"\x1f\x8b\x08[\x00-\x1f]")
 VERSION_LINE = re.compile(rb"WARC/[0-9]\.[0-9]\r?\n")
 #: Bytes after which a writer begins another file.
 FILE_BYTES = 16 << 20
+#: Packed bytes that are unpacked at a time; no more than these are looked at beyond a member's end.
+PIECE = 1 << 14
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -116,14 +118,17 @@ def parse(data: bytes | memoryview, at: int) -> tuple[Record, int]:
 
 def inflate(data: bytes, at: int) -> tuple[bytes, int]:
     """The content of the gzip member at a place, checked by its CRC, and where the member ends."""
-    unpack = zlib.decompressobj(31)
+    unpack, out = zlib.decompressobj(31), []
+    view = memoryview(data)
     try:
-        out = unpack.decompress(memoryview(data)[at:])
+        while not unpack.eof:
+            if at >= len(data):
+                raise Broken("member not ended")
+            out.append(unpack.decompress(view[at : at + PIECE]))
+            at += PIECE
     except zlib.error as e:
         raise Broken(str(e)) from None
-    if not unpack.eof:
-        raise Broken("member not ended")
-    return out, len(data) - len(unpack.unused_data)
+    return b"".join(out), min(at, len(data)) - len(unpack.unused_data)
 
 
 def salvage(data: bytes) -> Iterator[Record | tuple[int, int, str]]:
