@@ -2,18 +2,51 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidara.llm.common import written
+from evidara.llm.common import column, written
+
+#: Edges (32 bytes each at work) up to which one task labels them; more are labelled round by round.
+ONE_TASK = 1 << 20
+
+
+def labels_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The vertices in order, and for each the smallest one that it reaches."""
+    ends, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(len(ends))
+    while len(a):
+        least = np.minimum(label[x], label[y])
+        after = label.copy()
+        for place in (x, y, label[x], label[y]):
+            np.minimum.at(after, place, least)
+        after = after[after]
+        if (after == label).all():
+            break
+        label = after
+    return ends, ends[label]
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """edges (a, b) of longs -> (v, root): for every end of an edge the smallest vertex that it reaches.
 
-    Each round takes the least label among neighbours, then the label's own label, and writes the labels; chains halve,
+    Few edges are labelled by one task. With more, each round takes the least label among neighbours, then the label's own label, and writes the labels; chains halve,
     so rounds are about the logarithm of the longest path. No edges give no rows; loops and repeated edges do no harm.
     """
+    edges = written(edges.select("a", "b"), "edges")
+    if edges.count() <= ONE_TASK:
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            parts = [[np.asarray(column(batch, c)) for c in ("a", "b")] for batch in batches]
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in labels_of(*(np.concatenate(x) for x in zip(*parts, strict=True)))], ["v", "root"])
+
+        return written(edges.coalesce(1).mapInArrow(run, "v long, root long"), "labels")
     both = written(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), "edges")
     labels = written(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("l")), "labels")
     for _ in range(most):

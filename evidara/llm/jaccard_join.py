@@ -469,9 +469,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     active = met.where("kind <> 1").groupBy("sid", "n").agg(F.sum("c").alias("c")).where(F.col("c") >= F.greatest(F.lit(1), part(F.col("n")) - part(part(F.col("n"))))).select("sid")
     met = written(met.where("kind < 2").select("kind", "bucket", "sid", "n").join(active, "sid", "left_semi"), "buckets")
 
-    # Common shingles: sets meet by size too, in groups of neighbouring classes of sizes a factor 100 / percent apart.
+    # Common shingles: where sizes differ too much for some pairs, sets meet by size too, in groups of neighbouring classes of
+    # sizes a factor 100 / percent apart.
     step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)))
-    hot = met.where("kind = 1").select(F.explode(F.array(step, step + 1)).alias("g"), "bucket", "sid", "n").select(F.xxhash64("bucket", "g").alias("bucket"), "sid", "n").distinct()
+    hot = met.where("kind = 1").select("bucket", "sid", "n")
+    spans = hot.groupBy("bucket").agg((100 * F.min("n") >= percent * F.max("n")).alias("alike")).select(apart(F.col("bucket")).alias("key"), "alike")
+    hot = hot.withColumn("key", apart(F.col("bucket"))).join(spans, "key")
+    hot = hot.select(F.explode(F.when(F.col("alike"), F.array(F.lit(-1).cast("long"))).otherwise(F.array(step, step + 1))).alias("g"), "bucket", "sid", "n")
+    hot = hot.select(F.xxhash64("bucket", "g").alias("bucket"), "sid", "n").distinct()
     counts = hot.groupBy("bucket").agg(F.count("*").alias("m"), F.min("sid").alias("leader")).where("m > 1")
     hot = written(hot.withColumn("key", apart(F.col("bucket"))).join(counts.select(apart(F.col("bucket")).alias("key"), "m", "leader"), "key").drop("key"), "hot")
     blocks = F.ceil(F.col("m") / CHUNK_SETS)
