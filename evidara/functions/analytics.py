@@ -21,7 +21,7 @@ def wilson(hits: F.Column, total: F.Column) -> tuple[F.Column, F.Column]:
 
 def score_bin(score: F.Column, bins: int = 10) -> F.Column:
     """Equal-width bins; 1 belongs to the last; null stays null."""
-    return F.least(F.lit(bins - 1), F.floor(score * bins)).cast("int")
+    return F.when(score.isNotNull(), F.least(F.lit(bins - 1), F.floor(score * bins))).cast("int")
 
 
 def fixed_bin(value: F.Column, edges: tuple[int, ...] = (60, 300, 900, 3600)) -> F.Column:

@@ -12,6 +12,7 @@ from evidara.operators import baselines, eras, features, graph, predict, summary
 from evidara.operators import cascade as cas
 from evidara.plans.lineage import cut
 from evidara.ringview import rings, table
+from evidara.streaming.replay import replay
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -472,6 +473,14 @@ def page_links(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", F.posexplode(links).alias("pos", "link"))
 
 
+@query(POOL + "SELECT state, count(*) AS transactions, CAST(sum(sightings) AS BIGINT) AS sightings FROM states GROUP BY state")
+def stream_state_machine(spark: SparkSession, sf: str) -> DataFrame:
+    per = replay(spark, f"{sf}/events.parquet")
+    top = per.agg(F.max("last_seen").alias("top"))
+    state = F.when(F.col("confirmed").isNotNull(), "confirmed").when(F.col("last_seen") < F.col("top") - 86_400_000_000, "disappeared").otherwise("pending")
+    return per.join(F.broadcast(top)).groupBy(state.alias("state")).agg(F.count("*").alias("transactions"), F.sum("sightings").alias("sightings"))
+
+
 @query()
 def rf_holdout(spark: SparkSession, sf: str) -> DataFrame:
     r, c = _cascade(spark, sf)
