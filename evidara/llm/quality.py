@@ -89,7 +89,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held:
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 3, held: int = 1, rows: int = TRAIN_ROWS, key: str = "doc_id", text: str = "text") -> Boosted:
     data = _numbers(labelled(docs, labels, label, modulus, held, rows, key, text), ["k", "y"], "k long, y int").distinct().orderBy(F.xxhash64("k", F.lit(7)), "k").collect()
-    x = np.array([r["x"] for r in data], float).reshape(len(data), -1)
+    x = np.array([r["x"] for r in data], float) if data else np.zeros((0, 1))
     return fit(x, np.array([r["y"] for r in data], float))
 
 
