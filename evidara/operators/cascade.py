@@ -7,14 +7,19 @@ counted for touched rings only. State is written to the shared folder, so that p
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidara.plans.lineage import cut
 
+#: Memberships up to which one task runs all passes in numpy (some 100 bytes each); more go pass by pass over the cluster.
+ONE_TASK = 2_000_000
 #: Resolved outputs of one pass that may be broadcast.
 FRONTIER = 1_000_000
 OUTPUT = ["amount", "idx"]
@@ -49,6 +54,8 @@ def cascade(members: DataFrame, stored: DataFrame | None = None, max_passes: int
     Ties between eliminators of one output in one pass go to the smallest key image.
     """
     members = cut(members.select("key_image", *OUTPUT), "members")
+    if stored is None and members.count() <= ONE_TASK:
+        return _one_task(members, max_passes)
     sizes = cut(members.groupBy("key_image").agg(F.count("*").alias("n")), "sizes")
     single = sizes.where("n = 1").select("key_image")
     first = members.join(single, "key_image").select("key_image", *OUTPUT, F.lit(0).alias("pass"), F.lit("ring_size_one").alias("method"), F.lit(False).alias("soft"))
@@ -85,6 +92,67 @@ def cascade(members: DataFrame, stored: DataFrame | None = None, max_passes: int
     return Cascade(reduce(DataFrame.unionByName, resolved), reduce(DataFrame.unionByName, eliminated) if eliminated else empty, sizes, passes)
 
 
+def passes_of(keys: np.ndarray, outputs: np.ndarray, n_keys: int, n_outputs: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """The cascade over coded memberships: for each membership the pass that resolved its ring with it (-1: none), the pass
+    that eliminated it (-1: none) and by which ring; the rings' sizes; the number of passes."""
+    sizes = np.bincount(keys, minlength=n_keys)
+    left, done, alive = sizes.copy(), np.zeros(n_keys, bool), np.ones(len(keys), bool)
+    resolved, eliminated, source = np.full(len(keys), -1, np.int32), np.full(len(keys), -1, np.int32), np.zeros(len(keys), np.int64)
+    new, passes = np.flatnonzero(sizes[keys] == 1), 0
+    resolved[new] = 0
+    for number in range(1, most + 1):
+        if not len(new):
+            break
+        done[keys[new]] = True
+        by = np.full(n_outputs, n_keys, np.int64)
+        np.minimum.at(by, outputs[new], keys[new])
+        hits = np.flatnonzero(alive & ~done[keys] & (by[outputs] < n_keys))
+        eliminated[hits], source[hits], alive[hits] = number - 1, by[outputs[hits]], False
+        left -= np.bincount(keys[hits], minlength=n_keys)
+        touched = np.zeros(n_keys, bool)
+        touched[keys[hits]] = True
+        if not (touched & (left <= 1)).any():
+            break
+        passes = number
+        new = np.flatnonzero(alive & (touched & (left == 1))[keys])
+        resolved[new] = number
+    return resolved, eliminated, source, sizes, passes
+
+
+def _one_task(members: DataFrame, most: int) -> Cascade:
+    kind = members.schema["key_image"].dataType.simpleString()
+    names = ["what", "key_image", "amount", "idx", "pass", "source"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = list(batches)
+        parts = [[b.column(i).to_numpy(zero_copy_only=False) for i in range(3)] for b in batches]
+        if not parts:
+            return
+        key, amount, idx = (np.concatenate(x) for x in zip(*parts, strict=True))
+        names_, keys = np.unique(key, return_inverse=True)
+        order = np.lexsort((idx, amount))
+        outputs = np.empty(len(key), np.int64)
+        outputs[order] = np.cumsum(np.r_[False, (amount[order][1:] != amount[order][:-1]) | (idx[order][1:] != idx[order][:-1])])
+        resolved, eliminated, source, sizes, passes = passes_of(keys, outputs, len(names_), len(key), most)
+        a, b = np.flatnonzero(resolved >= 0), np.flatnonzero(eliminated >= 0)
+        key_type = batches[0].schema.field(0).type
+        kinds = [key_type, pa.int64(), pa.int64(), pa.int32(), key_type]
+        zero = lambda n: np.zeros(n, np.int64)
+        rows = [
+            (0, key[a], amount[a], idx[a], resolved[a], key[a]), (1, key[b], amount[b], idx[b], eliminated[b], names_[source[b]]), (2, names_, zero(len(names_)), sizes, zero(len(names_)), names_), (3, names_[:1], zero(1), zero(1), np.array([passes]), names_[:1]),
+        ]
+        for what, *columns in rows:
+            arrays = [pa.array(np.full(len(columns[0]), what), pa.int32()), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))]
+            yield pa.RecordBatch.from_arrays(arrays, names)
+
+    rows = cut(members.coalesce(1).mapInArrow(run, f"what int, key_image {kind}, amount long, idx long, pass int, source {kind}"), "cascade")
+    method = F.when(F.col("pass") == 0, "ring_size_one").otherwise("cascade")
+    resolved = rows.where("what = 0").select("key_image", *OUTPUT, "pass", method.alias("method"), F.lit(False).alias("soft"))
+    eliminated = rows.where("what = 1").select("key_image", *OUTPUT, "pass", "source", F.lit(False).alias("soft"))
+    passes = rows.where("what = 3").select("pass").first()
+    return Cascade(resolved, eliminated, rows.where("what = 2").select("key_image", F.col("idx").alias("n")), passes["pass"] if passes else 0)
+
+
 def hits_schema(members: DataFrame) -> DataFrame:
     return members.where("false").select("key_image", *OUTPUT, F.lit(0).alias("pass"), F.col("key_image").alias("source"), F.lit(False).alias("soft"))
 
