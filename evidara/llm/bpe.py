@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidara.llm.common import column
+from evidara.llm.common import column, in_arrow
 from evidara.llm.merges import merges
 from evidara.llm.token_counts import SPACE, texts_of
 
@@ -154,6 +154,6 @@ def encode_decode(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: s
                 yield pa.RecordBatch.from_arrays([keys.slice(i, j - i), pa.array(n, pa.int64()), *more], ["k", "n", "a", "b"])
 
     kind = docs.schema[key].dataType.simpleString()
-    out = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, n long, a {'string' if digests else 'array<int>'}, b string")
+    out = in_arrow(docs.select(F.col(key).alias("k"), F.col(text).alias("t")), run, f"k {kind}, n long, a {'string' if digests else 'array<int>'}, b string")
     names = ("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded")
     return out.select(F.col("k").alias(key), F.col("n").alias("n_tokens"), F.col("a").alias(names[0]), F.col("b").alias(names[1]))

@@ -6,9 +6,12 @@ never build a Python object for each word.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +22,25 @@ from pyspark.sql import functions as F
 CHUNK = 1 << 20
 #: Bytes of text whose words are held together.
 GROUP = 4 << 20
+#: Bytes and rows of one Arrow batch.
+BATCH_BYTES, BATCH_ROWS = 8 << 20, 2000
+
+
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow with batches of bounded bytes, so that long texts don't make large ones; a task that ends gives the memory
+    back that its worker, which Spark uses again, no longer needs."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.enable()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return df.mapInArrow(bounded, schema)
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:

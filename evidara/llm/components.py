@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidara.llm.common import column, written
+from evidara.llm.common import column, in_arrow, written
 
 #: Edges (32 bytes each at work) up to which one task labels them; more are labelled round by round.
 ONE_TASK = 1 << 20
@@ -46,7 +46,7 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
             if parts:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in labels_of(*(np.concatenate(x) for x in zip(*parts, strict=True)))], ["v", "root"])
 
-        return written(edges.coalesce(1).mapInArrow(run, "v long, root long"), "labels")
+        return written(in_arrow(edges.coalesce(1), run, "v long, root long"), "labels")
     both = written(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), "edges")
     labels = written(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("l")), "labels")
     for _ in range(most):

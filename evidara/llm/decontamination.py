@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidara.llm.common import ALNUM, column, groups, utf8, words, written
+from evidara.llm.common import ALNUM, column, groups, in_arrow, utf8, words, written
 
 #: Words in a test window.
 WINDOW = 10
@@ -53,7 +53,7 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
                 shard += 1
 
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
-    return written(rows.mapInArrow(run, INDEX), "positions")
+    return written(in_arrow(rows, run, INDEX), "positions")
 
 
 class Windows:
@@ -172,7 +172,7 @@ def search(index: DataFrame, items: DataFrame, window: int = WINDOW, slop: int =
                         ["shard", "row", "k", "n", "spans", "items"],
                     )
 
-        return index.mapInArrow(run, "shard long, row long, k long, n long, spans array<long>, items array<string>")
+        return in_arrow(index, run, "shard long, row long, k long, n long, spans array<long>, items array<string>")
 
     found = hits(blocks[0])
     if len(blocks) > 1:

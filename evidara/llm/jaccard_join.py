@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidara.llm.common import CHUNK as CHUNK_BYTES
-from evidara.llm.common import NOT_SPACE, apart, column, groups, mixed, utf8, words, written
+from evidara.llm.common import NOT_SPACE, apart, column, groups, in_arrow, mixed, utf8, words, written
 from evidara.llm.components import components
 
 SKETCH_BITS = 22
@@ -114,7 +114,7 @@ def _profile(docs: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(np.arange(n)), pa.array(parts, pa.binary())], names)
 
     names = ["kind", "k", "sid", "n", "blob"]
-    return docs.mapInArrow(run, "kind int, k long, sid long, n long, blob binary")
+    return in_arrow(docs, run, "kind int, k long, sid long, n long, blob binary")
 
 
 def _levels(profile: DataFrame) -> np.ndarray:
@@ -132,8 +132,8 @@ def _levels(profile: DataFrame) -> np.ndarray:
     out = np.zeros((SKETCH_PARTS, (1 << SKETCH_BITS) // SKETCH_PARTS), np.uint64)
     # Tasks' parts are added up in many places first, so that no task reads what all others wrote. The result is of fixed size.
     kind = "n long, blob binary"
-    first = profile.where("kind = 1").select("n", "blob").repartition(SKETCH_PARTS, "n", F.pmod(F.xxhash64("blob"), F.lit(16))).mapInArrow(add, kind)
-    for part, blob in first.repartition(SKETCH_PARTS // 4, "n").mapInArrow(add, kind).collect():
+    first = in_arrow(profile.where("kind = 1").select("n", "blob").repartition(SKETCH_PARTS, "n", F.pmod(F.xxhash64("blob"), F.lit(16))), add, kind)
+    for part, blob in in_arrow(first.repartition(SKETCH_PARTS // 4, "n"), add, kind).collect():
         out[part] += np.frombuffer(zlib.decompress(blob), np.uint64)
     out = out.ravel()
     floor = 2 * out.mean() + 32
@@ -217,8 +217,8 @@ def _grouped(docs: DataFrame, levels, size: int, percent: int, ranges: int) -> D
             keep = np.repeat(keep, sizes)
             yield _rows(np.repeat((sizes > BUCKET).astype(np.int32), sizes)[keep], np.repeat(bucket, sizes)[keep], sid[keep], n[keep], np.zeros(keep.sum(), np.int64))
 
-    spread = docs.mapInArrow(cut, "r int, kind int, tokens binary, sids binary, sizes binary, base binary").repartition(ranges, "r")
-    rows = spread.mapInArrow(meet, "kind int, bucket long, sid long, n long, c long")
+    spread = in_arrow(docs, cut, "r int, kind int, tokens binary, sids binary, sizes binary, base binary").repartition(ranges, "r")
+    rows = in_arrow(spread, meet, "kind int, bucket long, sid long, n long, c long")
     return rows.groupBy("kind", "bucket", "sid", "n").agg(F.sum("c").alias("c"))
 
 
@@ -420,8 +420,8 @@ def _met(keyed: DataFrame, assigned: DataFrame, holders: DataFrame, size: int, p
 
     ids = wanted.select("k", "sid", "buckets")
     texts = keyed.join(F.broadcast(ids) if count <= SMALL and (listed or 0) <= 4 * SMALL else ids, "k").select("t", "sid", "buckets")
-    sent = texts.mapInArrow(blobs, "bucket long, sid long, n long, blob binary").repartition(tasks, "bucket")
-    return written(sent.mapInArrow(run, "a long, b long"), "met")
+    sent = in_arrow(texts, blobs, "bucket long, sid long, n long, blob binary").repartition(tasks, "bucket")
+    return written(in_arrow(sent, run, "a long, b long"), "met")
 
 
 def _blobs(rows: list[tuple]) -> pa.RecordBatch:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidara.llm.common import column
+from evidara.llm.common import column, in_arrow
 
 #: Pivots (a bounded sample of the vectors, by a hash of their id); how many of them stand for a vector.
 PIVOTS, PREFIX = 384, 32
@@ -147,6 +147,6 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, key: str = "vec_id
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(y)) for y in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
 
     dealt = placed.union(asked).repartition(blocks * visits, "b", "v").sortWithinPartitions("b", "v", "asks", "id", "e")
-    found = dealt.mapInArrow(run, "query_id long, vec_id long, score double")
+    found = in_arrow(dealt, run, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidara.llm.boosting import Boosted, fit
-from evidara.llm.common import column
+from evidara.llm.common import column, in_arrow
 from evidara.llm.token_counts import texts_of
 
 Span = tuple[str, int, int]
@@ -262,5 +262,5 @@ def personal_data(docs: DataFrame, model: Model | None = None, key: str = "doc_i
 
     names = ["k", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "redacted"]
     kind = docs.schema[key].dataType.simpleString()
-    out = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, redacted string")
+    out = in_arrow(docs.select(F.col(key).alias("k"), F.col(text).alias("t")), run, f"k {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, redacted string")
     return out.withColumnRenamed("k", key)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidara.llm.boosting import Boosted, fit
-from evidara.llm.common import NOT_SPACE, column, crc_text, groups, utf8, words
+from evidara.llm.common import NOT_SPACE, column, crc_text, groups, in_arrow, utf8, words
 
 #: The classifier is fitted on about so many labelled rows at most, chosen by a hash of the id.
 TRAIN_ROWS = 20_000
@@ -72,7 +72,7 @@ def _numbers(docs: DataFrame, keep: list[str], kinds: str, model=None) -> DataFr
                 last = pa.array(model.value.score(x)) if model else pa.array(list(x), pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays([*(column(batch, c).slice(i, j - i) for c in keep), last], [*keep, "x"])
 
-    return docs.mapInArrow(run, f"{kinds}, x {'double' if model else 'array<double>'}")
+    return in_arrow(docs, run, f"{kinds}, x {'double' if model else 'array<double>'}")
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, rows: int, key: str, text: str) -> DataFrame:

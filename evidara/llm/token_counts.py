@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidara.llm.common import column, groups
+from evidara.llm.common import column, groups, in_arrow
 from evidara.llm.merges import Merges, merges
 
 #: The pre-token pattern of the byte-level vocabulary (fixed value).
@@ -121,7 +121,7 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 1024, key: str =
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("k"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("b"), F.col(text).alias("t"))
-    out = rows.mapInArrow(run, f"k {kind}, b long, n long")
+    out = in_arrow(rows, run, f"k {kind}, b long, n long")
     return out.select(F.col("k").alias(key), F.col("b").alias("n_bytes"), F.col("n").alias("n_tokens"), (F.col("n") > limit).alias("over_limit"))
 
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidara.llm.common import column, crc_text, written
+from evidara.llm.common import column, crc_text, in_arrow, written
 from evidara.llm.quality import labelled
 from evidara.llm.token_counts import texts_of
 
@@ -253,7 +253,7 @@ def _values(docs: DataFrame, machine: Machine, keep: list[str], kinds: str) -> D
             for i, j, texts in texts_of(batch, "t"):
                 yield pa.RecordBatch.from_arrays([*(column(batch, c).slice(i, j - i) for c in keep), pa.array(list(scorer.best(texts)), pa.list_(pa.float64()))], [*keep, "x"])
 
-    return docs.mapInArrow(run, f"{kinds}, x array<double>")
+    return in_arrow(docs, run, f"{kinds}, x array<double>")
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 5, held: int = 0, rows: int = TRAIN_ROWS, key: str = "doc_id", text: str = "text") -> Machine:
@@ -291,7 +291,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int
         seen[b""] = totals  # no unit is empty
         yield give()
 
-    counts = data.select("y", "t").mapInArrow(count, "u binary, n long, p long, m long")
+    counts = in_arrow(data.select("y", "t"), count, "u binary, n long, p long, m long")
     counts = written(counts.groupBy("u").agg(F.sum("n").alias("n"), F.sum("p").alias("p"), F.bit_or("m").alias("m")), "units")
     total = counts.where(F.length("u") == 0).first()
     if not total or not total["p"] or not total["n"]:
@@ -310,7 +310,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int
             for batch in batches:
                 yield pa.RecordBatch.from_arrays([column(batch, "u"), pa.array(sent.value.values(column(batch, "u").to_pylist()))], ["u", "x"])  # noqa: B023
 
-        harder = real.where((F.col("n") > 0) & (odds < 2)).select("u").mapInArrow(value, "u binary, x double").where("x > -1").orderBy(F.desc("x"), "u").limit(NEGATIVES // 2).collect()
+        harder = in_arrow(real.where((F.col("n") > 0) & (odds < 2)).select("u"), value, "u binary, x double").where("x > -1").orderBy(F.desc("x"), "u").limit(NEGATIVES // 2).collect()
         bad = list(dict.fromkeys([bytes(r["u"]) for r in harder] + bad))
         machine = fit(good, bad)
     marks = _values(data.select("k", "y", "t"), machine, ["k", "y"], "k long, y int").select("y", "x").orderBy("x", "y").collect()

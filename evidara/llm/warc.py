@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidara.llm.common import apart, column, shared_dir
+from evidara.llm.common import apart, column, in_arrow, shared_dir
 
 VERSION = b"WARC/1.1\r\n"
 MEMBER = re.compile(rb"\x1f\x8b\x08[\x00-\x1f]")
@@ -207,7 +207,7 @@ def write_archives(rows: DataFrame, path: str) -> None:
             close()
         yield pa.RecordBatch.from_arrays([pa.array([n])], ["n"])
 
-    rows.select("key", "member").sortWithinPartitions("key", F.xxhash64("member")).mapInArrow(run, "n long").agg(F.sum("n")).collect()
+    in_arrow(rows.select("key", "member").sortWithinPartitions("key", F.xxhash64("member")), run, "n long").agg(F.sum("n")).collect()
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -238,7 +238,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").schema("path string, modificationTime timestamp, length long, content binary").load(path)
-    return files.select("path", "content").mapInArrow(run, schema)
+    return in_arrow(files.select("path", "content"), run, schema)
 
 
 def write_pages(pages: DataFrame, path: str, smallest: int = 0, date: str = "2024-01-01T00:00:00Z", key: str = "page_id", uri: str = "url", html: str = "html") -> None:
@@ -266,11 +266,11 @@ def write_pages(pages: DataFrame, path: str, smallest: int = 0, date: str = "202
 
     kinds = "key long, uri string, digest string, size long"
     firsts = rows.where((F.col("size") >= smallest) & F.col("key").isNotNull()).groupBy("digest").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1")
-    packed = rows.mapInArrow(pack, f"{kinds}, member binary").withColumn("k", apart(F.when(F.col("size") >= smallest, F.col("digest"))))
+    packed = in_arrow(rows, pack, f"{kinds}, member binary").withColumn("k", apart(F.when(F.col("size") >= smallest, F.col("digest"))))
     joined = packed.join(firsts.select(apart(F.col("digest")).alias("k"), "first"), "k", "left")
     again = F.col("first") < F.col("key")
     joined = joined.select("key", "uri", "digest", "size", F.when(again, F.col("first")).alias("first"), F.when(again, None).otherwise(F.col("member")).alias("member"))
-    write_archives(joined.mapInArrow(refer, "key long, member binary"), path)
+    write_archives(in_arrow(joined, refer, "key long, member binary"), path)
 
 
 def round_trip(pages: DataFrame, smallest: int = 0, key: str = "page_id", uri: str = "url", html: str = "html") -> DataFrame:
