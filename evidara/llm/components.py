@@ -1,4 +1,4 @@
-"""Connected components of an edge table by min-label propagation with pointer jumping; nothing goes to the driver."""
+"""Connected components of an edge table by large and small stars in turn; nothing goes to the driver."""
 
 from __future__ import annotations
 
@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidara.llm.common import column, in_arrow, written
+from evidara.llm.common import apart, column, in_arrow, written
 
-#: Edges (32 bytes each at work) up to which one task labels them; more are labelled round by round.
+#: Edges (32 bytes each at work) up to which one task labels them; more are labelled by stars.
 ONE_TASK = 1 << 20
 
 
@@ -32,29 +32,43 @@ def labels_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ends, ends[label]
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
-    """edges (a, b) of longs -> (v, root): for every end of an edge the smallest vertex that it reaches.
+def stars(edges: DataFrame) -> DataFrame:
+    """The same as components, for ends of any type that has an order, in rounds over the whole cluster.
 
-    Few edges are labelled by one task. With more, each round takes the least label among neighbours, then the label's own label, and writes the labels; chains halve,
-    so rounds are about the logarithm of the longest path. No edges give no rows; loops and repeated edges do no harm.
+    Each round hangs the larger neighbours of every vertex on the least vertex near it (large star), then the smaller ones
+    and itself (small star). Edges never grow in number; it ends only when every vertex hangs on one root that hangs on none.
     """
-    edges = written(edges.select("a", "b"), "edges")
-    if edges.count() <= ONE_TASK:
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            parts = [[np.asarray(column(batch, c)) for c in ("a", "b")] for batch in batches]
-            if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in labels_of(*(np.concatenate(x) for x in zip(*parts, strict=True)))], ["v", "root"])
-
-        return written(in_arrow(edges.coalesce(1), run, "v long, root long"), "labels")
-    both = written(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), "edges")
-    labels = written(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("l")), "labels")
-    for _ in range(most):
-        near = both.join(labels.select(F.col("v").alias("b"), "l"), "b").groupBy(F.col("a").alias("v")).agg(F.min("l").alias("m"))
-        lower = labels.join(near, "v").select("v", "l", F.least("l", "m").alias("m"))
-        jump = labels.select(F.col("v").alias("m"), F.col("l").alias("j"))
-        after = written(lower.join(jump, "m").select("v", F.least("m", "j").alias("l"), (F.col("l") > F.least("m", "j")).alias("moved")), "labels")
-        labels = after.select("v", "l")
-        if after.where("moved").isEmpty():
-            return labels.withColumnRenamed("l", "root")
-    raise RuntimeError(f"components not settled after {most} rounds")
+    ends = written(edges.select(F.col("a").alias("v")).union(edges.select("b")).distinct(), "ends")
+    pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("m")).distinct()
+    while True:
+        pairs = written(pairs, "pairs")
+        roots = pairs.select(apart(F.col("m")).alias("key")).distinct()
+        total, single = pairs.agg(F.count("*"), F.count_distinct("v")).first()
+        if total == single and pairs.select("v", apart(F.col("v")).alias("key")).join(roots, "key", "left_semi").isEmpty():
+            break
+        least = pairs.select("v", "m").union(pairs.select("m", "v")).groupBy("v").agg(F.least(F.min("m"), F.first("v")).alias("l"))
+        large = pairs.withColumn("key", apart(F.col("m"))).join(least.select(apart(F.col("v")).alias("key"), "l"), "key")
+        pairs = written(large.select("v", F.col("l").alias("m")).distinct(), "pairs")
+        least = pairs.groupBy("v").agg(F.min("m").alias("l"))
+        small = pairs.withColumn("key", apart(F.col("v"))).join(least.select(apart(F.col("v")).alias("key"), "l"), "key")
+        pairs = small.where("m <> l").select(F.col("m").alias("v"), F.col("l").alias("m")).union(least.select("v", F.col("l").alias("m"))).distinct()
+    hung = pairs.select(apart(F.col("v")).alias("key"), "m")
+    return written(ends.withColumn("key", apart(F.col("v"))).join(hung, "key", "left").select("v", F.coalesce("m", "v").alias("root")), "labels")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """edges (a, b) -> (v, root): for every end of an edge the smallest vertex that it reaches.
+
+    Few edges of longs are labelled by one task, all others by stars; both go on until nothing moves. No edges give no
+    rows; loops and repeated edges do no harm, edges with a null end count for nothing.
+    """
+    edges = written(edges.select("a", "b").where("a is not null and b is not null"), "edges")
+    if [t for _, t in edges.dtypes] != ["bigint", "bigint"] or edges.count() > ONE_TASK:
+        return stars(edges)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [[np.asarray(column(batch, c)) for c in ("a", "b")] for batch in batches]
+        if parts:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in labels_of(*(np.concatenate(x) for x in zip(*parts, strict=True)))], ["v", "root"])
+
+    return written(in_arrow(edges.coalesce(1), run, "v long, root long"), "labels")
