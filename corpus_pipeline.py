@@ -37,7 +37,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def keep_one_of_a_kind(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id stays; documents without words all stay."""
-    return _without(docs, jaccard_join.near_duplicates(docs).where("n_shingles > 0 and component_id < doc_id"), "copies")
+    return _without(docs, jaccard_join.near_duplicates(docs, links=False).where("n_shingles > 0 and component_id < doc_id"), "copies")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ lengths can't reach the needed overlap, or that hold only sets of its own class.
 
 Before whole sets go to the buckets, bitmaps go there that rule out most pairs for certain. Buckets are bounded: those of a common shingle are cut into chunks that share a leader. Only where chunks did not grow
 together into one class are the pairs of chunks compared too, so that a large group of near copies costs linear work
-and no link between classes is lost.
+and no link between classes is lost. Links inside a class are counted afterwards, over all pairs of its sets.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ RANGE = 800_000
 BUCKET, CHUNK_SETS = 512, 400
 #: Bytes of sets that one task of the trie join holds.
 TASK_BYTES = 16 << 20
+#: Sets, and their bytes, in one part of a class when its links are counted.
+PART_SETS, PART_BYTES = 2000, 4 << 20
 #: Ids that may be broadcast (with four times as many bucket numbers).
 SMALL = 500_000
 #: Set ids that a task remembers, to handle copies once.
@@ -369,13 +371,11 @@ def plausible(sizes: np.ndarray, maps: list[np.ndarray], percent: int) -> np.nda
     return out
 
 
-def _met(keyed: DataFrame, assigned: DataFrame, holders: DataFrame, size: int, percent: int, exact: bool) -> DataFrame:
-    """Edges (a, b) that span the classes of each bucket: of links if exact, else of what bitmaps don't rule out.
-
-    assigned: (bucket, sid). Each set is made once, from its holder's text, and sent to its buckets.
-    """
+def _sent(keyed: DataFrame, assigned: DataFrame, holders: DataFrame, size: int, exact: bool, deal: F.Column | None = None) -> DataFrame:
+    """(bucket, sid, n, copies, blob) dealt by bucket, or by deal: each set of assigned (bucket, sid), made once from its holder's text; its
+    shingles if exact, else its bitmap."""
     per_set = assigned.groupBy("sid").agg(F.collect_list("bucket").alias("buckets"))  # no more than the set's prefix is long
-    wanted = written(per_set.join(holders, "sid").select(F.col("rep").alias("k"), "sid", "n", "buckets"), "wanted")
+    wanted = written(per_set.join(holders, "sid").select(F.col("rep").alias("k"), "sid", "n", "copies", "buckets"), "wanted")
     volume, count, listed = wanted.agg(F.sum((F.col("n") * (8 if exact else 1) + 64) * F.size("buckets")), F.count("*"), F.sum(F.size("buckets"))).first()
     tasks = max(12, -(-(volume or 0) // TASK_BYTES))
 
@@ -383,7 +383,7 @@ def _met(keyed: DataFrame, assigned: DataFrame, holders: DataFrame, size: int, p
         done: set[int] = set()
         for batch in batches:
             data, offsets = utf8(column(batch, "t"))
-            want, buckets = column(batch, "sid").to_pylist(), column(batch, "buckets").to_pylist()
+            want, copies, buckets = (column(batch, c).to_pylist() for c in ("sid", "copies", "buckets"))
             for i, j in groups(offsets):
                 values, bounds = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], size)
                 out: list[tuple] = []
@@ -394,13 +394,23 @@ def _met(keyed: DataFrame, assigned: DataFrame, holders: DataFrame, size: int, p
                         own = values[bounds[n] : bounds[n + 1]]
                         blob = (own if exact else bitmap(own)).tobytes()
                         for bucket in buckets[i + n]:
-                            out.append((bucket, sid, len(own), blob))
+                            out.append((bucket, sid, len(own), copies[i + n], blob))
                             held += len(blob)
                             if held > 4 * CHUNK_BYTES:
                                 yield _blobs(out)
                                 out, held = [], 0
                 yield _blobs(out)
 
+    ids = wanted.select("k", "sid", "copies", "buckets")
+    texts = keyed.join(F.broadcast(ids) if count <= SMALL and (listed or 0) <= 4 * SMALL else ids, "k").select("t", "sid", "copies", "buckets")
+    return in_arrow(texts, blobs, "bucket long, sid long, n long, copies long, blob binary").repartition(tasks, F.col("bucket") if deal is None else deal)
+
+
+def _met(keyed: DataFrame, assigned: DataFrame, holders: DataFrame, size: int, percent: int, exact: bool) -> DataFrame:
+    """Edges (a, b) that span the classes of each bucket: of links if exact, else of what bitmaps don't rule out.
+
+    assigned: (bucket, sid).
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, dict[int, tuple]] = {}
         for batch in batches:
@@ -418,15 +428,13 @@ def _met(keyed: DataFrame, assigned: DataFrame, holders: DataFrame, size: int, p
                         b.append(sids[i])
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    ids = wanted.select("k", "sid", "buckets")
-    texts = keyed.join(F.broadcast(ids) if count <= SMALL and (listed or 0) <= 4 * SMALL else ids, "k").select("t", "sid", "buckets")
-    sent = in_arrow(texts, blobs, "bucket long, sid long, n long, blob binary").repartition(tasks, "bucket")
+    sent = _sent(keyed, assigned, holders, size, exact)
     return written(in_arrow(sent, run, "a long, b long"), "met")
 
 
 def _blobs(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["bucket", "sid", "n", "blob"])
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["bucket", "sid", "n", "copies", "blob"])
 
 
 def _links(keyed: DataFrame, buckets: DataFrame, holders: DataFrame, size: int, percent: int) -> DataFrame:
@@ -444,20 +452,96 @@ def _links(keyed: DataFrame, buckets: DataFrame, holders: DataFrame, size: int,
     return _met(keyed, written(assigned, "assigned"), holders, size, percent, True)
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """key, n_shingles and component_id of every row.
+def weights(sets: list[np.ndarray], copies: np.ndarray, percent: int, split: int = 0) -> np.ndarray:
+    """For each of some sets the copies of the others linked to it; with split, of those on the other side of that place.
+
+    Shingles that only one set has are left out; the others are bits of rows, or a flat list where that is shorter.
+    """
+    m = len(sets)
+    sizes = np.array([len(x) for x in sets], np.int64)
+    _, codes, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    new = np.where(count > 1, np.cumsum(count > 1) - 1, -1)[codes]
+    rows = [x[x >= 0] for x in np.split(new, np.cumsum(sizes)[:-1])]
+    width, bounds = int((count > 1).sum()), np.cumsum([0, *map(len, rows)])
+    dense = m * -(-width // 64) <= 2 * bounds[-1]
+    if dense:
+        bits = np.zeros((m, -(-width // 64)), np.uint64)
+        for i, own in enumerate(rows):
+            np.bitwise_or.at(bits[i], own >> 6, np.uint64(1) << (own & 63).astype(np.uint64))
+    else:
+        flat, marks = np.concatenate(rows), np.zeros(width, bool)
+    out = np.zeros(m, np.int64)
+    for i in range(split or m - 1):
+        a = split or i + 1
+        if dense:
+            both = np.bitwise_count(bits[a:] & bits[i]).sum(1, dtype=np.int64)
+        else:
+            marks[rows[i]] = True
+            both = np.diff(np.r_[0, np.cumsum(marks[flat[bounds[a] :]])][bounds[a:] - bounds[a]])
+            marks[rows[i]] = False
+        found = a + np.flatnonzero((100 + percent) * both >= percent * (sizes[i] + sizes[a:]))
+        out[i] += copies[found].sum()
+        out[found] += copies[i]
+    return out
+
+
+def _counted(keyed: DataFrame, roots: DataFrame, holders: DataFrame, size: int, percent: int) -> DataFrame:
+    """(sid, links): for the sets of classes (sid, root) the number of documents with another set that is linked to it.
+
+    Linked sets are in one class and at most one step of sizes, a factor 100 / percent, apart. The sets of a class and step
+    are dealt into parts of bounded number and bytes, and every two parts that may hold a link meet in one bucket, so that
+    each pair of sets is compared once. Exact; the time goes by the pairs of sets of a class, as links may be as many.
+    """
+    width = F.log(F.lit(100 / percent)) * (1 + 1e-9)  # rounding must not put linked sets two steps apart
+    rows = roots.join(holders, "sid").withColumn("step", F.floor(F.log(F.col("n").cast("double")) / width) if percent < 100 else F.col("n"))
+    rows = written(rows, "classed")
+    needed = F.greatest(F.ceil(F.count("*") / PART_SETS), F.ceil(F.sum("n") * 8 / PART_BYTES))
+    few = rows.groupBy("root").agg((needed == 1).alias("few"))  # a class that is one part needs no steps
+    rows = rows.withColumn("key", apart(F.col("root"))).join(few.select(apart(F.col("root")).alias("key"), "few"), "key").drop("key")
+    rows = written(rows.withColumn("step", F.when(F.col("few"), F.lit(0).cast("long")).otherwise(F.col("step"))).drop("few"), "classed")
+    parts = written(rows.groupBy("root", "step").agg(needed.alias("parts")), "parts")
+    near = parts.join(parts.select("root", F.col("step").alias("other"), F.col("parts").alias("others")), "root").where("abs(other - step) <= 1")
+    near = near.groupBy("root", "step").agg(F.first("parts").alias("parts"), F.collect_list(F.struct("other", "others")).alias("near"))  # of at most three
+    near = near.withColumn("key", F.xxhash64("root", "step")).drop("root", "step")
+    rows = rows.withColumn("key", F.xxhash64("root", "step")).join(near, "key").withColumn("part", F.pmod(F.xxhash64("sid"), F.col("parts")))
+    rows = rows.select("sid", "root", F.struct("step", "part").alias("own"), F.explode("near").alias("x"))
+    rows = rows.select("sid", "root", "own", "x.other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("x.others") - 1)).alias("p"))
+    met = F.struct(F.col("other").alias("step"), F.col("p").alias("part"))
+    side = F.when(F.col("own") == met, 0).when(F.col("own") < met, 1).otherwise(2)  # 0: a part with itself
+    bucket = F.shiftleft(F.xxhash64("root", F.least("own", met), F.greatest("own", met)), 2).bitwiseOR(side.cast("long"))
+    assigned = written(rows.select(bucket.alias("bucket"), "sid"), "assigned")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple]] = {}
+        for batch in batches:
+            for bucket, sid, copies, blob in zip(*(column(batch, c).to_pylist() for c in ("bucket", "sid", "copies")), column(batch, "blob"), strict=True):
+                held.setdefault(bucket >> 2, []).append((bucket & 3, sid, copies, np.frombuffer(blob.as_buffer().to_pybytes(), np.uint64)))
+        for own in held.values():
+            own.sort(key=lambda x: x[:2])
+            first = sum(x[0] == 1 for x in own)
+            if len(own) > 1 and (own[0][0] == 0 or 0 < first < len(own)):
+                links = weights([x[3] for x in own], np.array([x[2] for x in own]), percent, first)
+                yield pa.RecordBatch.from_arrays([pa.array([x[1] for x in own], pa.int64()), pa.array(links)], ["sid", "links"])
+
+    sent = _sent(keyed, assigned, holders, size, True, F.shiftright("bucket", 2))
+    return in_arrow(sent, run, "sid long, links long").groupBy("sid").agg(F.sum("links").alias("links"))
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, links: bool = True) -> DataFrame:
+    """key, n_shingles, component_id and n_links of every row; without links the last is left out.
 
     Words are `[^\\x20\\x09-\\x0D]+` of the A-Z lower-cased whole text; a set holds its distinct shingles of size words,
     with fewer words the whole sequence. Sets are linked if 100 * intersection >= percent * union; component_id is the
-    smallest key reachable by links. A null or wordless text has 0 shingles and is alone; repeated rows are alike; a row
-    with a null key has its n_shingles and no component; an empty table gives no rows; other columns are ignored.
+    smallest key reachable by links, n_links the number of other keys linked to the row's, those with an equal set too. A
+    null or wordless text has 0 shingles and is alone; repeated rows are alike; a row
+    with a null key has its n_shingles, no component and no n_links; an empty table gives no rows; other columns are ignored.
     Shingles and sets are told apart by 64-bit hashes.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
     profile = written(_profile(rows, size), "profile")
     members = profile.where("kind = 0").select("k", "sid", "n")
-    holders = members.where("k is not null and n > 0").groupBy("sid", "n").agg(F.min("k").alias("rep"))
+    holders = members.where("k is not null and n > 0").groupBy("sid", "n").agg(F.min("k").alias("rep"), F.count_distinct("k").alias("copies"))
     holders = written(holders, "holders")
     total = holders.agg(F.sum((F.col("n") * (100 - percent) / 100).cast("long") + 2)).first()[0] or 0
     levels = spark.sparkContext.broadcast(_levels(profile))
@@ -484,13 +568,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     chunked = hot.select(F.xxhash64("bucket", chunk).alias("bucket"), F.explode(F.array_distinct(F.array("sid", "leader"))).alias("sid")).distinct()
     small = written(met.where("kind = 0").select("bucket", "sid").union(chunked), "small")
 
-    links = spark.createDataFrame([], "a long, b long")
+    edges = spark.createDataFrame([], "a long, b long")
     if not small.isEmpty():
-        links = _links(keyed, small, holders, size, percent)
+        edges = _links(keyed, small, holders, size, percent)
         # Where the chunks of one group did not become one class, every two of its chunks meet as well.
         large = hot.where(F.col("m") > CHUNK_SETS)
         if not large.isEmpty():
-            classes = components(links)
+            classes = components(edges)
             large = large.join(classes.withColumnRenamed("v", "sid"), "sid", "left").withColumn("class", F.coalesce("root", "sid"))
             open_ = large.groupBy("bucket").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").select(apart(F.col("bucket")).alias("key"))
             large = large.withColumn("key", apart(F.col("bucket"))).join(open_, "key", "left_semi")
@@ -498,10 +582,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
             pairs = large.select("bucket", "sid", chunk.alias("c"), other.alias("d")).where("c <> d")
             pairs = written(pairs.select(F.xxhash64("bucket", F.least("c", "d"), F.greatest("c", "d")).alias("bucket"), "sid").distinct(), "pairs")
             if not pairs.isEmpty():
-                links = links.union(_links(keyed, pairs, holders, size, percent))
-    roots = components(links).withColumnRenamed("v", "sid")
+                edges = edges.union(_links(keyed, pairs, holders, size, percent))
+    roots = components(edges).withColumnRenamed("v", "sid")
     least = roots.join(holders, "sid").groupBy("root").agg(F.min("rep").alias("least"))
     moved = roots.join(least, "root").select("sid", "least")
-    final = holders.join(moved, "sid", "left").select(apart(F.col("sid")).alias("key"), F.coalesce("least", "rep").alias("component_id"))
+    final = holders.join(moved, "sid", "left")
+    if links:
+        final = final.join(_counted(keyed, roots, holders, size, percent), "sid", "left").withColumn("n_links", F.coalesce("links", F.lit(0)) + F.col("copies") - 1)
+    counts = ["n_links"] if links else []
+    final = final.select(apart(F.col("sid")).alias("key"), F.coalesce("least", "rep").alias("component_id"), *counts)
     out = members.withColumn("key", apart(F.when(F.col("k").isNotNull() & (F.col("n") > 0), F.col("sid")))).join(final, "key", "left")
-    return out.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("k").isNotNull(), F.coalesce("component_id", "k")).alias("component_id"))
+    return out.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("k").isNotNull(), F.coalesce("component_id", "k")).alias("component_id"), *(F.when(F.col("k").isNotNull(), F.coalesce(c, F.lit(0))).alias(c) for c in counts))

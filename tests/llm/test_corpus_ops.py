@@ -80,6 +80,32 @@ def test_components_of_a_long_path_with_random_ids(spark, monkeypatch, kind, one
     assert {(str(r.v), str(r.root)) for r in graph.components(edges).collect()} == {(str(i), "0") for i in ids} | {("900", "900")}
 
 
+@pytest.mark.parametrize("part", [2000, 7])
+def test_links_equal_brute_force(spark, monkeypatch, part):
+    monkeypatch.setattr(jaccard_join, "PART_SETS", part)
+    texts = corpus()
+    sets = {}
+    for d, t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
+        sets[d] = frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+    want = {d: sum(e != d and bool(own) and 100 * len(own & x) >= 80 * len(own | x) for e, x in sets.items()) for d, own in sets.items()}
+    rows = spark.createDataFrame([*texts, texts[0], (None, "a b")], "doc_id long, text string")
+    got = {(r.doc_id, r.n_links) for r in jaccard_join.near_duplicates(rows).collect()}
+    assert max(want.values()) > 20 and got == {*want.items(), (None, None)}
+
+
+def test_weights_of_sparse_and_dense_sets():
+    r = np.random.default_rng(1)
+    for top in (40, 100_000):
+        sets = [np.unique(r.integers(0, top, 30)).astype(np.uint64) for _ in range(40)]
+        sets += [np.append(s, np.uint64(top + 1)) for s in sets[:20]]
+        copies = r.integers(1, 5, 60)
+        near = np.array([[100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b)) for b in sets] for a in sets]) & ~np.eye(60, dtype=bool)
+        assert (jaccard_join.weights(sets, copies, 80) == near @ copies).all()
+        side = np.arange(60) < 40
+        assert (jaccard_join.weights(sets, copies, 80, 40) == (near & (side[:, None] != side)) @ copies).all()
+
+
 def test_near_duplicates_of_nothing(spark):
     assert jaccard_join.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
