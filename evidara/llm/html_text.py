@@ -11,7 +11,7 @@ import html
 import random
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from evidara.llm.common import column, in_arrow
 from evidara.llm.token_counts import texts_of
 
-TAG = re.compile(r"</?([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]{0,65536}+\"|'[^']{0,65536}+')*+)>")
+TAG = re.compile(r"</?([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 LOOSE = re.compile(r"</?([a-zA-Z][^\s/>]*+)([^>]*+)>")
 MARKS = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 WORD = re.compile(r"[a-z]{2,}")
@@ -42,7 +42,8 @@ PATH, WORDS, NUMBERS, HIDDEN = 48, 24, 8, 16
 
 @dataclass
 class Block:
-    path: tuple[str, ...]
+    path: np.ndarray  # the vector of all open elements' marks
+    last: str = ""  # the last mark
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     text: str = ""
@@ -54,7 +55,8 @@ def blocks(page: str) -> list[Block]:
     stack: list[tuple[str, tuple[str, ...]]] = []
     current: Block | None = None
     at, size, silent, anchors, strict = 0, len(page), 0, 0, True
-    trail: list[tuple[str, ...]] = []  # of the open elements that have something to say
+    places: dict[str, list[int]] = {}  # where in the stack the open elements of a name are
+    trail = [(np.zeros(PATH, np.float32), "")]  # of the open elements that have something to say: the path's vector, the last mark
 
     def say(raw: str) -> None:
         nonlocal current
@@ -63,7 +65,7 @@ def blocks(page: str) -> list[Block]:
         if current is None:
             if not raw.strip():
                 return
-            current = Block(tuple(x for own in (trail if len(trail) <= 48 else trail[:24] + trail[-24:]) for x in own))
+            current = Block(*trail[-1])
         current.parts.append(html.unescape(raw))
         if anchors:
             current.linked += len(raw.strip())
@@ -78,13 +80,17 @@ def blocks(page: str) -> list[Block]:
 
     def pop(depth: int) -> None:
         nonlocal silent, anchors
-        for name, own in stack[depth:]:
+        for name, own in reversed(stack[depth:]):
+            places[name].pop()
             silent -= name in SILENT
             anchors -= name == "a"
             if own:
                 trail.pop()
         del stack[depth:]
 
+    def nearest(names: Iterable[str]) -> int:
+        return max((places[n][-1] for n in names if places.get(n)), default=-1)
+
     while at < size:
         lt = page.find("<", at)
         if lt < 0:
@@ -119,19 +125,15 @@ def blocks(page: str) -> list[Block]:
         if name not in INLINE:
             end()
         if page[lt + 1] == "/":
-            depth = next((i for i in range(len(stack) - 1, max(-1, len(stack) - 257), -1) if stack[i][0] == name), -1)
+            depth = nearest((name,))
             if depth >= 0:
                 pop(depth)
             continue
         if name in ENDS_P or name in CLOSES:
             close, bounds = CLOSES.get(name, CLOSES["p"]) if name in CLOSES else CLOSES["p"]
-            for i in range(len(stack) - 1, max(-1, len(stack) - 257), -1):
-                if stack[i][0] in close:
-                    pop(i)
-                    if name not in ("tr", "dt", "dd"):
-                        break
-                    continue
-                if stack[i][0] in bounds:
+            while (i := nearest(close)) > nearest(bounds):
+                pop(i)
+                if name not in ("tr", "dt", "dd"):
                     break
         if name == "body" and silent:  # a head that was not closed
             pop(0)
@@ -145,10 +147,11 @@ def blocks(page: str) -> list[Block]:
         marks = (name,) if name not in INLINE or name == "a" else ()
         if tag[2]:
             for found in MARKS.finditer(tag[2]):
-                marks += tuple("." + w for w in WORD.findall((found[1] or found[2] or found[3] or "").lower())[:8])
+                marks += tuple("." + w for w in WORD.findall((found[1] or found[2] or found[3] or "").lower()))
+        places.setdefault(name, []).append(len(stack))
         stack.append((name, marks))
         if marks:
-            trail.append(marks)
+            trail.append((trail[-1][0] + _path_vector(marks), marks[-1]))
         silent += name in SILENT
         anchors += name == "a"
     end()
@@ -175,15 +178,13 @@ def _path_vector(path: tuple[str, ...]) -> np.ndarray:
 def vectors(page: list[Block]) -> np.ndarray:
     out = np.zeros((len(page), PATH + WORDS + NUMBERS), np.float32)
     for i, b in enumerate(page):
-        out[i, :PATH] = _path_vector(b.path)
-        low = b.text[:4000].lower().split()
-        for word in low[:60]:
-            place, sign = _slot(word.strip(".,:;!?()"), WORDS)
-            out[i, PATH + place] += sign
+        out[i, :PATH] = b.path
+        places, signs = zip(*(_slot(word.strip(".,:;!?()"), WORDS) for word in b.text.lower().split()), strict=True)
+        out[i, PATH : PATH + WORDS] = np.bincount(places, signs, WORDS)
         out[i, PATH : PATH + WORDS] /= max(1.0, float(np.abs(out[i, PATH : PATH + WORDS]).sum()))
         n = len(b.text)
         out[i, PATH + WORDS :] = (
-            np.log1p(n) / 8, min(1.0, b.linked / n), min(1.0, b.text.count(".") / 8), min(1.0, b.text.count(",") / 8), float(b.text[-1] in ".!?…"), i / len(page), float(b.path[-1:] in (("p",), ("blockquote",), ("pre",))), float(bool(b.path) and b.path[-1][:1] == "h" and len(b.path[-1]) == 2),
+            np.log1p(n) / 8, min(1.0, b.linked / n), min(1.0, b.text.count(".") / 8), min(1.0, b.text.count(",") / 8), float(b.text[-1] in ".!?…"), i / len(page), float(b.last in ("p", "blockquote", "pre")), float(b.last[:1] == "h" and len(b.last) == 2),
         )
     return out
 

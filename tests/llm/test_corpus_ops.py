@@ -163,6 +163,19 @@ def test_html_blocks_and_labels():
     assert html_text.blocks("<p>" * 5000 + "<a \"" * 2000 + "<!--") is not None
 
 
+def test_html_reads_everything():
+    of = lambda page: html_text.vectors(html_text.blocks(page))[0]
+    words = html_text.PATH, html_text.PATH + html_text.WORDS
+    long = "word " * 60
+    assert (of(f"<p>{long}{'other ' * 40}")[slice(*words)] != of(f"<p>{long}{'third ' * 40}")[slice(*words)]).any()
+    assert [b.text for b in html_text.blocks("<object>" + "<div>" * 300 + "</object><p>seen")] == ["seen"]
+    eight = "aa bb cc dd ee ff gg hh"
+    assert (of(f'<p class="{eight} comment">x') != of(f'<p class="{eight}">x')).any()
+    assert (of("<div>" * 30 + "<nav>" + "<div>" * 30 + "x") != of("<div>" * 30 + "<aside>" + "<div>" * 30 + "x")).any()
+    page = f'<p>a</p><img src="{"d" * 70_000}"><p title="x > y">b</p>'
+    assert [b.text for b in html_text.blocks(page)] == ["a", "b"]
+
+
 def test_html_nulls(spark):
     rows = spark.createDataFrame([(1, "u", None), (None, None, "")], "page_id long, url string, html string")
     assert [(r.text, r.n_chars) for r in html_text.extract(rows, html_text.Labeller(html_text.PATH + html_text.WORDS + html_text.NUMBERS)).collect()] == [("", 0)] * 2
