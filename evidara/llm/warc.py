@@ -116,57 +116,105 @@ def parse(data: bytes | memoryview, at: int) -> tuple[Record, int]:
     return found, stop + 4
 
 
-def inflate(data: bytes, at: int) -> tuple[bytes, int]:
-    """The content of the gzip member at a place, checked by its CRC, and where the member ends."""
+def inflate(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """What the gzip member at a place holds, where it ends, and why it is broken: empty if it ends and its CRC holds.
+    Of a broken one, what was unpacked before the error, and -1."""
     unpack, out = zlib.decompressobj(31), []
     view = memoryview(data)
-    try:
-        while not unpack.eof:
-            if at >= len(data):
-                raise Broken("member not ended")
+    while not unpack.eof:
+        if at >= len(data):
+            out.append(unpack.flush())
+            return b"".join(out), -1, "member not ended"
+        before = unpack.copy()
+        try:
             out.append(unpack.decompress(view[at : at + PIECE]))
-            at += PIECE
-    except zlib.error as e:
-        raise Broken(str(e)) from None
-    return b"".join(out), min(at, len(data)) - len(unpack.unused_data)
+        except zlib.error as e:
+            out.append(_until_error(before, view[at : at + PIECE]))
+            return b"".join(out), -1, str(e)
+        at += PIECE
+    return b"".join(out), min(at, len(data)) - len(unpack.unused_data), ""
+
+
+def _until_error(unpack, piece: memoryview) -> bytes:
+    """What a piece with an error in it unpacks to before the error: halves of it are tried, then what is left byte by byte."""
+    out = []
+    while len(piece):
+        step = max(1, len(piece) // 2)
+        before = unpack.copy()
+        try:
+            out.append(unpack.decompress(piece[:step]))
+            piece = piece[step:]
+        except zlib.error:
+            if step == 1:
+                break
+            unpack, piece = before, piece[:step]
+    return b"".join(out)
+
+
+def _inner(content: bytes) -> Iterator[Record | tuple[int, int, str]]:
+    """Records of unpacked or plain content, and gaps; after a failed record the next version line that holds is sought."""
+    at, gap, reason = 0, -1, ""
+    while at < len(content):
+        try:
+            found, after = parse(content, at)
+        except Broken as e:
+            if gap < 0:
+                gap, reason = at, str(e)
+            line = VERSION_LINE.search(content, at + 1)
+            at = line.start() if line else len(content)
+            continue
+        if gap >= 0:
+            yield gap, at - gap, reason
+            gap = -1
+        yield found
+        at = after
+    if gap >= 0:
+        yield gap, len(content) - gap, reason
 
 
 def salvage(data: bytes) -> Iterator[Record | tuple[int, int, str]]:
     """Records of an archive, and (offset, length, reason) of each quarantined gap.
 
-    A gzip member may hold several records; if one of them is broken the member counts up to it. Empty data has no
-    records and no gaps. Cost: each failed member is unpacked at most up to its first error.
+    A gzip member may hold several records: those that hold are kept, wherever they are in it, and those that a broken
+    member unpacked to before its error too. Their offset is the member's. A gap inside a member that is whole has the
+    member's offset, its length in the unpacked content, and a reason that says from where; a broken member, or one without a
+    record that holds, is a gap of the archive's bytes up to the next place that holds. Empty data has no records and no gaps.
+    Cost: each failed member is unpacked at most up to its first error.
     """
     at, gap, reason = 0, -1, ""
+    kept: list[Record] = []  # of broken members since the gap began; packed data may hold them as they are, to be found again
     while at < len(data):
+        if gap < 0:
+            kept = []
         try:
             if data[at : at + 2] == b"\x1f\x8b":
-                content, after = inflate(data, at)
-                own, inner = [], 0
-                while inner < len(content):
-                    try:
-                        found, inner = parse(content, inner)
-                    except Broken as e:
-                        reason = str(e)
-                        break
+                content, after, why = inflate(data, at)
+                own = list(_inner(content))
+                records = [x for x in own if isinstance(x, Record)]
+                for found in records:
                     found.offset = at
-                    own.append(found)
-                if inner < len(content) and not own:
-                    raise Broken(reason)
-                if gap >= 0:
-                    yield gap, at - gap, reason
-                    gap = -1
-                yield from own
-                if inner < len(content):  # its later records are lost, those of the next member aren't
-                    yield at, after - at, reason
-                at = after
-            else:
-                found, after = parse(data, at)
-                if gap >= 0:
+                if not why and (records or not content):
+                    if gap >= 0:
+                        yield gap, at - gap, reason
+                        gap = -1
+                    for x in own:
+                        yield x if isinstance(x, Record) else (at, x[1], f"{x[2]}, at {x[0]} of the member's content")
+                    at = after
+                    continue
+                if records and gap >= 0:
                     yield gap, at - gap, reason
                     gap = -1
-                yield found
-                at = after
+                yield from records
+                kept += records
+                raise Broken(f"{why}, {len(records)} of its records kept" if records else why or own[0][2])
+            found, after = parse(data, at)
+            if any(found.headers == x.headers and found.block == x.block for x in kept):
+                raise Broken("found before")
+            if gap >= 0:
+                yield gap, at - gap, reason
+                gap = -1
+            yield found
+            at = after
         except Broken as e:
             if gap < 0:
                 gap, reason = at, str(e)

@@ -139,6 +139,28 @@ def test_warc_salvage_recovers_after_damage():
     assert ids == [str(i) for i in range(19) if i != 5] and list(warc.salvage(b"")) == [] and [g[:2] for g in warc.salvage(b"junk")] == [(0, 4)]
 
 
+def test_warc_salvage_inside_members():
+    r = random.Random(2)
+    pages = [bytes(r.randrange(256) for _ in range(3000)) for _ in range(30)]
+    records = [warc.response(str(i), "u", "d", p, warc.payload_digest(p)) for i, p in enumerate(pages)]
+    ids = lambda data: [int(x.headers["x-page-id"]) for x in warc.salvage(data) if isinstance(x, warc.Record)]
+    gaps = lambda data: [x for x in warc.salvage(data) if not isinstance(x, warc.Record)]
+    for bad in (0, 4, 29):
+        broken = [x.replace(b"\r\n\r\n", b"\r\n\r\n?", 1) if i == bad else x for i, x in enumerate(records)]
+        one = warc.member(b"".join(broken))
+        assert ids(one + warc.member(records[0])) == [*(i for i in range(30) if i != bad), 0]
+        assert [g[:2] for g in gaps(one)] == [(0, len(broken[bad]))]
+    whole = warc.member(b"".join(records))
+    assert ids(whole[:-4] + b"none" + warc.member(records[5])) == [*range(30), 5]  # the member's CRC and length are wrong
+    cut = ids(whole[: len(whole) // 2])
+    assert cut == list(range(len(cut))) and len(cut) >= 13 and sum(g[1] for g in gaps(whole[: len(whole) // 2])) == len(whole) // 2
+    assert ids(warc.member(b"".join(records), 0)[:-4] + b"none") == list(range(30))  # stored as they are
+    hurt = bytearray(warc.member(b"".join(records), 1) + warc.member(records[7]))
+    hurt[20_000:20_040] = b"\xff" * 40
+    kept = ids(bytes(hurt))
+    assert kept[-1] == 7 and kept[:-1] == list(range(len(kept) - 1)) and len(kept) > 4
+
+
 @pytest.mark.parametrize("smallest", [0, 5])
 def test_warc_round_trip(spark, smallest):
     rows = [(4, "u", "same page é", "x"), (2, "u", "same page é", "x"), (9, None, "same page é", "x"), (5, "u", None, "x"), (6, "u", "", "x"), (7, "u", "abc", "x"), (8, "u", "abc", "x"), (None, "u", "abc", "x")]
