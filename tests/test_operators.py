@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from evidara.functions import analytics as an
 from evidara.operators import baselines, eras, features, predict
+from evidara.plans import queries
 from evidara.sources import documents, ingest, sinks
 from evidara.streaming import live, pool
 
@@ -203,3 +204,16 @@ def test_predictions_are_verified_once(spark):
     assert [r.correct for r in found.collect()] == [True] and predict.verify(records, found, resolved).count() == 0
     with pytest.raises(ValueError):
         predict.save(picks, "r", "t", 1.5)
+
+
+def test_holdout_fits_the_whole_forest(spark, monkeypatch):
+    asked = {}
+
+    def forest(**params):
+        asked.update(params)
+        raise InterruptedError
+
+    monkeypatch.setattr(predict, "RandomForestClassifier", forest)
+    with pytest.raises(InterruptedError):
+        queries.QUERIES["rf_holdout"](spark, "/root/testdata/sf0.001")
+    assert (asked["numTrees"], asked["maxDepth"]) == (500, 30)
