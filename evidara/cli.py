@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from evidara.operators import cascade as cas
 from evidara.operators import features, graph, predict, summary
+from evidara.plans.lineage import cut
 from evidara.ringview import membership
 from evidara.sources import ingest, rpc, sinks
 
@@ -83,7 +84,12 @@ def run(spark: SparkSession, args: argparse.Namespace) -> object:
     store = Store(spark, args.data)
     if args.command == "scan":
         spark.dataSource.register(rpc.NodeSource)
-        good, bad = ingest.validated(spark.read.format("node_blocks").options(url=args.url, start=str(args.start), end=str(args.end)).load())
+        rows = cut(spark.read.format("node_blocks").options(url=args.url, start=str(args.start), end=str(args.end)).load(), "blocks")
+        good, bad = ingest.validated(rows)
+        found = cut(ingest.transactions(good, {"url": args.url}), "transactions")
+        # Blocks come last, so that a stored block has all its rows.
+        store.append("ring_members", ingest.flatten(found), ["tx_hash", "input_index", "position"])
+        store.append("transactions", found.drop("json"), ["tx_hash"])
         store.append("blocks", good, ["height"])
         return {"scanned": args.end - args.start + 1, "rejected": bad.count()}
     members = store.members()

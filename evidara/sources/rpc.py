@@ -79,12 +79,12 @@ class Client:
             raise RuntimeError(f"asked for {height}, got {head['height']}")
         return height, head["hash"], head.get("prev_hash"), head["timestamp"], found["json"]
 
-    def batched(self, path: str, name: str, keys: list, size: int) -> list[dict]:
+    def batched(self, path: str, name: str, keys: list, size: int, **more: object) -> list[dict]:
         """Look-ups in batches; every key must be answered, in order."""
         out: list[dict] = []
         for i in range(0, len(keys), size):
             part = keys[i : i + size]
-            found = self.call(path, {name: part})
+            found = self.call(path, {name: part} | more)
             rows = found.get("txs") or found.get("outs") or []
             if len(rows) != len(part) or found.get("missed_tx"):
                 raise RuntimeError(f"{path}: {len(rows)} of {len(part)} answered")
@@ -92,6 +92,25 @@ class Client:
         return out
 
 
+    def transactions(self, height: int, hashes: list[str]) -> Iterator[tuple[str, int, int, int, str]]:
+        """(tx_hash, block_height, num_inputs, num_outputs, json) of a block's transactions, all of them, or an error."""
+        if any(not isinstance(h, str) or not h for h in hashes) or len(set(hashes)) != len(hashes):
+            raise RuntimeError(f"transaction hashes of block {height}")
+        found = self.batched("get_transactions", "txs_hashes", hashes, 100, decode_as_json=True)
+        if {tx.get("tx_hash") for tx in found} != set(hashes):
+            raise RuntimeError(f"transactions of block {height} don't match")
+        for tx in found:
+            if tx.get("in_pool") or tx.get("block_height", height) != height:
+                raise RuntimeError(f"transaction {tx['tx_hash']} is not of block {height}")
+            body = json.loads(tx["as_json"])
+            keys = [i["key"] for i in body["vin"] if "key" in i]
+            for key in keys:
+                numbers = [key["amount"], *key["key_offsets"]]
+                if not key["k_image"] or not key["key_offsets"] or any(type(x) is not int or x < 0 for x in numbers):
+                    raise RuntimeError(f"ring input of transaction {tx['tx_hash']}")
+            yield tx["tx_hash"], height, len(keys), len(body["vout"]), tx["as_json"]
+
+
 def client(options: dict) -> Client:
     o = {k.lower(): v for k, v in options.items()}
     return Client(o["url"], float(o.get("budget_seconds", 300)), int(o.get("max_requests", 10_000)), int(o.get("max_bytes", 1 << 30)), int(o.get("retries", 3)))

@@ -1,4 +1,6 @@
+import http.server
 import json
+import threading
 
 import pytest
 
@@ -32,3 +34,32 @@ def test_bounds():
     for argv in (["predict", "--data", "x", "--confidence", "2"], ["brain", "--data", "x", "related", "k", "--limit", "0"], ["fly"]):
         with pytest.raises(SystemExit):
             cli.parser().parse_args(argv)
+
+
+class Node(http.server.BaseHTTPRequestHandler):
+    def do_POST(self):
+        asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+        if self.path == "/get_transactions":
+            ring = {"vin": [{"key": {"amount": 0, "key_offsets": [5, 2, 0], "k_image": "k"}}, {"gen": {}}], "vout": [{"amount": 0}, {"amount": 0}]}
+            answer = {"status": "OK", "txs": [{"tx_hash": h, "block_height": int(h[1:]), "as_json": json.dumps(ring | {"vin": [{"key": ring["vin"][0]["key"] | {"k_image": "k" + h}}, {"gen": {}}]})} for h in asked["txs_hashes"]]}
+        else:
+            height = asked["params"]["height"]
+            answer = {"result": {"block_header": {"height": height, "hash": f"{height:064x}", "timestamp": 1_500_000_000}, "json": json.dumps({"tx_hashes": [f"t{height}"] if height else []})}}
+        self.send_response(200)
+        self.end_headers()
+        self.wfile.write(json.dumps(answer).encode())
+
+    def log_message(self, *_):
+        pass
+
+
+def test_scan_stores_transactions_and_rings(spark, tmp_path):
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Node)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    for _ in range(2):
+        assert ask(spark, "scan", "--data", str(tmp_path), "--url", f"http://127.0.0.1:{server.server_port}", "--end", "2") == {"scanned": 3, "rejected": 0}
+    server.shutdown()
+    read = lambda name, *columns: sorted(map(tuple, spark.read.parquet(str(tmp_path / name)).select(*columns or "*").collect()))
+    assert read("transactions.parquet", "tx_hash", "block_height", "num_inputs", "num_outputs") == [("t1", 1, 1, 2), ("t2", 2, 1, 2)] and len(read("blocks.parquet")) == 3
+    assert read("ring_members.parquet", "tx_hash", "input_index", "key_image", "amount", "position", "global_output_index") == [(t, 0, "k" + t, 0, p, i) for t in ("t1", "t2") for p, i in enumerate((5, 7, 7))]
+    assert ask(spark, "status", "--data", str(tmp_path))["rings"] == 2
