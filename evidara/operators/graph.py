@@ -5,14 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidara.llm.components import components
 from evidara.operators.cascade import OUTPUT
+from evidara.operators.components import components
 from evidara.operators.summary import claimed
 from evidara.plans.lineage import cut
 
-#: Members of one output from which its self-join is spread.
-SPREAD = 64
-
 
 def recall(members: DataFrame, context: DataFrame, resolved: DataFrame, key) -> DataFrame:
     """One ring's snapshot: its candidates in order, its context and its claim; filters reach the scans."""

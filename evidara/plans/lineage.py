@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir; only where that is unset (local tests) a temporary one is set."""
+    """A new path below spark.checkpoint.dir; only where that is unset and all runs in one process a temporary one is set."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="evidara-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/evidara-{name}-{uuid.uuid4().hex[:12]}"

@@ -1,7 +1,9 @@
+import random
+
 import pytest
 
 from evidara.operators import cascade as cas
-from evidara.operators import graph, summary
+from evidara.operators import components, graph, summary
 
 MEMBERS = "key_image string, amount long, idx long"
 
@@ -79,6 +81,15 @@ def test_components_join_through_bridges(spark):
     assert {(r.v, r.root) for r in graph.components(edges).collect()} == {(2, 2), (3, 2), (4, 2), (5, 2), (10, 10), (11, 10), (7, 7)}
 
 
+@pytest.mark.parametrize("kind, one_task", [("long", 1 << 20), ("long", 0), ("string", 0)])
+def test_components_of_long_paths_with_random_ids(spark, monkeypatch, kind, one_task):
+    monkeypatch.setattr(components, "ONE_TASK", one_task)
+    ids = list(range(300))
+    random.Random(3).shuffle(ids)
+    edges = spark.createDataFrame([*zip(ids, ids[1:], strict=False), (900, 900)], "a long, b long").selectExpr(f"cast(a as {kind}) a", f"cast(b as {kind}) b")
+    assert {(str(r.v), str(r.root)) for r in graph.components(edges).collect()} == {(str(i), "0") for i in ids} | {("900", "900")}
+
+
 @pytest.mark.parametrize("claimed, n", [([], 1), ([("x", 0, 1, "cascade")], 0)])
 def test_events_are_reused_if_unchanged(spark, claimed, n):
     kind = "id long, key_image string, real_amount long, real_output_index long, method string"
