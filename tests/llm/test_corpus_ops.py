@@ -9,8 +9,8 @@ import zlib
 import numpy as np
 import pytest
 
-from evidara.llm import boosting, components, html_text, jaccard_join, permutation_index, quality, toxicity, warc
-from evidara.operators import graph
+from evidara.llm import boosting, html_text, jaccard_join, permutation_index, quality, toxicity, warc
+from evidara.operators import components
 
 SF = "/root/testdata/sf0.001"
 
@@ -71,15 +71,6 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, one_task):
     assert [(r.n_shingles, r.component_id) for r in got if r.doc_id is None] == [(1, None)]
 
 
-@pytest.mark.parametrize("kind, one_task", [("long", 1 << 20), ("long", 0), ("string", 0)])
-def test_components_of_a_long_path_with_random_ids(spark, monkeypatch, kind, one_task):
-    monkeypatch.setattr(components, "ONE_TASK", one_task)
-    ids = list(range(300))
-    random.Random(3).shuffle(ids)
-    edges = spark.createDataFrame([*zip(ids, ids[1:], strict=False), (900, 900)], "a long, b long").selectExpr(f"cast(a as {kind}) a", f"cast(b as {kind}) b")
-    assert {(str(r.v), str(r.root)) for r in graph.components(edges).collect()} == {(str(i), "0") for i in ids} | {("900", "900")}
-
-
 @pytest.mark.parametrize("part", [2000, 7])
 def test_links_equal_brute_force(spark, monkeypatch, part):
     monkeypatch.setattr(jaccard_join, "PART_SETS", part)
