@@ -241,6 +241,58 @@ def test_string_kernel_is_the_sum_over_subsequences():
             assert math.isclose(got[i, j], plain(s, t) / math.sqrt(plain(s, s) * plain(t, t)), rel_tol=1e-4)
 
 
+def brute_sentences(text):
+    """Sentences of simple ASCII text as sets of units: what the module reads, said plainly."""
+    out = []
+    for sentence in re.split(r"[.?!](?=\s|$)|\n", text.lower()):
+        words = [re.sub("[^a-z]", "", w.translate(str.maketrans("0134578@$!", "oieastbasi"))) for w in sentence.split()]
+        words = [w for w in words if w]
+        run, own = [], []
+        for w in [*words, "xx"]:
+            if len(w) == 1:
+                run.append(w)
+                continue
+            own += ["".join(run)] if len(run) > 2 else []
+            run = []
+        own += words
+        out.append({w[a : a + toxicity.LONGEST] for w in own for a in (range(0, max(1, len(w) - toxicity.LONGEST + toxicity.STRIDE), toxicity.STRIDE))})
+    return [x for x in out if x]
+
+
+def test_folded_values_equal_sums_of_kernels():
+    r = random.Random(1)
+    bad = ["grumpel", "snork", "blathero"]
+    say = lambda: [r.choice(["alma", "bero", "cint", "dorun", "ester", "fanli"]) + r.choice(["a", "o", "us", "ent"]) for _ in range(6)]
+    rows = []
+    for t in range(120):
+        for _ in range(4):
+            words = say()
+            if t % 3 == 0 and r.random() < 0.6:
+                words[2] = r.choice(bad)
+            rows.append((t, int(t % 3 == 0), " ".join(sorted(set(words))).encode()))
+    machine = toxicity.fit(rows, 24)
+    texts = ["alma snork, bero! g r u m p e l Sn0rk. cint", "", "a. b", "grum-pel estera? blathero " + "abcdefghij" * 5, "grxumpel dorunus ester", "кретин дурак 日本語"]
+    scorer = toxicity.Scorer(machine)
+    data = [t.encode() for t in texts]
+    got = scorer.best(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+    for text, own in zip(texts[:5], got, strict=False):
+        want = []
+        for sentence in brute_sentences(text):
+            words = [w.encode() for w in sorted(sentence) if len(w) > 1]
+            want.append(machine.bias + (toxicity.kernels(words, machine.landmarks).sum(0) @ machine.alphas if words else 0.0))
+        want = sorted(want, reverse=True)[: toxicity.TOP]
+        assert np.allclose(own, want + [machine.bias] * (toxicity.TOP - len(want)), atol=1e-3)
+    assert got[0, 0] > 0 and got[4, 0] > got[2, 0] and len(set(got[5])) > 1  # other scripts have letters
+    assert (toxicity.Scorer(machine).best(np.frombuffer(data[0] * 2, np.uint8), np.array([0, len(data[0]), 2 * len(data[0])])) == got[0]).all()  # repeated rows
+
+
+def test_units_of_long_texts_and_bad_bytes():
+    piece = (b"word " * 1000 + b"x" * 5000 + b". " + bytes(range(128, 256)) + b"\n") * 20
+    own = toxicity.units(np.frombuffer(piece, np.uint8), np.array([0, 0, len(piece), len(piece)]))
+    assert set(own.texts.tolist()) == {1} and own.sizes.max() == toxicity.LONGEST and np.bincount(own.sentences).max() <= toxicity.PIECE
+    assert len(toxicity.units(np.zeros(0, np.uint8), np.array([0])).starts) == 0
+
+
 def test_nearest_has_recall_and_breaks_ties_by_id(spark):
     rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     data = rows.toPandas().sort_values("vec_id")
