@@ -293,8 +293,7 @@ def test_units_of_long_texts_and_bad_bytes():
     assert len(toxicity.units(np.zeros(0, np.uint8), np.array([0])).starts) == 0
 
 
-def test_nearest_has_recall_and_breaks_ties_by_id(spark):
-    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+def recall(rows, spark):
     data = rows.toPandas().sort_values("vec_id")
     ids, x = data.vec_id.values, np.array(data.embedding.tolist(), float)
     hit = total = 0
@@ -302,12 +301,47 @@ def test_nearest_has_recall_and_breaks_ties_by_id(spark):
         i = np.flatnonzero(ids == query)[0]
         value = x @ x[i]
         value[i] = -9
+        assert sorted(own["rank"]) == list(range(1, 21)) and query not in set(own.vec_id)
         hit += len(set(ids[np.argsort(-value, kind="stable")[:20]]) & set(own.vec_id))
         total += 20
-    assert hit >= 0.9 * total
-    odd = [(1, None), (2, [0.0, 0.0]), (3, [1.0, float("nan")]), (20, [1.0, 2.0]), (40, [1.0, 2.0]), (4, [1.0, 2.0]), (5, [3.0, 1.0]), (4, [9.0, 9.0]), (None, [1.0, 1.0]), (6, [1.0]), (7, [1.0, None])]
-    got = [tuple(r)[:3] for r in permutation_index.nearest(spark.createDataFrame(odd, "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect()]
-    assert got == [(20, 1, 4), (20, 2, 5), (20, 3, 40), (40, 1, 4), (40, 2, 5), (40, 3, 20)]
+    return hit / total
+
+
+@pytest.mark.parametrize("table, block", [("sf0.01", 16_384), ("sf0.1", 16_384), ("sf0.1", 700), ("made", 16_384), ("made", 4_096)])
+def test_nearest_has_recall(spark, monkeypatch, table, block):
+    monkeypatch.setattr(permutation_index, "BLOCK", block)
+    if table == "made":
+        x = np.random.default_rng(3).normal(size=(10_000, 64))
+        x /= np.sqrt((x * x).sum(1, keepdims=True))
+        rows = spark.createDataFrame([(17 * i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    else:
+        rows = spark.read.parquet(f"/root/testdata/{table}/embeddings.parquet")
+    assert recall(rows, spark) >= 0.9
+
+
+def test_footrule_is_that_of_the_orders():
+    r = np.random.default_rng(2)
+    x = r.normal(size=(300, 8))
+    top = float((x * x).sum(1).max())
+    index = permutation_index.Block(np.arange(300), np.arange(300), x, permutation_index.lifted(x[:100], top), top)
+    near = index.permutation(permutation_index.lifted(index.x, top))
+    place = lambda order, pivot: order.index(pivot) if pivot in order else index.prefix
+    got, own = index.footrule(near[5]), near[5].tolist()
+    for i in range(0, 300, 7):
+        other = near[i].tolist()
+        want = sum(abs(place(own, p) - place(other, p)) for p in {*own, *other})
+        assert 2 * got[i] + index.prefix * (index.prefix + 1) == want
+
+
+def test_nearest_breaks_ties_by_id_and_takes_odd_rows(spark):
+    odd = [(1, None), (2, [0.0, 0.0]), (3, [1.0, float("nan")]), (20, [1.0, 2.0]), (40, [1.0, 2.0]), (4, [1.0, 2.0]), (5, [3.0, 1.0]), (None, [1.0, 1.0]), (6, [1.0]), (7, [1.0, None])]
+    ask = lambda rows: [tuple(r) for r in permutation_index.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>, id string, row string, e string")).orderBy("query_id", "rank", "vec_id").collect()]
+    wide = lambda rows: [(*r, "id", "row", "e") for r in rows]
+    assert [r[:3] for r in ask(wide(odd))] == [(20, 1, 4), (20, 2, 5), (20, 3, 40), (40, 1, 4), (40, 2, 5), (40, 3, 20)]
+    # Rows of a repeated id are candidates each, and queries each.
+    assert ask(wide([(20, [1.0, 0.0]), (3, [5.0, 0.0]), (3, [9.0, 0.0])])) == [(20, 1, 3, 9.0), (20, 2, 3, 5.0)]
+    assert ask(wide([(20, [1.0, 0.0]), (20, [2.0, 0.0]), (20, [2.0, 0.0])])) == [(20, 1, 20, 2.0), (20, 1, 20, 4.0), (20, 1, 20, 4.0), (20, 2, 20, 2.0), (20, 2, 20, 2.0), (20, 2, 20, 2.0)]
+    assert ask([]) == ask(wide([(1, [1.0, 2.0])])) == ask(wide([(20, [1.0, 2.0])])) == []
 
 
 def test_pipeline_keeps_columns_and_cleans(spark):
