@@ -1,8 +1,8 @@
 """N-gram Jaccard join by prefix trees, and the classes that its links make.
 
-Texts become sets of 64-bit shingle hashes; equal sets are one class from the start. All sets follow one global order:
-shingles that a fixed-size count sketch finds common come last, the others by hash. Two sets can only be similar if they
-share a shingle in their prefixes of that order, so sets meet in buckets by prefix shingle; and if each shares about half
+Texts become sets of 64-bit shingle hashes, in the global order of the hashes; equal sets are one class from the start. For
+prefixes, shingles that a fixed-size count sketch finds common come last, the others by hash. Two sets can only be similar
+if they share a shingle in their prefixes, so sets meet in buckets by prefix shingle; and if each shares about half
 of a prefix of twice that length, which most sets do with no other and go no further. Each bucket's sets are stored
 in a compressed trie, and every set walks it, sharing the overlap of a common path and leaving subtrees whose remaining
 lengths can't reach the needed overlap, or that hold only sets of its own class.
@@ -301,19 +301,12 @@ class Trie:
 
 
 def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """For each of some sets the first one of its class, where classes are the components of the links between them."""
+    """For each of some sets, each in the global order of shingle hashes, the first one of its class, where classes are the
+    components of the links between them."""
     m = len(sets)
-    if m == 2:
-        a, b = sets
-        both = len(np.intersect1d(a, b, assume_unique=True))
-        return np.array([0, 0 if (100 + percent) * both >= percent * (len(a) + len(b)) else 1])
-    flat = np.concatenate(sets)
-    distinct, codes, count = np.unique(flat, return_inverse=True, return_counts=True)
-    rank = np.empty(len(distinct), np.int64)
-    rank[np.argsort(-count, kind="stable")] = np.arange(len(distinct))  # common first: most paths are shared
-    codes = rank[codes]
+    distinct, codes = np.unique(np.concatenate(sets), return_inverse=True)  # shorter names in the same order
     ends = np.cumsum([len(s) for s in sets])
-    rows = [np.sort(codes[e - len(s) : e]) for e, s in zip(ends, sets, strict=True)]
+    rows = [codes[e - len(s) : e] for e, s in zip(ends, sets, strict=True)]
     order = sorted(range(m), key=lambda i: rows[i].astype(">u4").tobytes())
     trie = Trie([rows[i] for i in order])
     classes, marks = np.arange(m), np.zeros(len(distinct), bool)
