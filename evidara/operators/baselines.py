@@ -2,64 +2,102 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterable
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidara.operators.features import reuse
 
-#: Common denominator of the credits 1/k for up to 13 tied candidates.
-LCM = math.lcm(*range(1, 14))
+BASELINES = ("uniform", "newest", "oldest", "minimum_reuse")
+#: Why a claim is left out, in this order (fixed values); the first that holds counts.
+EXCLUSIONS = ("missing_members", "invalid_identity", "mixed_amount_buckets", "missing_context", "conflicting_context", "invalid_label", "conflicting_label", "singleton")
 
 
-def exclusions(members: DataFrame, claims: DataFrame) -> DataFrame:
-    """Each claim (key_image, amount, idx) with the first reason that excludes it, or null: reasons are disjoint."""
+def exclusions(details: DataFrame, claims: DataFrame) -> DataFrame:
+    """Each claim (key_image, amount, idx) with its ring's size n and the first reason that excludes it, or null.
+
+    details: (key_image, tx_hash, input_index, height, amount, idx), any number of rows for a membership. A label is
+    conflicting if several claims name the output; its ring need not hold it.
+    """
+    bad = lambda c: F.col(c).isNull() | (F.col(c) < 0)
+    context = F.struct("tx_hash", "input_index", "height")
+    ring = details.groupBy("key_image").agg(
+        F.count_distinct("amount", "idx").alias("n"), F.min("amount").alias("low"), F.max("amount").alias("high"), F.bool_or(bad("amount") | bad("idx")).alias("identity"),
+        F.bool_or(F.col("tx_hash").isNull() | bad("input_index") | bad("height")).alias("lost"), F.min(context).alias("one"), F.max(context).alias("other"),
+    )
     twice = claims.groupBy("amount", "idx").agg(F.count("*").alias("claimed"))
-    ring = members.groupBy("key_image").agg(F.count("*").alias("n"), F.count_distinct("amount").alias("amounts"))
-    inside = members.select("key_image", "amount", "idx", F.lit(1).alias("inside"))
-    rows = claims.join(twice, ["amount", "idx"]).join(ring, "key_image", "left").join(inside, ["key_image", "amount", "idx"], "left")
+    inside = details.select("key_image", "amount", "idx", F.lit(1).alias("inside")).distinct()
+    rows = claims.join(twice, ["amount", "idx"], "left").join(ring, "key_image", "left").join(inside, ["key_image", "amount", "idx"], "left")
     reason = (
-        F.when(F.col("claimed") > 1, "conflicting_label").when(F.col("n").isNull(), "missing_members").when(F.col("amounts") > 1, "mixed_amount_buckets").when(F.col("inside").isNull(), "invalid_label").when(F.col("n") < 2, "singleton")
+        F.when(F.col("n").isNull(), "missing_members").when(F.col("identity"), "invalid_identity").when(F.col("low") != F.col("high"), "mixed_amount_buckets").when(F.col("lost"), "missing_context")
+        .when(F.col("one") != F.col("other"), "conflicting_context").when(bad("amount") | bad("idx") | F.col("inside").isNull(), "invalid_label").when(F.col("claimed") > 1, "conflicting_label").when(F.col("n") < 2, "singleton")
     )
     return rows.select("key_image", "amount", "idx", "n", reason.alias("reason"))
 
 
-def eligible(members: DataFrame, claims: DataFrame) -> DataFrame:
-    return exclusions(members, claims).where("reason is null").select("key_image", F.col("amount").alias("real_amount"), F.col("idx").alias("real_idx"), "n")
+def eligible(details: DataFrame, claims: DataFrame) -> DataFrame:
+    return exclusions(details, claims).where("reason is null").select("key_image", F.col("amount").alias("real_amount"), F.col("idx").alias("real_idx"), "n")
 
 
-def credits(members: DataFrame, claims: DataFrame) -> DataFrame:
-    """Per eligible ring and baseline: ties among its picks, and whether the real output is one of them.
-
-    Whole-snapshot reuse is used, so later rings count as well.
+def credits(members: DataFrame, own: DataFrame) -> DataFrame:
+    """Per eligible ring (key_image, real_amount, real_idx, n) and baseline: ties among its picks, and whether the real output
+    is one of them. Whole-snapshot reuse is used, so later rings count as well.
     """
-    own = eligible(members, claims)
     counted = reuse(members).join(own, "key_image")
     ring = Window.partitionBy("key_image")
     real = (F.col("idx") == F.col("real_idx")) & (F.col("amount") == F.col("real_amount"))
     rows = counted.select("key_image", "n", real.alias("real"), F.lit(True).alias("uniform"), (F.col("idx") == F.max("idx").over(ring)).alias("newest"), (F.col("idx") == F.min("idx").over(ring)).alias("oldest"), (F.col("reuse") == F.min("reuse").over(ring)).alias("minimum_reuse"))
-    names = ("uniform", "newest", "oldest", "minimum_reuse")
-    per = rows.groupBy("key_image", "n").agg(*(F.struct(F.count_if(F.col(k)).alias("ties"), F.bool_or(F.col(k) & F.col("real")).alias("hit")).alias(k) for k in names))
-    return per.select("key_image", "n", F.explode(F.array(*(F.struct(F.lit(k).alias("baseline"), F.col(f"{k}.ties").alias("ties"), F.col(f"{k}.hit").alias("hit")) for k in names))).alias("v")).select("key_image", "n", "v.*")
+    per = rows.groupBy("key_image", "n").agg(*(F.struct(F.count_if(F.col(k)).alias("ties"), F.bool_or(F.col(k) & F.col("real")).alias("hit")).alias(k) for k in BASELINES))
+    return per.select("key_image", "n", F.explode(F.array(*(F.struct(F.lit(k).alias("baseline"), F.col(f"{k}.ties").alias("ties"), F.col(f"{k}.hit").alias("hit")) for k in BASELINES))).alias("v")).select("key_image", "n", "v.*")
 
 
 def metrics(rows: DataFrame, by: Iterable[str] = ("baseline",)) -> DataFrame:
-    """rings, credit (over LCM, exact), expected (credit as a number), tied rings and unique hits."""
-    credit = F.sum(F.when(F.col("hit"), F.lit(LCM).cast("long") / F.col("ties")).otherwise(0).cast("decimal(38,0)"))
-    return rows.groupBy(*by).agg(F.count("*").alias("rings"), credit.cast("long").alias("credit"), F.count_if(F.col("ties") > 1).alias("tied"), F.count_if(F.col("hit") & (F.col("ties") == 1)).alias("unique_hits")).withColumn("expected", F.round(F.col("credit") / LCM, 6))
+    """rings, expected (sum of 1/ties over hits), accuracy, contains, unique, unique_correct, tied, and parts: for each number
+    of ties the rings and hits, from which credit says the expectation exactly whatever a ring's size."""
+    by = list(by)
+    per = rows.groupBy(*by, "ties").agg(F.count("*").alias("rings"), F.count_if("hit").alias("hits"))
+    total = per.groupBy(*by).agg(
+        F.sum("rings").alias("rings"), F.sum(F.col("hits") / F.col("ties")).alias("expected"), F.sum("hits").alias("contains"), F.sum(F.when(F.col("ties") == 1, F.col("rings")).otherwise(0)).alias("unique"),
+        F.sum(F.when(F.col("ties") == 1, F.col("hits")).otherwise(0)).alias("unique_correct"), F.sort_array(F.collect_list(F.struct("ties", "rings", "hits"))).alias("parts"),
+    )
+    return total.withColumn("tied", F.col("rings") - F.col("unique")).withColumn("accuracy", F.col("expected") / F.col("rings"))
+
+
+def credit(parts: Iterable) -> Fraction:
+    """The exact expected number of hits of a row's parts."""
+    return sum((Fraction(p["hits"], p["ties"]) for p in parts), Fraction(0))
 
 
 def size_bucket(column: str) -> F.Column:
+    """The sampling strata's sizes (fixed values)."""
     n = F.col(column)
-    return F.when(n == 2, "2").when(n <= 3, "3").when(n <= 5, "4-5").when(n <= 8, "6-8").otherwise("9+")
+    return F.when(n <= 2, "2").when(n <= 4, "3–4").when(n <= 8, "5–8").when(n <= 16, "9–16").when(n <= 32, "17–32").otherwise("33+")
 
 
-def ring_bucket(column: str) -> F.Column:
-    """The sampling strata's sizes."""
-    n = F.col(column)
-    return F.when(n <= 1, "1").when(n == 2, "2").when(n == 3, "3").when(n <= 5, "4-5").when(n <= 8, "6-8").when(n <= 16, "9-16").when(n <= 32, "17-32").otherwise("33+")
+def sample_frame(details: DataFrame, claims: DataFrame) -> DataFrame:
+    """Each ring with its excluded reason, or null and its stratum: status, branch and size bucket.
+
+    details as for exclusions; claims: (key_image, amount, idx, pass, confidence). Rings with a deterministic claim keep
+    their members; the others keep those that no claim names. n: members, candidates: what is kept.
+    """
+    claims = claims.select("key_image", F.struct("amount", "idx").alias("claim"), ((F.col("confidence") == 1.0) & F.coalesce(F.col("pass") >= 0, F.lit(False))).alias("sure"))
+    named = claims.select("claim.amount", "claim.idx").distinct().withColumn("named", F.lit(True))
+    context = F.struct("tx_hash", "input_index", "height")
+    members = details.select("key_image", "amount", "idx").distinct().join(named, ["amount", "idx"], "left")
+    sizes = members.groupBy("key_image").agg(F.count("*").alias("n"), F.count_if(F.col("named").isNull()).alias("free"), F.min("amount").alias("low"), F.max("amount").alias("high"))
+    where = details.groupBy("key_image").agg(F.count("*").alias("rows"), F.min(context).alias("one"), F.max(context).alias("other"))
+    inside = claims.select("key_image", "claim.amount", "claim.idx").join(members.select("key_image", "amount", "idx"), ["key_image", "amount", "idx"], "left_semi").select("key_image", F.lit(True).alias("inside")).distinct()
+    rows = sizes.join(where, "key_image").join(claims, "key_image", "left").join(inside, "key_image", "left")
+    sure, claimed = F.coalesce("sure", F.lit(False)), F.col("claim").isNotNull()
+    branch = F.when(F.col("low") != F.col("high"), "mixed").when(F.col("low") == 0, "amount_zero").otherwise("legacy_nonzero")
+    reason = (
+        F.when(F.col("n") < 2, "original_size_below_two").when((F.col("one") != F.col("other")) | F.col("one.height").isNull(), "ambiguous_or_missing_input_context").when(branch == "mixed", "mixed_amount_ring")
+        .when(claimed & ~sure, "hypothesis_or_unknown_resolution").when(claimed & F.col("inside").isNull(), "deterministic_output_outside_ring").when(~claimed & (F.col("free") < 2), "unresolved_survivors_below_two")
+    )
+    status = F.when(claimed, "deterministic_training").otherwise("unresolved_scoring")
+    return rows.select("key_image", "n", "rows", branch.alias("branch"), F.when(claimed, F.col("n")).otherwise(F.col("free")).alias("candidates"), reason.alias("reason"), F.when(reason.isNull(), F.concat_ws("|", status, branch, size_bucket("n"))).alias("stratum"))
 
 
 def ranked(rows: DataFrame, order: list[str], buckets: int = 64) -> DataFrame:
@@ -119,7 +157,7 @@ def bottom_k(rows: DataFrame, stratum: str, key: str, k: int = 500, seed: int =
     return rows.withColumn("priority", priority).withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def round_robin(sample: DataFrame, rings: int = 2000, candidates: int = 20_000, stratum: str = "stratum", size: str = "n") -> list:
+def round_robin(sample: DataFrame, rings: int = 2000, candidates: int = 20_000, stratum: str = "stratum", size: str = "candidates") -> list:
     """The sampled rows that fit both budgets, taken in turns over the strata; what doesn't fit is passed over. The scan is
     sequential, over at most k rows of each stratum, in the driver."""
     out, used = [], 0

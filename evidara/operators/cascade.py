@@ -168,10 +168,80 @@ def dependencies(result: Cascade) -> DataFrame:
     return result.eliminated.join(result.resolved.select("key_image"), "key_image", "left_semi").select("key_image", "source", *OUTPUT)
 
 
-def append_events(events: DataFrame, found: DataFrame) -> DataFrame:
-    """New resolution events: those of found whose claim and method the last event of the ring doesn't already state."""
-    last = latest(events, ["key_image"], "id").select("key_image", "real_amount", "real_output_index", "method")
-    return found.join(last, ["key_image", "real_amount", "real_output_index", "method"], "left_anti")
+METHODS = ("ring_size_one", "cascade", "ml_prediction", "soft_cascade", "legacy")
+
+
+def events(result: Cascade, scan_height: int | None = None, after: int = 0) -> tuple[DataFrame, DataFrame]:
+    """The resolutions as immutable events (id, key_image, real_amount, real_output_index, resolved_at_pass, confidence,
+    method, scan_height), and the events that each rests on (event_id, eliminated_amount, eliminated_output_index,
+    source_event_id). Ids go on after `after` by pass and ring, so that a source is always earlier."""
+    from evidara.operators.baselines import ranked
+
+    rows = ranked(result.resolved.where("method <> 'stored'").withColumn("order", F.when(F.col("pass") < 0, 1 << 30).otherwise(F.col("pass"))), ["order", "key_image"])
+    rows = cut(rows.select((F.col("rank0") + 1 + after).alias("id"), "key_image", F.col("amount").alias("real_amount"), F.col("idx").alias("real_output_index"), F.col("pass").alias("resolved_at_pass"), F.lit(1.0).alias("confidence"), "method", F.lit(scan_height).cast("long").alias("scan_height")), "events")
+    ids = rows.select("key_image", "id")
+    found = dependencies(result).join(ids.withColumnRenamed("id", "event_id"), "key_image").join(ids.select(F.col("key_image").alias("source"), F.col("id").alias("source_event_id")), "source")
+    return rows, found.select("event_id", F.col("amount").alias("eliminated_amount"), F.col("idx").alias("eliminated_output_index"), "source_event_id")
+
+
+def broken(events: DataFrame, links: DataFrame, members: DataFrame) -> DataFrame:
+    """Events that break a rule, with the first rule broken: (id, rule). links are the dependencies of events."""
+    sure = (F.col("confidence") == 1.0) & F.coalesce(F.col("resolved_at_pass") >= 0, F.lit(False))
+    inside = members.select("key_image", F.col("amount").alias("real_amount"), F.col("idx").alias("real_output_index"), F.lit(True).alias("inside"))
+    sizes = members.groupBy("key_image").agg(F.count("*").alias("n"))
+    source = events.select(F.col("id").alias("source_event_id"), F.col("key_image").alias("other"), F.col("real_amount").alias("eliminated_amount"), F.col("real_output_index").alias("eliminated_output_index"), sure.alias("sure"))
+    known = links.join(source, ["source_event_id", "eliminated_amount", "eliminated_output_index"], "left").join(events.select(F.col("id").alias("event_id"), "key_image", "method"), "event_id")
+    member = members.select("key_image", F.col("amount").alias("eliminated_amount"), F.col("idx").alias("eliminated_output_index"), F.lit(True).alias("member"))
+    known = known.join(member, ["key_image", "eliminated_amount", "eliminated_output_index"], "left")
+    wrong = F.col("other").isNull() | (F.col("other") == F.col("key_image"))
+    per = known.groupBy(F.col("event_id").alias("id")).agg(F.count("*").alias("links"), F.bool_or(wrong).alias("wrong"), F.bool_or((F.col("method") == "cascade") & ~F.col("sure")).alias("soft"), F.count("member").alias("inner"))
+    own = links.select(F.col("event_id").alias("id"), F.col("eliminated_amount").alias("real_amount"), F.col("eliminated_output_index").alias("real_output_index"), F.lit(True).alias("itself"))
+    rows = events.join(per, "id", "left").join(inside, ["key_image", "real_amount", "real_output_index"], "left").join(sizes, "key_image", "left").join(own, ["id", "real_amount", "real_output_index"], "left")
+    count, flag = F.coalesce("links", F.lit(0)), lambda c: F.coalesce(F.col(c), F.lit(False))
+    told = F.col("method") != "legacy"
+    rule = (
+        F.when(~F.col("method").isin(*METHODS), "unknown_method").when(told & ~flag("inside"), "output_outside_ring").when((F.col("method") == "ring_size_one") & ((F.col("n") != 1) | (count > 0)), "not_a_single_member")
+        .when(F.col("method").isin("cascade", "soft_cascade") & ((count != F.col("n") - 1) | (F.col("inner") != count)), "members_not_accounted_for").when(told & (F.col("method").isin("ring_size_one", "cascade") != sure), "method_and_confidence_differ")
+        .when(flag("wrong"), "no_such_source").when(flag("soft"), "rests_on_a_hypothesis").when(flag("itself"), "eliminates_itself")
+    )
+    return rows.select("id", rule.alias("rule")).where("rule is not null")
+
+
+def _stated(events: DataFrame, links: DataFrame) -> DataFrame:
+    """What each event says, with its dependencies as one sorted list of source rings and outputs."""
+    names = events.select(F.col("id").alias("source_event_id"), F.col("key_image").alias("source"))
+    listed = links.join(names, "source_event_id", "left").groupBy(F.col("event_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct("eliminated_amount", "eliminated_output_index", "source"))).alias("rests_on"))
+    return events.join(listed, "id", "left")
+
+
+def append_events(events: DataFrame, links: DataFrame, found: DataFrame, found_links: DataFrame) -> DataFrame:
+    """Those of found that the last event of their ring doesn't already state: claim, pass, confidence, method and what it
+    rests on. A legacy event is stated by any event with its claim."""
+    fields = ["real_amount", "real_output_index", "resolved_at_pass", "confidence"]
+    last = latest(_stated(events, links), ["key_image"], "id").select("key_image", *(F.col(f).alias(f"old_{f}") for f in fields), F.col("method").alias("old_method"), F.col("rests_on").alias("old_rests_on"))
+    same = F.lit(True)
+    for f in fields:
+        same = same & F.col(f).eqNullSafe(F.col(f"old_{f}"))
+    rows = _stated(found, found_links).join(last, "key_image", "left")
+    known = same & ((F.col("method") == "legacy") | ((F.col("method") == F.col("old_method")) & F.col("rests_on").eqNullSafe(F.col("old_rests_on"))))
+    return rows.where(F.col("old_method").isNull() | ~known).select(*found.columns)
+
+
+def legacy(events: DataFrame, claims: DataFrame) -> DataFrame:
+    """Claims (key_image, real_amount, real_output_index, resolved_at_pass, confidence) of unknown origin: no event of their ring,
+    or the last one says something else."""
+    fields = ["real_amount", "real_output_index", "resolved_at_pass", "confidence"]
+    last = latest(events.select("key_image", "id", *fields), ["key_image"], "id").select("key_image", "id", *(F.col(f).alias(f"old_{f}") for f in fields))
+    same = F.col("id").isNotNull()
+    for f in fields:
+        same = same & F.col(f).eqNullSafe(F.col(f"old_{f}"))
+    return claims.join(last, "key_image", "left").where(~same).select("key_image", *fields, F.lit("legacy").alias("method"))
+
+
+def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """The newest row of each key: new ones replace old ones."""
+    both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+    return latest(both, keys, "_new").drop("_new")
 
 
 def latest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:

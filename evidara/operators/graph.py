@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from evidara.operators.cascade import OUTPUT
 from evidara.operators.components import components
-from evidara.operators.summary import claimed
 from evidara.plans.lineage import cut
 
 
@@ -29,12 +28,84 @@ def related(members: DataFrame, limit: int = 20, keys: DataFrame | None = None)
     return pairs.withColumn("rank", rank).where(F.col("rank") <= limit)
 
 
-def explain(members: DataFrame, resolved: DataFrame) -> DataFrame:
-    """Each candidate with how many other rings claim it, the smallest of them, and whether it remains."""
-    own = resolved.select("key_image", *OUTPUT, F.lit(1).alias("mine"))
-    rows = members.join(claimed(resolved), OUTPUT, "left").join(own, ["key_image", *OUTPUT], "left")
-    others = F.coalesce("claims", F.lit(0)) - F.coalesce("mine", F.lit(0))
-    return rows.select("key_image", *OUTPUT, others.cast("long").alias("eliminators"), (others == 0).alias("remains"), F.col("mine").isNotNull().alias("is_claim"))
+#: Claimants that are listed for an output (the count is always exact).
+LISTED = 20
+
+
+def related_of(members: DataFrame, key, limit: int = 20) -> DataFrame:
+    """related, shared of one ring: filters reach the scan, and only its outputs are joined."""
+    own = members.where(F.col("key_image") == key).select(*OUTPUT)
+    shared = members.where(F.col("key_image") != key).join(F.broadcast(own), OUTPUT).groupBy(F.col("key_image").alias("related")).agg(F.count("*").alias("shared"))
+    return shared.orderBy(F.desc("shared"), "related").limit(limit)
+
+
+def explain(members: DataFrame, claims: DataFrame, keys: DataFrame | None = None, listed: int = LISTED) -> DataFrame:
+    """Each candidate of the rings (or those of keys) with the rings whose deterministic claim speaks against it.
+
+    claims: (key_image, amount, idx, pass, confidence). eliminated_by holds the first of them by key, eliminators counts
+    all; a claim counts if its own ring holds the output. state: eliminated, remaining, or excluded (another candidate is
+    the ring's own deterministic claim).
+    """
+    sure = (F.col("confidence") == 1.0) & F.coalesce(F.col("pass") >= 0, F.lit(False))
+    valid = claims.where(sure).join(members, ["key_image", *OUTPUT], "left_semi").select(F.col("key_image").alias("source"), *OUTPUT)
+    # One more than listed is kept of each output, so that a ring's own claim may fall out; a limit per group, before the shuffle.
+    first = valid.withColumn("place", F.row_number().over(Window.partitionBy(*OUTPUT).orderBy("source"))).where(F.col("place") <= listed + 1)
+    named = valid.groupBy(*OUTPUT).agg(F.count("*").alias("claims")).join(first.groupBy(*OUTPUT).agg(F.sort_array(F.collect_list("source")).alias("sources")), OUTPUT)
+    own = claims.where(sure).select("key_image", F.struct(*OUTPUT).alias("claim"))
+    inside = claims.where(sure).join(members, ["key_image", *OUTPUT], "left_semi").select("key_image", *OUTPUT, F.lit(1).alias("mine"))
+    asked = members.join(keys, "key_image", "left_semi") if keys is not None else members
+    rows = asked.join(named, OUTPUT, "left").join(inside, ["key_image", *OUTPUT], "left").join(own, "key_image", "left").withColumn("held", F.max("mine").over(Window.partitionBy("key_image")).isNotNull())
+    others = (F.coalesce("claims", F.lit(0)) - F.coalesce("mine", F.lit(0))).cast("long")
+    by = F.slice(F.filter(F.coalesce("sources", F.array().cast(first.select(F.array("source").alias("a")).schema["a"].dataType)), lambda x: x != F.col("key_image")), 1, listed)
+    state = F.when(others > 0, "eliminated").when(F.col("held") & F.col("mine").isNull(), "excluded").otherwise("remaining")
+    return rows.select("key_image", *OUTPUT, by.alias("eliminated_by"), others.alias("eliminators"), F.col("mine").isNotNull().alias("is_claim"), state.alias("state"))
+
+
+def conflicts(explained: DataFrame, members: DataFrame, claims: DataFrame, predictions: DataFrame) -> DataFrame:
+    """key_image, candidates, remaining, conflicts: what speaks against each ring's stored claim or prediction, in a fixed order."""
+    sure = (F.col("confidence") == 1.0) & F.coalesce(F.col("pass") >= 0, F.lit(False))
+    outside = lambda rows, name: rows.join(members, ["key_image", *OUTPUT], "left_anti").select("key_image", F.lit(True).alias(name)).distinct()
+    rows = explained.groupBy("key_image").agg(F.count("*").alias("candidates"), F.count_if(F.col("state") == "remaining").alias("remaining"), F.bool_or(F.col("is_claim") & (F.col("eliminators") > 0)).alias("shared"))
+    rows = rows.join(outside(claims, "claim_out"), "key_image", "left").join(outside(predictions, "told_out"), "key_image", "left")
+    found = (("claim_out", "resolution_outside_ring"), ("shared", "claimed_by_another_ring"), ("told_out", "prediction_outside_ring"))
+    listed = F.array(*(F.when(F.coalesce(F.col(c), F.lit(False)), name) for c, name in found), F.when(F.col("remaining") == 0, "no_candidate_remains"))
+    return rows.select("key_image", "candidates", "remaining", F.filter(listed, lambda x: x.isNotNull()).alias("conflicts"))
+
+
+def trace_of(events: DataFrame, dependencies: DataFrame, claims: DataFrame, key, most: int = 100) -> dict:
+    """The lineage of one ring's current claim: root, events in breadth-first order, missing ids, complete, truncated.
+
+    events: (id, key_image, real_amount, real_output_index, resolved_at_pass, confidence, method); dependencies: (event_id,
+    eliminated_amount, eliminated_output_index, source_event_id). Each level is one filtered read of at most `most` ids. It
+    is complete if all events are there, of known origin, and rest only on earlier ones.
+    """
+    if type(most) is not int or most < 0:
+        raise ValueError("most must be a non-negative integer")
+    fields = ("real_amount", "real_output_index", "resolved_at_pass", "confidence")
+    none = {"root": None, "events": [], "missing": [], "complete": False, "truncated": False}
+    claim, root = claims.where(F.col("key_image") == key).select(*fields).first(), events.where(F.col("key_image") == key).orderBy(F.desc("id")).select("id", *fields).first()
+    if claim is None or root is None or tuple(claim) != tuple(root[1:]):
+        return none
+    pending, seen, out, missing, complete = [root["id"]], {root["id"]}, [], [], True
+    while pending and len(out) + len(missing) < most:
+        level, pending = pending[: most - len(out) - len(missing)], pending[most - len(out) - len(missing) :]
+        found = {r["id"]: r for r in events.where(F.col("id").isin(level)).collect()}
+        links: dict = {}
+        for r in dependencies.where(F.col("event_id").isin(level)).orderBy("event_id", "eliminated_amount", "eliminated_output_index").collect():
+            links.setdefault(r["event_id"], []).append((r["eliminated_amount"], r["eliminated_output_index"], r["source_event_id"]))
+        for id_ in level:
+            if id_ not in found:
+                missing.append(id_)
+                complete = False
+                continue
+            own = links.get(id_, [])
+            out.append(found[id_].asDict() | {"dependencies": own})
+            complete &= found[id_]["method"] != "legacy" and all(source < id_ for *_, source in own)
+            for *_, source in own:
+                if source not in seen:
+                    seen.add(source)
+                    pending.append(source)
+    return {"root": root["id"], "events": out, "missing": missing, "complete": complete and not pending, "truncated": bool(pending)}
 
 
 def trace(dependencies: DataFrame, most: int = 100, keys: DataFrame | None = None) -> DataFrame:

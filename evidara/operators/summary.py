@@ -17,12 +17,14 @@ def brain_summary(members: DataFrame, context: DataFrame, resolved: DataFrame) -
 
 
 def ring_sizes(result: Cascade) -> DataFrame:
-    """kind, size, rings: sizes as they came, and effective ones, where 1 stands for resolved rings and 0 for empty ones."""
-    raw = result.sizes.groupBy(F.col("n").alias("size")).agg(F.count("*").alias("rings")).select(F.lit("unreduced").alias("kind"), "size", "rings")
-    open_ = result.live().groupBy(F.col("left").alias("size")).agg(F.count("*").alias("rings"))
+    """kind, size, rings. unreduced and partial: unresolved rings that lost nothing, or something, by what they have left;
+    effective: both, where size 1 stands for all resolved rings and 0 for empty ones."""
+    live = result.live()
+    kind = F.when(F.col("left") < F.col("n"), "partial").otherwise("unreduced")
+    open_ = live.groupBy(kind.alias("kind"), F.col("left").alias("size")).agg(F.count("*").alias("rings"))
+    all_ = live.where(F.col("left") != 1).groupBy(F.col("left").alias("size")).agg(F.count("*").alias("rings"))
     done = result.resolved.agg(F.lit(1).cast("long").alias("size"), F.count("*").alias("rings"))
-    effective = open_.unionByName(done).groupBy("size").agg(F.sum("rings").alias("rings")).where("rings > 0")
-    return raw.unionByName(effective.select(F.lit("effective").alias("kind"), "size", "rings"))
+    return open_.unionByName(all_.unionByName(done).select(F.lit("effective").alias("kind"), "size", "rings"))
 
 
 def reduction_categories(result: Cascade) -> DataFrame:
@@ -32,23 +34,6 @@ def reduction_categories(result: Cascade) -> DataFrame:
     return done.union(open_).groupBy("category").agg(F.count("*").alias("rings"))
 
 
-def claimed(resolved: DataFrame) -> DataFrame:
-    """Each claimed output with the number of rings that claim it, and one of them."""
-    return resolved.groupBy(*OUTPUT).agg(F.count("*").alias("claims"), F.min("key_image").alias("claimant"))
-
-
-def conflict_rings(members: DataFrame, resolved: DataFrame) -> DataFrame:
-    """Rings without a candidate that no other ring claims, and rings whose own claim is not among their members."""
-    free = F.col("claims").isNull() | ((F.col("claims") == 1) & (F.col("claimant") == F.col("key_image")))
-    left = members.join(claimed(resolved), OUTPUT, "left").groupBy("key_image").agg(F.count_if(free).alias("supported"), F.count("*").alias("n"))
-    outside = resolved.join(left.select("key_image"), "key_image", "left_semi").join(members, ["key_image", *OUTPUT], "left_anti").select("key_image", F.lit(True).alias("outside")).distinct()
-    return left.join(outside, "key_image", "left").where(F.coalesce("outside", F.lit(False)) | (F.col("supported") == 0)).select("key_image", "n", "supported")
-
-
-def orphan_claims(members: DataFrame, resolved: DataFrame) -> DataFrame:
-    return resolved.join(members.select("key_image").distinct(), "key_image", "left_anti")
-
-
 def tree_sizes(blocks: DataFrame) -> DataFrame:
     """Totals over a window of blocks; null where a block's details are missing."""
     incomplete = F.count_if(F.col("detail_status") != "complete")

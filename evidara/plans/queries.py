@@ -76,8 +76,8 @@ def elimination_provenance(spark: SparkSession, sf: str) -> DataFrame:
     return _cascade(spark, sf)[1].eliminated.select("key_image", "amount", "idx", "source", "pass")
 
 
-@query(CASCADE + """SELECT 'unreduced' AS kind, n AS size, count(*) AS rings FROM siz GROUP BY n
-UNION ALL SELECT 'effective', size, CAST(sum(rings) AS BIGINT) FROM (SELECT lft AS size, count(*) AS rings FROM liv GROUP BY lft UNION ALL SELECT 1, count(*) FROM res) GROUP BY size HAVING sum(rings) > 0""")
+@query(CASCADE + """SELECT CASE WHEN lft < n THEN 'partial' ELSE 'unreduced' END AS kind, lft AS size, count(*) AS rings FROM liv GROUP BY 1, 2
+UNION ALL SELECT 'effective', lft, count(*) FROM liv WHERE lft <> 1 GROUP BY lft UNION ALL SELECT 'effective', 1, count(*) FROM res""")
 def ring_size_distribution(spark: SparkSession, sf: str) -> DataFrame:
     return summary.ring_sizes(_cascade(spark, sf)[1])
 
@@ -88,14 +88,6 @@ def reduction_categories(spark: SparkSession, sf: str) -> DataFrame:
     return summary.reduction_categories(_cascade(spark, sf)[1])
 
 
-@query(CASCADE + """, c AS (SELECT amount, idx, count(*) AS claims, min(key_image) AS claimant FROM res GROUP BY amount, idx)
-SELECT key_image, count(*) AS n, count(*) FILTER (claims IS NULL OR (claims = 1 AND claimant = key_image)) AS supported FROM m LEFT JOIN c USING (amount, idx) GROUP BY key_image
-HAVING count(*) FILTER (claims IS NULL OR (claims = 1 AND claimant = key_image)) = 0""")
-def conflict_rings(spark: SparkSession, sf: str) -> DataFrame:
-    r, c = _cascade(spark, sf)
-    return summary.conflict_rings(r.members, c.resolved)
-
-
 @query(CASCADE + """SELECT * FROM (SELECT count(*) AS memberships, count(DISTINCT key_image) AS rings, count(DISTINCT (amount, idx)) AS outputs FROM m),
 (SELECT count(DISTINCT tx_hash) AS transactions, count(DISTINCT height) AS blocks FROM ctx), (SELECT count(*) AS resolved, count(*) FILTER (pass >= 0) AS deterministic FROM res)""")
 def brain_summary(spark: SparkSession, sf: str) -> DataFrame:
@@ -136,14 +128,6 @@ def related_rings_topk(spark: SparkSession, sf: str) -> DataFrame:
     return graph.related(rings(spark, sf).members)
 
 
-@query(CASCADE + """, c AS (SELECT amount, idx, count(*) AS claims FROM res GROUP BY amount, idx)
-SELECT m.key_image, m.amount, m.idx, coalesce(c.claims, 0) - (r.key_image IS NOT NULL)::BIGINT AS eliminators, coalesce(c.claims, 0) - (r.key_image IS NOT NULL)::BIGINT = 0 AS remains, r.key_image IS NOT NULL AS is_claim
-FROM m LEFT JOIN c USING (amount, idx) LEFT JOIN res r ON r.key_image = m.key_image AND r.amount = m.amount AND r.idx = m.idx""")
-def explain_ring(spark: SparkSession, sf: str) -> DataFrame:
-    r, c = _cascade(spark, sf)
-    return graph.explain(r.members, c.resolved)
-
-
 @query(CASCADE.replace("WITH m AS", "WITH RECURSIVE m AS", 1) + """, dep AS MATERIALIZED (SELECT DISTINCT e.key_image, e.source AS ancestor FROM elim e SEMI JOIN res ON e.key_image = res.key_image),
 walk AS (SELECT key_image, ancestor, 1 AS depth FROM dep UNION SELECT w.key_image, d.ancestor, w.depth + 1 FROM walk w JOIN dep d ON d.key_image = w.ancestor)
 SELECT key_image, ancestor, CAST(min(depth) AS INTEGER) AS depth FROM walk GROUP BY key_image, ancestor""")
@@ -170,13 +154,6 @@ def offsets_prefix_sum(spark: SparkSession, sf: str) -> DataFrame:
 ERA = "CASE WHEN height IS NULL OR height < 0 THEN 'unknown' WHEN height <= 11 THEN 'first' WHEN height <= 29 THEN 'second' WHEN height <= 47 THEN 'third' WHEN height <= 65 THEN 'fourth' ELSE 'fifth' END"
 
 
-@query(CASCADE + f"""SELECT coalesce(era, 'all') AS era, count(DISTINCT height) AS blocks, count(DISTINCT tx_hash) AS transactions, count(*) AS rings, CAST(sum(n) AS BIGINT) AS memberships, count(*) FILTER (pass IS NOT NULL) AS resolved,
-count(*) FILTER (lft < n) AS reduced, count(*) FILTER (lft = n) AS unchanged, count(*) FILTER (lft = 0) AS empty FROM (SELECT ctx.*, {ERA} AS era, siz.n, liv.lft, res.pass FROM ctx JOIN siz USING (key_image) LEFT JOIN liv USING (key_image) LEFT JOIN res USING (key_image)) GROUP BY ROLLUP (era)""")
-def era_counts(spark: SparkSession, sf: str) -> DataFrame:
-    r, c = _cascade(spark, sf)
-    return eras.era_counts(r.members, r.context, c.live(), c.resolved, eras.MONTH_ERAS)
-
-
 @query(WITH + f"SELECT {ERA} AS era, count(*) AS rings, min(height) AS first_height, max(height) AS last_height FROM ctx GROUP BY 1")
 def era_case_bucket(spark: SparkSession, sf: str) -> DataFrame:
     era = F.coalesce(eras.era_of("height", eras.MONTH_ERAS), F.lit("unknown"))
@@ -225,12 +202,13 @@ def _unpivot(names: tuple[str, ...]) -> str:
 PROFILED = ("output_age_rank", "normalized_age", "ring_reuse_count", "ring_size", "gap_to_next", "reuse_rank_in_ring", "reuse_count_raw", "gamma_surprisal", "amount_progress", "decoy_likelihood_gap")
 
 
-@query(FEATURE_SQL + f""", p AS (SELECT feature, key_image, count(*) AS c, min(value) AS lo, max(value) AS hi, sum(value) AS s, sum(value * value) AS q FROM ({_unpivot(PROFILED)}) GROUP BY feature, key_image)
-SELECT feature, CAST(sum(c) AS BIGINT) AS finite, round(min(lo), 4) AS min, round(max(hi), 4) AS max, round(sum(s) / sum(c), 4) AS mean, round(sum(q) / sum(c) - pow(sum(s) / sum(c), 2), 4) AS variance, min(lo) = max(hi) AS constant, count(*) FILTER (hi > lo) AS varying_rings FROM p GROUP BY feature""")
+@query(FEATURE_SQL + f""", p AS (SELECT feature, key_image, count(*) AS c, min(value) AS lo, max(value) AS hi, FROM ({_unpivot(PROFILED)}) GROUP BY feature, key_image)
+SELECT feature, CAST(sum(c) AS BIGINT) AS finite, round(min(lo), 4) AS min, round(max(hi), 4) AS max, round(any_value(mean), 4) AS mean, round(any_value(variance), 4) AS variance, min(lo) = max(hi) AS constant, count(*) FILTER (c > 1) AS eligible_rings, count(*) FILTER (hi > lo) AS varying_rings
+FROM p JOIN (SELECT feature, avg(value) AS mean, var_pop(value) AS variance FROM ({_unpivot(PROFILED)}) GROUP BY feature) USING (feature) GROUP BY feature""")
 def feature_profile(spark: SparkSession, sf: str) -> DataFrame:
     r = rings(spark, sf)
     p = features.profile(features.features(r.members, r.context), PROFILED)
-    return p.select("feature", "finite", *(F.round(c, 4).alias(c) for c in ("min", "max", "mean", "variance")), "constant", "varying_rings")
+    return p.select("feature", "finite", *(F.round(c, 4).alias(c) for c in ("min", "max", "mean", "variance")), "constant", "eligible_rings", "varying_rings")
 
 
 PAIRS = ", ".join(f"{{'left': '{a}', 'right': '{b}', 'same': bool_and({a} IS NOT DISTINCT FROM {b})}}" for i, a in enumerate(features.FEATURES) for b in features.FEATURES[i + 1 :])
@@ -247,39 +225,57 @@ def reuse_tie_summary(spark: SparkSession, sf: str) -> DataFrame:
     return features.reuse_ties(features.reuse(rings(spark, sf).members))
 
 
-EXCLUDED = CASCADE + """, x AS MATERIALIZED (SELECT r.*, s.n, CASE WHEN t.claimed > 1 THEN 'conflicting_label' WHEN s.n IS NULL THEN 'missing_members' WHEN s.n < 2 THEN 'singleton' END AS reason FROM res r JOIN (SELECT amount, idx, count(*) AS claimed FROM res GROUP BY amount, idx) t USING (amount, idx) LEFT JOIN siz s USING (key_image))"""
+EXCLUDED = CASCADE + """, x AS MATERIALIZED (SELECT r.*, s.n, CASE WHEN s.n IS NULL THEN 'missing_members' WHEN c.height IS NULL THEN 'missing_context' WHEN NOT EXISTS (SELECT 1 FROM m WHERE m.key_image = r.key_image AND m.amount = r.amount AND m.idx = r.idx) THEN 'invalid_label'
+ WHEN t.claimed > 1 THEN 'conflicting_label' WHEN s.n < 2 THEN 'singleton' END AS reason FROM res r JOIN (SELECT amount, idx, count(*) AS claimed FROM res GROUP BY amount, idx) t USING (amount, idx) LEFT JOIN siz s USING (key_image) LEFT JOIN ctx c USING (key_image))"""
 
 
 @query(EXCLUDED + "SELECT coalesce(reason, 'included') AS reason, count(*) AS claims FROM x GROUP BY 1")
 def baseline_exclusions(spark: SparkSession, sf: str) -> DataFrame:
     r, c = _cascade(spark, sf)
-    return baselines.exclusions(r.members, cut(c.resolved, "resolved")).groupBy(F.coalesce("reason", F.lit("included")).alias("reason")).agg(F.count("*").alias("claims"))
+    return baselines.exclusions(r.details(), cut(c.resolved, "resolved")).groupBy(F.coalesce("reason", F.lit("included")).alias("reason")).agg(F.count("*").alias("claims"))
 
 
 CREDITS = EXCLUDED + """, w AS (SELECT m.key_image, x.n, m.idx = x.idx AS real, true AS uniform, m.idx = max(m.idx) OVER k AS newest, m.idx = min(m.idx) OVER k AS oldest, u.reuse = min(u.reuse) OVER k AS minimum_reuse FROM m JOIN x ON x.key_image = m.key_image AND x.reason IS NULL
  JOIN (SELECT amount, idx, count(*) AS reuse FROM m GROUP BY amount, idx) u ON u.amount = m.amount AND u.idx = m.idx WINDOW k AS (PARTITION BY m.key_image)),
-cr AS MATERIALIZED (""" + " UNION ALL ".join(f"SELECT key_image, n, '{b}' AS baseline, count(*) FILTER ({b}) AS ties, bool_or({b} AND real) AS hit FROM w GROUP BY key_image, n" for b in ("uniform", "newest", "oldest", "minimum_reuse")) + ")\n"
-METRICS = f"count(*) AS rings, CAST(sum(CASE WHEN hit THEN {baselines.LCM} // ties ELSE 0 END) AS BIGINT) AS credit, count(*) FILTER (ties > 1) AS tied, count(*) FILTER (hit AND ties = 1) AS unique_hits, round(sum(CASE WHEN hit THEN {baselines.LCM} // ties ELSE 0 END) / {baselines.LCM}, 6) AS expected"
+cr AS MATERIALIZED (""" + " UNION ALL ".join(f"SELECT key_image, n, '{b}' AS baseline, count(*) FILTER ({b}) AS ties, bool_or({b} AND real) AS hit FROM w GROUP BY key_image, n" for b in baselines.BASELINES) + ")\n"
+METRICS = "count(*) AS rings, round(sum(CASE WHEN hit THEN 1.0::DOUBLE / ties ELSE 0 END), 6) AS expected, round(sum(CASE WHEN hit THEN 1.0::DOUBLE / ties ELSE 0 END) / count(*), 6) AS accuracy, count(*) FILTER (hit) AS contains, count(*) FILTER (ties = 1) AS \"unique\", count(*) FILTER (ties = 1 AND hit) AS unique_correct, count(*) FILTER (ties > 1) AS tied"
+PARTS = "(SELECT {by}, string_agg(ties || ':' || c || ':' || h, ',' ORDER BY ties) AS parts FROM (SELECT {by}, ties, count(*) AS c, count(*) FILTER (hit) AS h FROM cr GROUP BY {by}, ties) GROUP BY {by})"
 
 
 def _credits(spark: SparkSession, sf: str) -> DataFrame:
     r, c = _cascade(spark, sf)
-    return baselines.credits(r.members, cut(c.resolved.select("key_image", "amount", "idx"), "resolved"))
+    return baselines.credits(r.members, baselines.eligible(r.details(), cut(c.resolved.select("key_image", "amount", "idx"), "resolved")))
 
 
-@query(CREDITS + f"SELECT baseline, {METRICS} FROM cr GROUP BY baseline")
+def _metrics(rows: DataFrame, *by: str) -> DataFrame:
+    part = lambda p: F.concat_ws(":", *(p[k].cast("string") for k in ("ties", "rings", "hits")))
+    return baselines.metrics(rows, by).withColumn("parts", F.array_join(F.transform("parts", part), ",")).withColumns({c: F.round(c, 6) for c in ("expected", "accuracy")})
+
+
+@query(CREDITS + f"SELECT * FROM (SELECT baseline, {METRICS} FROM cr GROUP BY baseline) JOIN {PARTS.format(by='baseline')} USING (baseline)")
 def baseline_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    return baselines.metrics(_credits(spark, sf))
+    return _metrics(_credits(spark, sf), "baseline")
 
 
-@query(CREDITS + f"SELECT baseline, CASE WHEN n = 2 THEN '2' WHEN n <= 3 THEN '3' WHEN n <= 5 THEN '4-5' WHEN n <= 8 THEN '6-8' ELSE '9+' END AS size, {METRICS} FROM cr GROUP BY 1, 2")
+@query(CREDITS + f"SELECT * FROM (SELECT baseline, n, {METRICS} FROM cr GROUP BY baseline, n) JOIN {PARTS.format(by='baseline, n')} USING (baseline, n)")
 def baseline_by_size(spark: SparkSession, sf: str) -> DataFrame:
-    return baselines.metrics(_credits(spark, sf).withColumn("size", baselines.size_bucket("n")), ("baseline", "size"))
+    return _metrics(_credits(spark, sf), "baseline", "n")
+
 
+QUARTILES = "SELECT key_image, height, CAST(4 * rank0 // total AS INTEGER) AS quartile FROM (SELECT key_image, height, row_number() OVER (ORDER BY height, tx_hash, key_image) - 1 AS rank0, count(*) OVER () AS total FROM {})"
+TIME_ORDER = ["height", "tx_hash", "key_image"]
 
-@query(WITH + "SELECT key_image, height, CAST(4 * rank0 // total AS INTEGER) AS quartile FROM (SELECT key_image, height, row_number() OVER (ORDER BY height, key_image) - 1 AS rank0, count(*) OVER () AS total FROM ctx)")
+
+@query(WITH + QUARTILES.format("ctx"))
 def chronological_quartiles(spark: SparkSession, sf: str) -> DataFrame:
-    return baselines.quartiles(rings(spark, sf).context.select("key_image", "height"), ["height", "key_image"])
+    return baselines.quartiles(rings(spark, sf).context, TIME_ORDER).select("key_image", "height", "quartile")
+
+
+@query(CREDITS + f", own AS (SELECT DISTINCT cr.key_image, ctx.height, ctx.tx_hash FROM cr JOIN ctx USING (key_image)), q AS ({QUARTILES.format('own')}) SELECT baseline, quartile, {METRICS} FROM cr JOIN q USING (key_image) GROUP BY baseline, quartile")
+def baseline_by_quartile(spark: SparkSession, sf: str) -> DataFrame:
+    credits = cut(_credits(spark, sf), "credits")
+    own = rings(spark, sf).context.join(credits.select("key_image").distinct(), "key_image", "left_semi")
+    return _metrics(credits.join(baselines.quartiles(own, TIME_ORDER).select("key_image", "quartile"), "key_image"), "baseline", "quartile").drop("parts")
 
 
 SPLIT = WITH + """, cutoff AS MATERIALIZED (SELECT min(height) AS cutoff FROM (SELECT height, sum(count(*)) OVER (ORDER BY height) AS upto FROM ctx GROUP BY height), (SELECT count(*) AS total FROM ctx) WHERE upto > floor(0.8 * total)),
@@ -314,11 +310,25 @@ def component_purge(spark: SparkSession, sf: str) -> DataFrame:
     return train.agg(F.count("*").alias("train")).join(kept.agg(F.count("*").alias("kept"))).join(roots.agg(F.count_distinct("root").alias("components")))
 
 
-@query(WITH + """SELECT key_image, stratum, CAST(rank AS INTEGER) AS rank, priority FROM (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY priority, key_image) AS rank FROM (SELECT *, sha256('42:' || stratum || ':' || key_image) AS priority FROM
-(SELECT key_image, CASE WHEN count(*) <= 1 THEN '1' WHEN count(*) = 2 THEN '2' WHEN count(*) = 3 THEN '3' WHEN count(*) <= 5 THEN '4-5' WHEN count(*) <= 8 THEN '6-8' WHEN count(*) <= 16 THEN '9-16' WHEN count(*) <= 32 THEN '17-32' ELSE '33+' END AS stratum FROM m GROUP BY key_image))) WHERE rank <= 500""")
+FRAME = CASCADE + """, fr AS MATERIALIZED (SELECT s.key_image, s.n, CASE WHEN r.key_image IS NULL THEN f.free ELSE s.n END AS candidates, CASE WHEN s.n < 2 THEN 'original_size_below_two' WHEN c.height IS NULL THEN 'ambiguous_or_missing_input_context' WHEN r.key_image IS NULL AND f.free < 2 THEN 'unresolved_survivors_below_two' END AS reason,
+ CASE WHEN r.key_image IS NULL THEN 'unresolved_scoring' ELSE 'deterministic_training' END || '|' || CASE WHEN f.amount = 0 THEN 'amount_zero' ELSE 'legacy_nonzero' END || '|' || CASE WHEN s.n <= 2 THEN '2' WHEN s.n <= 4 THEN '3–4' WHEN s.n <= 8 THEN '5–8' WHEN s.n <= 16 THEN '9–16' WHEN s.n <= 32 THEN '17–32' ELSE '33+' END AS stratum
+ FROM siz s LEFT JOIN ctx c USING (key_image) LEFT JOIN res r USING (key_image) JOIN (SELECT key_image, min(amount) AS amount, count(*) FILTER (NOT coalesce(named, false)) AS free FROM m LEFT JOIN (SELECT DISTINCT amount, idx, true AS named FROM res) USING (amount, idx) GROUP BY key_image) f USING (key_image))
+"""
+
+
+def _frame(spark: SparkSession, sf: str) -> DataFrame:
+    r, c = _cascade(spark, sf)
+    return baselines.sample_frame(r.details(), c.resolved.select("key_image", "amount", "idx", "pass", F.lit(1.0).alias("confidence")))
+
+
+@query(FRAME + "SELECT coalesce(reason, stratum) AS \"group\", count(*) AS rings, CAST(sum(candidates) AS BIGINT) AS candidates FROM fr GROUP BY 1")
+def sampling_frame(spark: SparkSession, sf: str) -> DataFrame:
+    return _frame(spark, sf).groupBy(F.coalesce("reason", "stratum").alias("group")).agg(F.count("*").alias("rings"), F.sum("candidates").alias("candidates"))
+
+
+@query(FRAME + "SELECT key_image, stratum, candidates, CAST(rank AS INTEGER) AS rank, priority FROM (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY priority, key_image) AS rank FROM (SELECT *, sha256('42:' || stratum || ':' || key_image) AS priority FROM fr WHERE reason IS NULL)) WHERE rank <= 500")
 def stratified_bottom_k(spark: SparkSession, sf: str) -> DataFrame:
-    sized = rings(spark, sf).members.groupBy("key_image").agg(F.count("*").alias("n")).withColumn("stratum", baselines.ring_bucket("n"))
-    return baselines.bottom_k(sized, "stratum", "key_image").select("key_image", "stratum", "rank", "priority")
+    return baselines.bottom_k(_frame(spark, sf).where("reason is null"), "stratum", "key_image").select("key_image", "stratum", "candidates", "rank", "priority")
 
 
 SCORED = WITH + ", sc AS MATERIALIZED (SELECT m.*, 1.0::DOUBLE / u.reuse AS score FROM m JOIN (SELECT amount, idx, count(*) AS reuse FROM m GROUP BY amount, idx) u USING (amount, idx))\n"

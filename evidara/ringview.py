@@ -15,6 +15,11 @@ class Rings:
     members: DataFrame
     context: DataFrame
 
+    def details(self) -> DataFrame:
+        """(key_image, tx_hash, input_index, height, amount, idx): the members with their context, which may be missing."""
+        context = self.context.select("key_image", "tx_hash", F.lit(0).alias("input_index"), "height")
+        return self.members.join(context, "key_image", "left").select("key_image", "tx_hash", "input_index", "height", "amount", "idx")
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
