@@ -130,6 +130,21 @@ def groups(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.groupBy(*by).agg(F.count_distinct("key_image").alias("rings"), F.min("key_image").alias("first"), F.max("key_image").alias("last")).where("rings > 1")
 
 
+def pairs(rows: DataFrame, by: list[str], chunk: int = 256) -> DataFrame:
+    """left, right, shared: pairs of rings that share a group, each once, with how many they share. For reports over few or
+    chosen groups, as pairs grow with the square of a group; groups are cut into chunks that meet two by two, so that no
+    task has more than two chunks' pairs."""
+    own = rows.select(*by, "key_image").distinct()
+    sizes = own.groupBy(*by).agg(F.count("*").alias("m")).where("m > 1")
+    parts = F.ceil(F.col("m") / chunk)
+    dealt = own.join(sizes, by).withColumn("part", F.pmod(F.xxhash64("key_image"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    met = dealt.select(*by, "key_image", "part", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y")).distinct()
+    left, right = met.withColumnRenamed("key_image", "left").withColumnRenamed("part", "p"), met.withColumnRenamed("key_image", "right").withColumnRenamed("part", "q")
+    # Two members of one part meet in every pair of chunks with it; only their own chunk counts them.
+    once = F.when(F.col("p") == F.col("q"), (F.col("x") == F.col("p")) & (F.col("y") == F.col("p"))).otherwise(True)
+    return left.join(right, [*by, "x", "y"]).where((F.col("left") < F.col("right")) & once).groupBy("left", "right").agg(F.count("*").alias("shared"))
+
+
 def past_components(members: DataFrame, context: DataFrame, cutoff: int) -> DataFrame:
     """Components, blind to labels, of rings below a height that share an output or a transaction: key_image, root.
 
