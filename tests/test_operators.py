@@ -1,3 +1,4 @@
+import json
 import math
 
 import pytest
@@ -11,9 +12,9 @@ from evidara.streaming import live, pool
 
 
 def test_manifest_must_be_contiguous():
-    good = '{"schema_version":1,"eras":[{"id":"a","start_height":0,"end_height":9,"versions":[1]},{"id":"b","start_height":10,"end_height":null,"versions":[2,3]}]}'
+    good = '{"schema_version":1,"network":"mainnet","classification_basis":"mainnet_height_inferred","eras":[{"id":"a","start_height":0,"end_height":9,"versions":[1]},{"id":"b","start_height":10,"end_height":null,"versions":[2,3]}]}'
     assert [e.id for e in eras.parse_manifest(good)] == ["a", "b"]
-    for bad in (good.replace("10,", "11,"), good.replace("null", "20"), good.replace('"start_height":0', '"start_height":false')):
+    for bad in (good.replace("10,", "11,"), good.replace("null", "20"), good.replace('"start_height":0', '"start_height":false'), good.replace("mainnet\"", "testnet\""), good.replace("[2,3]", "[2,2]"), good.replace("[1]", "[]"), good.replace('"id":"b"', '"id":"unknown"')):
         with pytest.raises(ValueError):
             eras.parse_manifest(bad)
     assert eras.fingerprint(eras.parse_manifest(good)) == eras.fingerprint(eras.parse_manifest(good.replace('"id":"a"', '"label":"x","id":"a"')))
@@ -48,10 +49,20 @@ def test_profile_counts_missing_and_nonfinite(spark):
 
 
 def test_exclusions_take_the_first_reason(spark):
-    members = spark.createDataFrame([("valid", 1, 1), ("valid", 1, 2), ("single", 1, 3), ("bad", 1, 4), ("bad", 1, 5), ("mixed", 1, 6), ("mixed", 2, 7), ("x", 1, 8), ("x", 1, 9), ("y", 1, 8), ("y", 1, 10)], "key_image string, amount long, idx long")
-    claims = spark.createDataFrame([("valid", 1, 1), ("single", 1, 3), ("bad", 1, 99), ("mixed", 1, 6), ("x", 1, 8), ("y", 1, 8), ("orphan", 1, 50)], "key_image string, amount long, idx long")
-    got = {r.key_image: r.reason for r in baselines.exclusions(members, claims).collect()}
-    assert got == {"valid": None, "single": "singleton", "bad": "invalid_label", "mixed": "mixed_amount_buckets", "x": "conflicting_label", "y": "conflicting_label", "orphan": "missing_members"}
+    rows = {"ok": [(3, 1), (3, 2)], "one": [(3, 4)], "wrong": [(3, 5), (3, 6)], "both": [(3, 7), (4, 7)], "p": [(3, 8), (3, 9)], "q": [(3, 8), (3, 10)], "lost": [(3, 11), (3, 12)], "neg": [(3, -1), (3, 12)]}
+    details = [(k, f"t{k}", 0, None if k == "lost" else 5, *o) for k, own in rows.items() for o in own] + [("two", "x", 0, 5, 3, 20), ("two", "y", 0, 5, 3, 21)]
+    claims = [("ok", 3, 1), ("one", 3, 4), ("wrong", 3, 99), ("both", 3, 7), ("p", 3, 8), ("q", 3, 8), ("gone", 3, 50), ("lost", 3, 11), ("neg", 3, 12), ("two", 3, 20)]
+    got = baselines.exclusions(spark.createDataFrame(details, "key_image string, tx_hash string, input_index int, height long, amount long, idx long"), spark.createDataFrame(claims, "key_image string, amount long, idx long"))
+    want = {"ok": None, "one": "singleton", "wrong": "invalid_label", "both": "mixed_amount_buckets", "p": "conflicting_label", "q": "conflicting_label", "gone": "missing_members", "lost": "missing_context", "neg": "invalid_identity", "two": "conflicting_context"}
+    assert {r.key_image: r.reason for r in got.collect()} == want
+
+
+def test_tie_credit_is_exact_for_any_ring(spark):
+    from fractions import Fraction
+
+    rows = spark.createDataFrame([("uniform", 16, True), ("uniform", 16, True), ("uniform", 3, True), ("uniform", 33, False)], "baseline string, ties long, hit boolean")
+    r = baselines.metrics(rows.withColumn("key_image", F.lit("k"))).first()
+    assert baselines.credit(r.parts) == Fraction(2, 16) + Fraction(1, 3) and math.isclose(r.expected, 2 / 16 + 1 / 3) and (r.rings, r.contains, r.tied) == (4, 3, 4)
 
 
 def test_quartiles_are_not_ntile(spark):
@@ -68,10 +79,10 @@ def test_chronological_cutoff_keeps_the_boundary_block_together(spark):
 
 
 def test_sampling_keeps_both_budgets(spark):
-    rows = spark.createDataFrame([(str(i), "s%d" % (i % 3), 2 + i % 5) for i in range(30)], "key string, stratum string, n int")
-    sample = baselines.bottom_k(rows, "stratum", "key", 10)
-    first, again = baselines.round_robin(sample, 8, 20), baselines.round_robin(sample, 8, 20)
-    assert first == again and len(first) <= 8 and sum(r.n for r in first) <= 20
+    rows = spark.createDataFrame([(f"ring{i}", "abcd"[i % 4], 3 + i % 4) for i in range(50)], "key string, stratum string, candidates int")
+    sample = baselines.bottom_k(rows, "stratum", "key", 9)
+    first, again = baselines.round_robin(sample, 11, 37), baselines.round_robin(sample, 11, 37)
+    assert first == again and 0 < len(first) <= 11 and sum(r.candidates for r in first) <= 37 and len({r.stratum for r in first[:4]}) == 4
 
 
 def test_wilson_and_bins(spark):
@@ -150,29 +161,57 @@ def test_live_cycle():
     assert live.cycle(1000, 88).skipped == (89, 870)
 
 
-def test_pool_state_machine(spark):
-    state = spark.createDataFrame([], pool.STATE)
-    none = spark.createDataFrame([], "id string, height long, observed double")
-    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id string")
-    poll = lambda n, at: {"poll_id": n, "seen": at, "session": "s", "tip": 100}
-    state = pool.step(state, poll(1, 0.0), ids("old"), none, "cold_start")
-    state = pool.step(state, poll(2, 60.0), ids("old", "a"), none, None)
-    state = pool.step(state, poll(3, 120.0), ids("old"), none, None)
-    assert {r.id: r.state for r in state.collect()} == {"old": "pending", "a": "disappeared"}
-    block = spark.createDataFrame([("a", 101, 180.0), ("old", 101, 180.0)], "id string, height long, observed double")
-    rows = {r.id: r for r in pool.step(state, poll(4, 180.0), ids("b"), block, None).collect()}
-    assert rows["a"].state == "confirmed" and rows["a"].delay == 120.0 and rows["old"].state == "confirmed" and rows["old"].delay is None
+def polled(spark, state, n, at, ids, blocks=(), gap=None, **more):
+    known = spark.createDataFrame(list(blocks), "id string, height long, observed double")
+    return pool.step(state, {"poll_id": n, "seen": at, "monotonic_seen": at, "session": "s", "tip": 100} | more, spark.createDataFrame([(i,) for i in ids], "id string"), known, gap)
 
 
-def test_pool_gap_censors(spark):
-    state = pool.step(spark.createDataFrame([], pool.STATE), {"poll_id": 1, "seen": 0.0, "session": "s", "tip": 1}, spark.createDataFrame([("a",)], "id string"), spark.createDataFrame([], "id string, height long, observed double"), None)
-    after = pool.step(state, {"poll_id": 2, "seen": 900.0, "session": "s", "tip": 1}, spark.createDataFrame([("a",), ("b",)], "id string"), spark.createDataFrame([], "id string, height long, observed double"), "poll_gap")
-    assert {r.id: (r.censored, r.cold) for r in after.collect()} == {"a": (True, False), "b": (False, True)}
+def test_pool_state_machine(spark):
+    state = polled(spark, spark.createDataFrame([], pool.STATE), 1, 0.0, ["old"], gap="cold_start")
+    state = polled(spark, state, 2, 60.0, ["old", "a", "c"])
+    state = polled(spark, state, 3, 120.0, ["old"])
+    assert {r.id: r.state for r in state.collect()} == {"old": "pending", "a": "disappeared", "c": "disappeared"}
+    blocks = [("a", 101, 180.0), ("old", 101, 180.0)]
+    state = polled(spark, state, 4, 180.0, ["b", "c"], blocks)
+    rows = {r.id: r for r in state.collect()}
+    assert rows["a"].state == "confirmed" and rows["a"].delay == 120.0 and rows["old"].state == "confirmed" and rows["old"].delay is None and rows["c"].reappearances == 1
+    with pytest.raises(pool.Paused):
+        polled(spark, state, 5, 240.0, ["a"])
+    total = pool.consistent(pool.summary(state)).first()
+    assert total.consistent and (total.tracked, total.eligible, total.excluded, total.bin1) == (4, 1, 1, 1)
+
+
+def test_pool_gap_censors_and_retention_drops_what_is_settled(spark):
+    state = polled(spark, spark.createDataFrame([], pool.STATE), 1, 0.0, ["a", "z"])
+    state = polled(spark, state, 2, 900.0, ["a", "b"], gap="poll_gap")
+    assert {r.id: (r.censored, r.cold, r.state) for r in state.collect()} == {"a": (True, False, "pending"), "b": (False, True, "pending"), "z": (True, False, "disappeared")}
+    kept, gone = pool.pruned(state, 22_000.0)
+    assert {r.id: r.state for r in kept.collect()} == {"a": "censored", "b": "pending", "z": "censored"} and gone.first().pruned == 0
+    kept, gone = pool.pruned(kept, 86_401.0)
+    assert {r.id: r.state for r in kept.collect()} == {"b": "censored"} and gone.first().pruned == 2
+    few = pool.Settings(tracked=3)
+    assert [r.id for r in pool.untracked(state.limit(2), spark.createDataFrame([("m",), ("n",)], "id string"), few).collect()] == ["n"]
+
+
+def test_pool_snapshots_are_refused_as_a_whole(spark):
+    good, big = "ab" * 32, str(2**64 - 1)
+    entry = lambda **x: {"id_hash": good, "fee": 5, "weight": 7, "receive_time": 0} | x
+    polls = [{"status": "OK"}, {"status": "OK", "transactions": [entry(fee=2**64 - 1)]}, {"status": "OK", "transactions": [entry(), entry(id_hash=good.upper())]}, {"status": "BUSY"}, {"status": "OK", "transactions": [entry(weight=0)]}, {"status": "OK", "transactions": [entry(), entry(id_hash="cd" * 32), entry(id_hash="ef" * 32)]}, {"status": "OK", "transactions": {}}]
+    head, entries = pool.parsed(spark.createDataFrame([(i, json.dumps(p)) for i, p in enumerate(polls)], "poll_id long, json string"), 2)
+    assert {r.poll_id: r.reason for r in head.collect()} == {0: None, 1: None, 2: "repeated", 3: "status", 4: "entry", 5: "limit", 6: "list"}
+    assert [(r.poll_id, str(r.fee), r.receive_time) for r in entries.collect()] == [(1, big, None)]
+    assert pool.bracket({"height": 5, "hash": "A"}, {"height": 6, "hash": "b"}, "a") == 6
+    for second, anchor in (({"height": 4, "hash": "a"}, None), ({"height": 5, "hash": "b"}, None), ({"height": 6, "hash": "b"}, "c")):
+        with pytest.raises(pool.Paused):
+            pool.bracket({"height": 5, "hash": "a"}, second, anchor)
+    kinds = spark.createDataFrame([("error", None, True, 3), ("error", None, None, None), ("ok", None, False, 1), ("ok", None, True, 0), ("ok", None, None, None)], "state string, error_type string, pool_complete boolean, pool_count long")
+    assert [r.k for r in kinds.select(pool.poll_kind().alias("k")).collect()] == ["followup_failed", "failed", "partial", "complete", "unknown"]
+    assert [pool.job_state("observing", n, t, 9) for n, t in ((1, 9), (2, 8), (2, 9))] == ["warming_up", "warming_up", "observing"]
 
 
 def test_pool_job_replays_to_the_same_state(spark, tmp_path):
     blocks = lambda s: s.createDataFrame([(11, 130.0, ["a"])], "height long, observed double, tx_hashes array<string>")
-    job = pool.PoolJob(str(tmp_path), blocks)
+    job = pool.PoolJob(str(tmp_path), blocks, binding="public")
     kind = "poll_id long, seen double, monotonic_seen double, session string, tip long, txs array<string>"
     first = spark.createDataFrame([(1, 0.0, 0.0, "s", 10, []), (2, 60.0, 60.0, "s", 10, ["a", "b"])], kind)
     second = spark.createDataFrame([(3, 135.0, 135.0, "s", 11, ["b"])], kind)
@@ -181,6 +220,27 @@ def test_pool_job_replays_to_the_same_state(spark, tmp_path):
         job(second, 1)
     rows = {r.id: (r.state, r.delay) for r in job.state(spark, 1).collect()}
     assert rows == {"a": ("confirmed", 70.0), "b": ("pending", None)}
+    job.restart(spark, 1)
+    job(spark.createDataFrame([(4, 140.0, 140.0, "t", 11, ["b", "n"])], kind), 2)
+    assert {r.id: (r.censored, r.cold, r.reason) for r in job.state(spark, 2).where("id <> 'a'").collect()} == {"b": (True, False, "observer_restart"), "n": (False, True, None)}
+    with pytest.raises(ValueError):
+        pool.PoolJob(str(tmp_path), blocks, binding="private")(second, 3)
+
+
+def test_live_guards_and_histograms(spark):
+    assert live.cycle(1000, 88, skipped_through=870).skipped is None and live.gap_rows(live.cycle(1000, 88), "t") == [(89, 870, "catchup_window_skipped", "t")]
+    with pytest.raises(RuntimeError):
+        live.cycle(50, 88)
+    assert live.next_target(10, 100, 10, 20) == 30 and live.next_target(85, 100, 10, 20) == 89 and live.next_target(10, 100, 10, 20, most=15) == 15
+    for bad in ({"progress": 100, "chain_count": 100}, {"progress": 0, "chain_count": True}, {"progress": 0, "chain_count": 9, "rings": 2_000_000}, {"progress": 0, "chain_count": 9, "free_gb": 0.5}):
+        with pytest.raises((RuntimeError, ValueError)):
+            live.next_target(confirmations=1, blocks=1, **bad)
+    assert live.changed(5, "d", {"scan_end": 5, "dataset_id": "e"}) and not live.changed(5, "d", {"scan_end": 5, "dataset_id": "d"})
+    blocks = spark.createDataFrame([(1, {2: 3, 5: 1}, 4, 11, "complete"), (2, {2: 1}, 2, 2, "complete"), (3, {}, None, None, "partial")], "height long, ring_sizes map<int,int>, ring_input_count int, ring_member_count int, detail_status string")
+    assert {(r["size"], r.rings) for r in live.merged_histograms(blocks).collect()} == {(2, 4), (5, 1)} and {tuple(r) for r in live.unreconciled(blocks).collect()} == {(2, "inputs"), (3, "incomplete")}
+    assert [r.height for r in live.retained(blocks, "height", 2).orderBy("height").collect()] == [2, 3]
+    chain = spark.createDataFrame([(1, "a", None), (2, "b", "a")], "height long, hash string, previous_hash string")
+    assert [r.height for r in live.reorganised(chain, spark.createDataFrame([(2, "x", "a"), (3, "c", "y")], "height long, hash string, previous_hash string")).orderBy("height").collect()] == [2, 3]
 
 
 def test_documents_and_tasks(spark):
