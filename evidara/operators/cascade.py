@@ -47,14 +47,15 @@ def deterministic() -> F.Column:
     return (F.col("confidence") == 1.0) & F.coalesce(F.col("resolved_at_pass") >= 0, F.lit(False))
 
 
-def cascade(members: DataFrame, stored: DataFrame | None = None, max_passes: int = 100) -> Cascade:
+def cascade(members: DataFrame, stored: DataFrame | None = None, max_passes: int = 100, one_task: int | None = None) -> Cascade:
     """members: (key_image, amount, idx) without repeats. stored: earlier claims, as resolved_spends has them; claims of rings
     that the first phase resolves are ignored, the others eliminate too, and hypotheses taint what follows from them.
 
-    Ties between eliminators of one output in one pass go to the smallest key image.
+    Ties between eliminators of one output in one pass go to the smallest key image. one_task: memberships up to which one
+    task runs all passes; both ways give the same rows.
     """
     members = cut(members.select("key_image", *OUTPUT), "members")
-    if stored is None and members.count() <= ONE_TASK:
+    if stored is None and members.count() <= (ONE_TASK if one_task is None else one_task):
         return _one_task(members, max_passes)
     sizes = cut(members.groupBy("key_image").agg(F.count("*").alias("n")), "sizes")
     single = sizes.where("n = 1").select("key_image")
@@ -65,20 +66,24 @@ def cascade(members: DataFrame, stored: DataFrame | None = None, max_passes: int
     frontier = cut(first, "frontier")
     resolved: list[DataFrame] = [frontier]
     eliminated: list[DataFrame] = []
+    # What each open ring has lost so far; each pass adds its own losses and drops what it resolves, so that no pass reads
+    # the eliminations of all earlier ones.
+    state = members.where("false").select("key_image", F.lit(0).cast("long").alias("removed"), F.lit(False).alias("soft"))
+    done = cut(frontier.select("key_image").distinct(), "done")
     passes, size = 0, frontier.count()
     for number in range(1, max_passes + 1):
         if not size:
             break
         sources = frontier.groupBy(*OUTPUT).agg(F.min(F.struct("key_image", "soft")).alias("s")).select(*OUTPUT, F.col("s.key_image").alias("source"), F.col("s.soft").alias("soft"))
-        done = reduce(DataFrame.unionByName, [r.select("key_image") for r in resolved])
         hits = members.join(F.broadcast(sources) if size <= FRONTIER else sources, OUTPUT).join(done, "key_image", "left_anti")
         eliminated.append(cut(hits.select("key_image", *OUTPUT, F.lit(number - 1).alias("pass"), "source", "soft"), "hits"))
-        gone = reduce(DataFrame.unionByName, eliminated)
-        touched = eliminated[-1].select("key_image").distinct()
-        removed = gone.join(touched, "key_image", "left_semi").groupBy("key_image").agg(F.count("*").alias("removed"), F.bool_or("soft").alias("soft"))
-        short = sizes.join(removed, "key_image").where("n - removed <= 1").select("key_image", F.col("soft").alias("s"))
+        delta = eliminated[-1].groupBy("key_image").agg(F.count("*").alias("removed"), F.bool_or("soft").alias("soft"))
+        touched = delta.select("key_image", F.lit(True).alias("touched"))
+        state = cut(state.unionByName(delta).groupBy("key_image").agg(F.sum("removed").alias("removed"), F.bool_or("soft").alias("soft")), "state")
+        short = cut(sizes.join(state.join(touched, "key_image"), "key_image").where("n - removed <= 1").select("key_image", F.col("soft").alias("s")), "short")
         # The last member of each touched ring; a ring that lost all stays as a row without one, as it makes a pass.
-        last = members.join(short, "key_image").join(gone.select("key_image", *OUTPUT), ["key_image", *OUTPUT], "left_anti").select("key_image", *OUTPUT)
+        lost = reduce(DataFrame.unionByName, (e.select("key_image", *OUTPUT).join(short, "key_image", "left_semi") for e in eliminated))
+        last = members.join(short, "key_image").join(lost, ["key_image", *OUTPUT], "left_anti").select("key_image", *OUTPUT)
         soft = F.col("s")
         step = short.join(last, "key_image", "left").select("key_image", *OUTPUT, F.when(soft, -2).otherwise(number).alias("pass"), F.when(soft, "soft_cascade").otherwise("cascade").alias("method"), soft.alias("soft"))
         step = cut(step, "frontier")
@@ -87,6 +92,8 @@ def cascade(members: DataFrame, stored: DataFrame | None = None, max_passes: int
             break
         passes = number
         frontier = step.where("idx is not null")
+        state = state.join(step.select("key_image"), "key_image", "left_anti")
+        done = cut(done.union(step.select("key_image")), "done")
         resolved.append(frontier)
     empty = hits_schema(members)
     return Cascade(reduce(DataFrame.unionByName, resolved), reduce(DataFrame.unionByName, eliminated) if eliminated else empty, sizes, passes)

@@ -16,14 +16,23 @@ def recall(members: DataFrame, context: DataFrame, resolved: DataFrame, key) ->
     return own.join(context.where(F.col("key_image") == key), "key_image", "left").join(resolved.where(F.col("key_image") == key).select("key_image", F.struct(*OUTPUT).alias("claim"), "pass"), "key_image", "left")
 
 
+#: Rings of one output that meet in one place; an output of more is cut into parts that meet two by two.
+PART = 512
+
+
 def related(members: DataFrame, limit: int = 20, keys: DataFrame | None = None) -> DataFrame:
     """key_image, related, shared: for each ring (or those of keys) the rings that share the most outputs, ties by key.
 
-    Outputs of one ring alone are dropped before the self-join.
+    Outputs of one ring alone are dropped before the self-join. An output of many rings is dealt out by pairs of parts, so
+    that no task has more than two parts' pairs; each pair of rings meets once for each shared output.
     """
-    shared = members.join(members.groupBy(*OUTPUT).agg(F.count("*").alias("m")).where("m > 1").select(*OUTPUT), OUTPUT)
+    sizes = members.groupBy(*OUTPUT).agg(F.count("*").alias("m")).where("m > 1")
+    shared = members.join(sizes, OUTPUT).withColumn("parts", F.ceil(F.col("m") / PART)).withColumn("part", F.pmod(F.xxhash64("key_image"), F.col("parts")))
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
     left = shared.join(keys, "key_image", "left_semi") if keys is not None else shared
-    pairs = left.join(shared.select(*OUTPUT, F.col("key_image").alias("related")), OUTPUT).where("key_image <> related").groupBy("key_image", "related").agg(F.count("*").alias("shared"))
+    left = left.select(*OUTPUT, "key_image", F.col("part").alias("x"), each.alias("y"))
+    right = shared.select(*OUTPUT, F.col("key_image").alias("related"), each.alias("x"), F.col("part").alias("y"))
+    pairs = left.join(right, [*OUTPUT, "x", "y"]).where("key_image <> related").groupBy("key_image", "related").agg(F.count("*").alias("shared"))
     rank = F.row_number().over(Window.partitionBy("key_image").orderBy(F.desc("shared"), "related"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= limit)
 

@@ -12,6 +12,7 @@ from evidara.operators import baselines, eras, features, graph, predict, summary
 from evidara.operators import cascade as cas
 from evidara.plans.lineage import cut
 from evidara.ringview import rings, table
+from evidara.sources import ingest
 from evidara.streaming.replay import replay
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,6 +62,17 @@ def cascade_resolved(spark: SparkSession, sf: str) -> DataFrame:
     return _cascade(spark, sf)[1].resolved.select("key_image", "amount", "idx", "pass")
 
 
+@query(CASCADE + "SELECT key_image, amount, idx, pass FROM res")
+def cascade_by_passes(spark: SparkSession, sf: str) -> DataFrame:
+    """The way that large tables take: every pass over the cluster."""
+    return cas.cascade(rings(spark, sf).members, one_task=0).resolved.select("key_image", "amount", "idx", "pass")
+
+
+@query(CASCADE + "SELECT key_image, amount, idx, source, pass FROM elim")
+def provenance_by_passes(spark: SparkSession, sf: str) -> DataFrame:
+    return cas.cascade(rings(spark, sf).members, one_task=0).eliminated.select("key_image", "amount", "idx", "source", "pass")
+
+
 @query(CASCADE + "SELECT pass, count(*) AS rings FROM res GROUP BY pass")
 def cascade_pass_counts(spark: SparkSession, sf: str) -> DataFrame:
     return _cascade(spark, sf)[1].resolved.groupBy("pass").agg(F.count("*").alias("rings"))
@@ -151,6 +163,17 @@ def offsets_prefix_sum(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("key_image"), F.col("l_linenumber").alias("position"), F.sum("l_partkey").over(w).alias("absolute"))
 
 
+@query("""WITH v AS (SELECT l_orderkey AS t, l_linenumber AS pos, l_partkey AS o, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS p FROM lineitem)
+SELECT t AS tx_hash, 1 AS input_index, 'k' || t AS key_image, t % 10 AS amount, CAST(p AS INTEGER) AS position, CAST(sum(o) OVER (PARTITION BY t ORDER BY p) AS BIGINT) AS global_output_index FROM v""")
+def flattened_transactions(spark: SparkSession, sf: str) -> DataFrame:
+    """Ring members out of transaction bodies, whose first input is coinbase and whose second is the ring, by relative offsets."""
+    order = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey")))
+    lines = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(order.alias("x"))
+    key = F.struct((F.col("l_orderkey") % 10).alias("amount"), F.transform("x", lambda x: x["l_partkey"]).alias("key_offsets"), F.concat(F.lit("k"), F.col("l_orderkey").cast("string")).alias("k_image"))
+    body = F.concat(F.lit('{"vin":[{"gen":{"height":1}},{"key":'), F.to_json(key), F.lit('}],"vout":[]}'))
+    return ingest.flatten(lines.select(F.col("l_orderkey").alias("tx_hash"), body.alias("json")))
+
+
 ERA = "CASE WHEN height IS NULL OR height < 0 THEN 'unknown' WHEN height <= 11 THEN 'first' WHEN height <= 29 THEN 'second' WHEN height <= 47 THEN 'third' WHEN height <= 65 THEN 'fourth' ELSE 'fifth' END"
 
 

@@ -70,27 +70,47 @@ class Client:
         return result
 
     def height(self) -> int:
-        return int(self.call("json_rpc", {"jsonrpc": "2.0", "id": "0", "method": "get_block_count"})["count"])
+        count = self.call("json_rpc", {"jsonrpc": "2.0", "id": "0", "method": "get_block_count"}).get("count")
+        if type(count) is not int or count <= 0:
+            raise RuntimeError(f"the node's count of blocks is {count!r}")
+        return count
 
     def block(self, height: int) -> tuple:
         found = self.call("json_rpc", {"jsonrpc": "2.0", "id": "0", "method": "get_block", "params": {"height": height}})
-        head = found["block_header"]
-        if head["height"] != height:
-            raise RuntimeError(f"asked for {height}, got {head['height']}")
-        return height, head["hash"], head.get("prev_hash"), head["timestamp"], found["json"]
+        head, body = found.get("block_header"), found.get("json")
+        if not isinstance(head, dict) or type(head.get("height")) is not int or head["height"] != height:
+            raise RuntimeError(f"asked for {height}, got {head.get('height') if isinstance(head, dict) else head!r}")
+        if not isinstance(head.get("hash"), str) or type(head.get("timestamp")) is not int or not isinstance(body, str):
+            raise RuntimeError(f"the header or body of block {height} is not what a node gives")
+        return height, head["hash"], head.get("prev_hash"), head["timestamp"], body
 
     def batched(self, path: str, name: str, keys: list, size: int, **more: object) -> list[dict]:
-        """Look-ups in batches; every key must be answered, in order."""
+        """Look-ups in batches; every key must be answered, in order, and transactions by their own hash."""
         out: list[dict] = []
         for i in range(0, len(keys), size):
             part = keys[i : i + size]
             found = self.call(path, {name: part} | more)
             rows = found.get("txs") or found.get("outs") or []
-            if len(rows) != len(part) or found.get("missed_tx"):
+            if not isinstance(rows, list) or len(rows) != len(part) or found.get("missed_tx") or any(not isinstance(r, dict) for r in rows):
                 raise RuntimeError(f"{path}: {len(rows)} of {len(part)} answered")
+            if name == "txs_hashes":
+                own = {r.get("tx_hash"): r for r in rows}
+                if own.keys() != set(part):
+                    raise RuntimeError(f"{path}: answers and hashes don't match")
+                rows = [own[h] for h in part]
             out += rows
         return out
 
+    def outputs(self, identities: list[tuple[int, int]], size: int = 1000) -> list[tuple[int, int, int, str]]:
+        """(amount, index, height, txid) of outputs, matched by their place in the answer."""
+        rows = self.batched("get_outs", "outputs", [{"amount": a, "index": i} for a, i in identities], size, get_txid=True)
+        out = []
+        for (amount, index), row in zip(identities, rows, strict=True):
+            height, txid = row.get("height"), row.get("txid")
+            if type(height) is not int or height < 0 or not isinstance(txid, str) or len(txid) != 64 or any(c not in "0123456789abcdefABCDEF" for c in txid):
+                raise RuntimeError(f"output {amount}:{index} lacks a height or a transaction")
+            out.append((amount, index, height, txid))
+        return out
 
     def transactions(self, height: int, hashes: list[str]) -> Iterator[tuple[str, int, int, int, str]]:
         """(tx_hash, block_height, num_inputs, num_outputs, json) of a block's transactions, all of them, or an error."""

@@ -39,7 +39,12 @@ def exact_ids(df: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.select(*(csv_safe(F.col(c)).alias(c) for c in df.columns)).write.mode("overwrite").option("header", True).option("quoteAll", True).option("lineSep", "\n").csv(path)
+    """Quoted cells that no spreadsheet takes for a formula, quotes doubled, lines ended by CR and LF."""
+    cell = lambda c: F.concat(F.lit('"'), F.regexp_replace(F.coalesce(csv_safe(F.col(c)), F.lit("")), '"', '""'), F.lit('"'))
+    head = df.sparkSession.createDataFrame([(",".join(f'"{c}"' for c in df.columns),)], "value string")
+    lines = df.select(F.concat_ws(",", *(cell(c) for c in df.columns)).alias("value"))
+    head.coalesce(1).write.mode("overwrite").option("lineSep", "\r\n").text(f"{path}/header")
+    lines.write.mode("overwrite").option("lineSep", "\r\n").text(f"{path}/rows")
 
 
 def unresolved_report(candidates: DataFrame, limit: int = 1000) -> DataFrame:
