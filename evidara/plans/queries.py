@@ -323,7 +323,20 @@ def split_overlap(spark: SparkSession, sf: str) -> DataFrame:
     return baselines.overlap(r.members, parts)
 
 
-@query()
+COMPONENTS = SPLIT.replace("WITH m AS", "WITH RECURSIVE m AS", 1) + """, past AS MATERIALIZED (SELECT * FROM parts WHERE part = 'train'), pm AS MATERIALIZED (SELECT m.* FROM m SEMI JOIN past ON past.key_image = m.key_image),
+e AS MATERIALIZED (SELECT b.a, pm.key_image AS b FROM pm JOIN (SELECT amount, idx, min(key_image) AS a FROM pm GROUP BY amount, idx) b USING (amount, idx) UNION SELECT t.a, past.key_image FROM past JOIN (SELECT tx_hash, min(key_image) AS a FROM past GROUP BY tx_hash) t USING (tx_hash)), ee AS MATERIALIZED (SELECT a, b FROM e UNION SELECT b, a FROM e),
+cc(v, root) USING KEY (v) AS (SELECT key_image, key_image FROM past UNION SELECT x.v, x.r FROM (SELECT ee.b AS v, min(cc.root) AS r FROM cc JOIN ee ON ee.a = cc.v GROUP BY ee.b) x JOIN recurring.cc AS old ON old.v = x.v WHERE x.r < old.root)
+"""
+
+
+@query(COMPONENTS + "SELECT v AS key_image, root FROM cc")
+def past_components(spark: SparkSession, sf: str) -> DataFrame:
+    r = rings(spark, sf)
+    return graph.past_components(r.members, r.context, baselines.chronological_cutoff(r.context).first()[0])
+
+
+@query(COMPONENTS + """, bad AS (SELECT root FROM cc JOIN pm ON pm.key_image = cc.v SEMI JOIN (SELECT amount, idx FROM m JOIN parts USING (key_image) WHERE part = 'test') t ON t.amount = pm.amount AND t.idx = pm.idx UNION SELECT root FROM cc JOIN past ON past.key_image = cc.v WHERE tx_hash IN (SELECT tx_hash FROM parts WHERE part = 'test'))
+SELECT count(*) AS train, count(*) FILTER (root NOT IN (SELECT root FROM bad)) AS kept, count(DISTINCT root) AS components FROM cc""")
 def component_purge(spark: SparkSession, sf: str) -> DataFrame:
     r, parts = _parts(spark, sf)
     cutoff = baselines.chronological_cutoff(r.context).first()[0]
