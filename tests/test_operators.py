@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from evidara.functions import analytics as an
 from evidara.operators import baselines, eras, features, predict
 from evidara.plans import queries
-from evidara.sources import documents, ingest, sinks
+from evidara.sources import ingest, sinks
 from evidara.streaming import live, pool
 
 
@@ -100,6 +100,12 @@ def test_threshold_summary(spark):
 
 
 def test_text_helpers(spark):
+    odd = spark.createDataFrame([(5.0, 42.4, 185.0, 7260.0, 352_800.0, -1.0)], "a double, b double, c double, d double, e double, f double")
+    assert list(odd.select(*(an.duration(F.col(c)) for c in odd.columns)).first()) == ["5.0 s", "42 s", "3m 5s", "2h 1m", "4d 2h", "Unknown"]
+    urls = spark.createDataFrame([("http://u:p@Node.x:18/a?b",), ("https://h/",), ("ftp://h",), (None,)], "u string")
+    assert [x.o for x in urls.select(an.origin(F.col("u")).alias("o")).collect()] == ["http://node.x:18", "https://h", None, None]
+    fees = spark.createDataFrame([(2**64 - 1, 3), (1, 1000), (5, 0), (None, 1), (0, 7)], "f decimal(20,0), w decimal(20,0)")
+    assert [x.d for x in fees.select(an.fee_density("f", "w").alias("d")).collect()] == ["6148914691236517205.00", "<0.01", None, None, "0.00"]
     r = spark.createDataFrame([("=1+1", 1234567890123456789, "  Ｆoo\tBAR ")], "a string, b long, c string").select(an.csv_safe(F.col("a")).alias("a"), an.decimal_places(F.col("b")).alias("b"), an.folded(F.col("c")).alias("c")).first()
     assert tuple(r) == ("'=1+1", "1234567.890123456789", "foo bar")
 
@@ -113,8 +119,8 @@ def test_flatten_makes_offsets_absolute(spark):
 def test_append_new_is_idempotent(spark, tmp_path):
     rows = spark.createDataFrame([(1, "a"), (2, "b")], "height long, hash string")
     for _ in range(2):
-        ingest.append_new(str(tmp_path / "t"), rows, ["height"])
-    assert spark.read.parquet(str(tmp_path / "t")).count() == 2
+        ingest.append_new(str(tmp_path / "t"), rows.union(spark.createDataFrame([(1, "A")], rows.schema)), ["height"])
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "t")).collect())) == [(1, "A"), (2, "b")]
 
 
 def test_block_checks(spark):
@@ -150,8 +156,23 @@ def test_rpc_retries_and_budget():
     assert Client("http://n", send=send, sleep=waits.append).height() == 7 and waits == [1.0, 2.0]
     with pytest.raises(BudgetExceeded):
         Client("http://n", max_requests=0, send=send).height()
+    answer = lambda body: Client("http://n", send=lambda *a: json.dumps(body).encode())
+    for body in ({"txs": [{}]}, {"txs": [{"tx_hash": "a"}, {"tx_hash": "a"}]}, {"txs": [{"tx_hash": "a"}, {"tx_hash": "c"}]}):
+        with pytest.raises(RuntimeError):
+            answer(body).batched("get_transactions", "txs_hashes", ["a", "b"], 100)
+    assert answer({"txs": [{"tx_hash": "b"}, {"tx_hash": "a"}]}).batched("get_transactions", "txs_hashes", ["a", "b"], 100) == [{"tx_hash": "a"}, {"tx_hash": "b"}]
+    for count in (0, True, "7", None):
+        with pytest.raises(RuntimeError):
+            answer({"result": {"count": count}}).height()
+    head = {"height": 3, "hash": "h", "timestamp": 5}
+    assert answer({"result": {"block_header": head, "json": "{}"}}).block(3) == (3, "h", None, 5, "{}")
+    for bad in (head | {"height": 4}, head | {"height": True}, head | {"hash": 1}, None):
+        with pytest.raises(RuntimeError):
+            answer({"result": {"block_header": bad, "json": "{}"}}).block(3)
+    outs = [{"height": 1, "txid": "ab" * 32}, {"height": 2, "txid": "cd" * 32}]
+    assert answer({"outs": outs}).outputs([(0, 5), (7, 1)]) == [(0, 5, 1, "ab" * 32), (7, 1, 2, "cd" * 32)]
     with pytest.raises(RuntimeError):
-        Client("http://n", send=lambda *a: b'{"txs": [{}]}').batched("get_transactions", "txs_hashes", ["a", "b"], 100)
+        answer({"outs": [outs[0], {"height": -1, "txid": "cd" * 32}]}).outputs([(0, 5), (7, 1)])
 
 
 def test_live_cycle():
@@ -243,19 +264,6 @@ def test_live_guards_and_histograms(spark):
     assert [r.height for r in live.reorganised(chain, spark.createDataFrame([(2, "x", "a"), (3, "c", "y")], "height long, hash string, previous_hash string")).orderBy("height").collect()] == [2, 3]
 
 
-def test_documents_and_tasks(spark):
-    pages = spark.createDataFrame([("a.md", "# Title\n- [ ] **A1** do it\n```\n- [x] not this\n```\n- [x] done\n[b](b.md#s) [w](https://x.y/z.md)\n"), ("b.md", "text")], "path string, content string")
-    assert {(r.code, r.done) for r in documents.tasks(pages).collect()} == {("A1", False), (None, True)}
-    assert [tuple(r) for r in documents.edges(pages).collect()] == [("a.md", "b.md")]
-    assert {r.path for r in documents.reachable(documents.edges(pages), "a.md").collect()} == {"a.md", "b.md"}
-
-
-def test_task_lifecycle(spark):
-    snaps = spark.createDataFrame([(1, "t", False), (2, "t", True), (3, "t", False), (3, "u", False), (4, "u", False), (5, "t", False), (5, "u", False)], "seq long, id string, done boolean")
-    got = {(r.seq, r.id, r.kind) for r in documents.events(snaps).collect()}
-    assert got == {(1, "t", "first_recorded"), (2, "t", "closed"), (3, "t", "reopened"), (4, "t", "removed"), (5, "t", "reintroduced"), (3, "u", "first_recorded")}
-
-
 def test_predictions_are_verified_once(spark):
     picks = spark.createDataFrame([("k", 0, 7, 0.99)], "key_image string, amount long, idx long, score double")
     records = predict.save(picks, "r", "t")
