@@ -18,11 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidara.llm.common import column, in_arrow
-from evidara.llm.merges import merges
+from evidara.llm.merges import check_kind, merges
 from evidara.llm.token_counts import SPACE, texts_of
 
 #: The pre-token pattern of the word-end vocabulary (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: What the vocabulary file says of its text rules (fixed values).
+NORMAL = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+RULES = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": PATTERN}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
 PIECES = regex.compile(PATTERN.replace(r"[^\s", f"[^{SPACE}"))
 SPACES = regex.compile(f"[{SPACE}]+")
 #: Python splits at these too, the vocabulary's library doesn't.
@@ -136,8 +139,10 @@ def encode_decode(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: s
 
     decoded is what the vocabulary's library gives back: tokens with their word-end marks, joined by spaces. A null text
     counts as empty: no ids, empty text. Rows are independent: repeated rows, null keys and an empty table come back as
-    they are; other columns are ignored. Whole texts are encoded, of any length.
+    they are; other columns are ignored. Whole texts are encoded, of any length. A vocabulary of other text rules than
+    those built in is refused.
     """
+    check_kind(vocabulary, NORMAL, RULES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # nothing here makes cycles, and scans of the memo cost time

@@ -53,6 +53,13 @@ def apart(column: F.Column) -> F.Column:
     return F.reverse(column.cast("string"))
 
 
+def integral(df: DataFrame, key: str) -> None:
+    """Keys are whole numbers, which are compared and carried as longs; text keys would fail only in a task, so they are refused."""
+    kind = df.schema[key].dataType.simpleString()
+    if kind not in ("tinyint", "smallint", "int", "bigint", "void"):
+        raise TypeError(f"{key} is {kind}; a whole number is needed")
+
+
 def small_enough(df: DataFrame, rows: int) -> bool:
     """Whether df has at most so many rows; reads no more than needed to know."""
     return df.limit(rows + 1).count() <= rows

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidara.llm.common import CHUNK as CHUNK_BYTES
-from evidara.llm.common import NOT_SPACE, apart, column, groups, in_arrow, mixed, utf8, words, written
+from evidara.llm.common import NOT_SPACE, apart, column, groups, in_arrow, integral, mixed, utf8, words, written
 from evidara.operators.components import components
 
 SKETCH_BITS = 22
@@ -530,6 +530,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     with a null key has its n_shingles, no component and no n_links; an empty table gives no rows; other columns are ignored.
     Shingles and sets are told apart by 64-bit hashes.
     """
+    integral(docs, key)
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
     profile = written(_profile(rows, size), "profile")

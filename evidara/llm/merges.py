@@ -17,6 +17,17 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in set(plain) else chr(next(rest)) for b in range(256)]
 
 
+def check_kind(path: str, normalizer: dict | None, pre_tokenizer: dict) -> None:
+    """Refuses a vocabulary file whose text rules are not those that are built in, as its counts would be wrong."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, tokens = spec["model"], spec["added_tokens"]
+    plain = not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges"))
+    bare = not any(t.get(k) for t in tokens for k in ("single_word", "lstrip", "rstrip", "normalized"))
+    if model.get("type") != "BPE" or not plain or not bare or spec.get("normalizer") != normalizer or spec.get("pre_tokenizer") != pre_tokenizer:
+        raise ValueError(f"{path}: a vocabulary of another kind, whose rules are not built in")
+
+
 class Merges:
     """Vocabulary and merge ranks of a byte-level BPE file.
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidara.llm.common import column, in_arrow, written
+from evidara.llm.common import column, in_arrow, integral, written
 
 #: Pivots (a bounded sample of the vectors, by a hash of their id); how many of them stand for a vector.
 PIVOTS, PREFIX = 512, 64
@@ -95,6 +95,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, key: str = "vec_id
     another length than most have. A query's own row is no candidate; each row of a repeated id is a candidate, and a query
     of its own if the id is asked for. Ties go to the smaller id. An empty table, or one without queries, gives no rows.
     """
+    integral(vectors, key)
     spark = vectors.sparkSession
     e = F.col("e")
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("e"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidara.llm.boosting import Boosted, fit
-from evidara.llm.common import NOT_SPACE, column, crc_text, groups, in_arrow, utf8, words
+from evidara.llm.common import NOT_SPACE, column, crc_text, groups, in_arrow, integral, utf8, words
 
 #: The classifier is fitted on about so many labelled rows at most, chosen by a hash of the id.
 TRAIN_ROWS = 20_000
@@ -99,6 +99,7 @@ def quality_scores(docs: DataFrame, model: Boosted, modulus: int = 3, held: int
     A null text counts as empty and gets a score too; a null key is never held out; repeated rows, empty tables and
     other columns do no harm. Without labels, or with one label only, every score is the same.
     """
+    integral(docs, key)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     scored = _numbers(docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")), ["k"], "k long", sent)
     held_out = F.coalesce(F.pmod(crc_text("k"), F.lit(modulus)) == held, F.lit(False))

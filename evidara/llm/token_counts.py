@@ -17,10 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidara.llm.common import column, groups, in_arrow
-from evidara.llm.merges import Merges, merges
+from evidara.llm.merges import check_kind, merges
 
 #: The pre-token pattern of the byte-level vocabulary (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: What the vocabulary file says of its text rules (fixed values).
+RULES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
 #: The characters of \s, spelled out: Python's \s has \x1c-\x1f besides.
 SPACE = r"\t-\r \x85\xa0  -     　"
 PIECES = regex.compile(PATTERN.replace(r"[^\s", f"[^{SPACE}").replace(r"\S", f"[^{SPACE}]").replace(r"\s", f"[{SPACE}]"))
@@ -107,8 +109,10 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 1024, key: str =
     """key, n_bytes, n_tokens and over_limit (n_tokens > limit) of every row's whole text.
 
     A null text counts as empty: 0 bytes, 0 tokens. Rows are independent: repeated rows and null keys come back as they
-    are, an empty table gives an empty table, other columns are ignored. A special string inside a text is one token.
+    are, an empty table gives an empty table, other columns are ignored. A special string inside a text is one token. A
+    vocabulary of other text rules than those built in is refused.
     """
+    check_kind(vocabulary, None, RULES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # nothing here makes cycles, and scans of the memo cost time
@@ -124,5 +128,3 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 1024, key: str =
     out = in_arrow(rows, run, f"k {kind}, b long, n long")
     return out.select(F.col("k").alias(key), F.col("b").alias("n_bytes"), F.col("n").alias("n_tokens"), (F.col("n") > limit).alias("over_limit"))
 
-
-__all__ = ["Counter", "Merges", "token_counts"]

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidara.llm.common import BYTE_CODES, _power, column, crc_text, groups, in_arrow, mixed, utf8, written
+from evidara.llm.common import BYTE_CODES, _power, column, crc_text, groups, in_arrow, integral, mixed, utf8, written
 from evidara.llm.quality import labelled
 
 #: The classifier is fitted on about so many labelled rows at most, chosen by a hash of the id, and on so many distinct
@@ -439,6 +439,7 @@ def toxicity_scores(docs: DataFrame, machine: Machine, modulus: int = 5, held: i
     other columns do no harm, and equal texts have equal scores. Without labels, or with one label only, every score is
     the same.
     """
+    integral(docs, key)
     scored = _values(docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")), machine, ["k"], "k long")
     raw = sum((F.col("x")[k] * slope for k, slope in enumerate(machine.slopes)), F.lit(machine.shift))
     score = 1 / (1 + F.exp(-raw))

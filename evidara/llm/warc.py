@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidara.llm.common import apart, column, in_arrow, shared_dir
+from evidara.llm.common import apart, column, in_arrow, integral, shared_dir
 
 VERSION = b"WARC/1.1\r\n"
 MEMBER = re.compile(rb"\x1f\x8b\x08[\x00-\x1f]")
@@ -255,6 +255,8 @@ def write_archives(rows: DataFrame, path: str) -> None:
             close()
         yield pa.RecordBatch.from_arrays([pa.array([n])], ["n"])
 
+    at = rows.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(rows.sparkSession.sparkContext._jsc.hadoopConfiguration()).mkdirs(at)  # rows may lie in no partition at all
     in_arrow(rows.select("key", "member").sortWithinPartitions("key", F.xxhash64("member")), run, "n long").agg(F.sum("n")).collect()
 
 
@@ -289,6 +291,14 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return in_arrow(files.select("path", "content"), run, schema)
 
 
+def salvaged(spark: SparkSession, path: str, to: str) -> tuple[DataFrame, DataFrame]:
+    """Reads archives once and keeps both what was recovered and the log of quarantined gaps, as tables below `to`: records (file,
+    offset, length, headers, payload) and gaps (file, offset, length, reason)."""
+    read_archives(spark, path).write.partitionBy("kind").mode("overwrite").parquet(to)
+    rows = spark.read.schema("file string, offset long, length long, reason string, headers map<string,string>, payload binary, kind string").parquet(to)
+    return rows.where("kind = 'record'").drop("kind", "reason"), rows.where("kind = 'gap'").select("file", "offset", "length", "reason")
+
+
 def write_pages(pages: DataFrame, path: str, smallest: int = 0, date: str = "2024-01-01T00:00:00Z", key: str = "page_id", uri: str = "url", html: str = "html") -> None:
     """A record for each page. Of pages with equal payloads of at least smallest bytes the one with the smallest key is a
     response, the others revisit it; smaller ones are all responses. A null payload counts as empty; a null key is only
@@ -296,6 +306,7 @@ def write_pages(pages: DataFrame, path: str, smallest: int = 0, date: str = "202
 
     Members are packed before they are dealt out by payload, as packed bytes are fewer.
     """
+    integral(pages, key)
     raw = F.coalesce(F.col(html), F.lit("")).cast("binary")
     rows = pages.select(F.col(key).cast("long").alias("key"), F.coalesce(uri, F.lit("")).alias("uri"), raw.alias("t"))
     rows = rows.select("key", "uri", "t", digest_column(F.col("t")).alias("digest"), F.length("t").cast("long").alias("size"))

@@ -344,6 +344,79 @@ def test_nearest_breaks_ties_by_id_and_takes_odd_rows(spark):
     assert ask([]) == ask(wide([(1, [1.0, 2.0])])) == ask(wide([(20, [1.0, 2.0])])) == []
 
 
+def test_warc_of_no_partition_and_gap_log(spark, tmp_path):
+    none = spark.createDataFrame([], "page_id long, url string, html string")
+    assert warc.round_trip(none).count() == warc.round_trip(none.where("false")).count() == 0
+    at, good = tmp_path / "in", warc.response("1", "u", "d", b"<p>x</p>", warc.payload_digest(b"<p>x</p>"))
+    at.mkdir()
+    (at / "a.warc.gz").write_bytes(warc.member(good) + b"junk between" + warc.member(good.replace(b"<p>x", b"<p>y")) + warc.member(good))
+    records, gaps = warc.salvaged(spark, str(at), str(tmp_path / "out"))
+    assert records.count() == 2 and [(r.offset, r.length > 12) for r in gaps.collect()] == [(len(warc.member(good)), True)]
+    with pytest.raises(TypeError):
+        warc.round_trip(spark.createDataFrame([("a", "u", "h")], "page_id string, url string, html string"))
+
+
+def test_text_keys_are_refused(spark):
+    docs = spark.createDataFrame([("a", "some text")], "doc_id string, text string")
+    for f in (lambda: jaccard_join.near_duplicates(docs), lambda: quality.quality_scores(docs, boosting.fit(np.zeros((0, 1)), np.zeros(0))), lambda: toxicity.toxicity_scores(docs, toxicity.fit([])), lambda: permutation_index.nearest(spark.createDataFrame([("a", [1.0])], "vec_id string, embedding array<double>"))):
+        with pytest.raises(TypeError):
+            f()
+
+
+def test_classifiers_with_ties_and_clashing_columns(spark):
+    rows = [(1, "same words here", 5, "k", "t", "x"), (1, "same words here", 6, "k", "t", "x"), (2, "same words here", 7, None, None, None), (3, "very long " * 60_000, 8, "", "", "")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, y int, k string, t string, x string")
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(20)] + [(1, None, None), (1, 1, 1)], "doc_id long, quality int, toxic int")
+    for train, score in ((quality.train, quality.quality_scores), (toxicity.train, toxicity.toxicity_scores)):
+        got = score(docs, train(docs, labels)).collect()
+        assert len(got) == 4 and len({r.score for r in got if r.doc_id < 3}) == 1 and score(docs.where("false"), train(docs, labels)).count() == 0
+
+
+def test_quality_scores_equal_walking_every_tree(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = quality.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    got = {r.doc_id: r.score for r in quality.quality_scores(docs, model).collect()}
+    for r in docs.limit(40).collect():
+        data = np.frombuffer((r.text or "").encode(), np.uint8)
+        alone = float(model.score(quality.statistics(data, np.array([0, len(data)])))[0])
+        assert math.isclose(got[r.doc_id], alone, abs_tol=1e-12)
+
+
+def test_html_of_odd_rows(spark):
+    model = html_text.train(200, 2)
+    page = "<article><h1>Title</h1><p>One sentence, two.</p></article>"
+    deep = "<div>" * 20_000 + "<p>end</p>"
+    rows = [(1, "u", page, "k", "t"), (1, "u", page, "k", "t"), (2, None, "x" * 500_000, None, None), (None, "v", deep, "", "")]
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, k string, t string"), model).collect()
+    same = [r.text for r in got if r.page_id == 1]
+    assert len(got) == 4 and same[0] == same[1] and all(r.n_chars == len(r.text) for r in got)
+    assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string"), model).count() == 0
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_stages_take_odd_rows(spark, tmp_path, stage):
+    import corpus_pipeline
+
+    for name, rows, kind in (("labels", [(i, i % 2, 0) for i in range(9)], "doc_id long, quality int, toxic int"), ("benchmark", [(1, "alpha beta gamma delta epsilon zeta eta theta iota kappa"), (2, None)], "item_id long, text string")):
+        spark.createDataFrame(rows, kind).write.parquet(str(tmp_path / f"{name}.parquet"))
+    kind = "doc_id long, text string, lang string, source string, n_chars long, _key string, row string, k string, t string"
+    texts = ["mail me at a.b@example.com now", None, "", "alpha beta gamma delta epsilon zeta eta theta iota kappa and more", "plain words only here", "word " * 50_000]
+    rows = [(i, x, "en", None, len(x or ""), f"key{i}", "row", None, "t") for i, x in enumerate(texts)]
+    docs = spark.createDataFrame([*rows, rows[4], (None, "no id at all", None, None, None, None, None, None, None)], kind)
+    _, run = corpus_pipeline.STAGES[stage]
+    got = run(spark, docs, str(tmp_path))
+    if stage < 4:
+        assert got.columns == docs.columns
+        kept = got.collect()
+        assert sum(r.doc_id is None for r in kept) == 1 and all(r._key == f"key{r.doc_id}" and r.row == "row" for r in kept if r.doc_id is not None)
+        assert stage not in (2, 3) or {r.doc_id for r in kept} == ({0, 1, 2, 4, 5, None} if stage == 2 else {0, 1, 2, 3, 4, 5, None})
+        assert stage != 3 or {r.doc_id: (r.text or "")[:20] for r in kept}[0] == "mail me at [EMAIL] n"
+        assert sum(r.doc_id == 4 for r in kept) in (0, 2)
+    else:
+        assert got.count() == docs.count()
+    assert run(spark, docs.where("false"), str(tmp_path)).count() == 0
+
+
 def test_pipeline_keeps_columns_and_cleans(spark):
     import corpus_pipeline
 

@@ -61,6 +61,14 @@ def test_bpe_equals_the_library_and_decodes_alike(spark):
     assert all(digests[i].ids_sha256 == hashlib.sha256(" ".join(map(str, rows[i].ids)).encode()).hexdigest() for i in range(20))
 
 
+def test_vocabularies_of_another_kind_are_refused(spark):
+    rows = docs(spark, ["a"])
+    with pytest.raises(ValueError):
+        token_counts.token_counts(rows, P.path("word_bpe_49k.json"))
+    with pytest.raises(ValueError):
+        bpe.encode_decode(rows, P.path("byte_bpe_50k.json"))
+
+
 def test_empty_tables(spark):
     none = docs(spark, [])
     assert token_counts.token_counts(none, P.path("byte_bpe_50k.json")).count() == 0
