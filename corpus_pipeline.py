@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and returns the columns of documents, but
 for the last, which returns a row of token counts and digests for each document. A document is a row: repeated rows are
-judged alike. Extra columns pass through the filtering stages.
+judged alike, and rows without an id are kept by every filter. A null text counts as empty where it is judged, and stays null.
+Extra columns, of any name, pass through the filtering stages. An empty table stays one.
 """
 
 from __future__ import annotations
@@ -22,11 +23,12 @@ SMALL = 1_000_000
 
 
 def _without(docs: DataFrame, rejected: DataFrame, name: str) -> DataFrame:
-    """docs but those with a rejected doc_id; a row without id is kept."""
+    """docs but those with a rejected doc_id; a row without id is kept, whatever other columns docs has."""
     rejected = written(rejected.select("doc_id").where("doc_id is not null").distinct(), name)
     if small_enough(rejected, SMALL):
         return docs.join(F.broadcast(rejected), "doc_id", "left_anti")
-    return docs.withColumn("_key", apart(F.col("doc_id"))).join(rejected.select(apart(F.col("doc_id")).alias("_key")), "_key", "left_anti").drop("_key")
+    key = "".join(docs.columns) + "_"  # a name that no column has
+    return docs.withColumn(key, apart(F.col("doc_id"))).join(rejected.select(apart(F.col("doc_id")).alias(key)), key, "left_anti").drop(key)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
