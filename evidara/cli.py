@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
+import shutil
 import sys
 from collections.abc import Sequence
 
@@ -16,6 +18,7 @@ from evidara.operators.baselines import ranked
 from evidara.plans.lineage import cut
 from evidara.ringview import membership
 from evidara.sources import artifacts, ingest, rpc, sinks
+from evidara.streaming import live
 
 
 def _share(text: str) -> float:
@@ -38,7 +41,7 @@ def _count(most: int):
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="evidara")
     commands = top.add_subparsers(dest="command", required=True)
-    for name in ("scan", "analyze", "predict", "export", "verify", "diagnose", "export-viz", "status", "brain"):
+    for name in ("scan", "analyze", "predict", "export", "verify", "diagnose", "export-viz", "status", "brain", "collect"):
         sub = commands.add_parser(name)
         sub.add_argument("--data", required=True)
         if name == "scan":
@@ -51,7 +54,16 @@ def parser() -> argparse.ArgumentParser:
             sub.add_argument("--confidence", type=_share, default=0.95)
         if name in ("export", "export-viz"):
             sub.add_argument("--out", required=True)
-        if name == "export-viz":
+        if name == "collect":
+            sub.add_argument("--url", required=True)
+            sub.add_argument("--out", required=True)
+            sub.add_argument("--blocks", type=_count(100_000), default=1000)
+            sub.add_argument("--confirmations", type=int, default=10)
+            sub.add_argument("--max-height", type=int, default=None)
+            sub.add_argument("--prediction-every", type=int, default=6)
+            sub.add_argument("--confidence", type=_share, default=0.95)
+            sub.add_argument("--max-passes", type=_count(100_000), default=100)
+        if name in ("export-viz", "collect"):
             sub.add_argument("--manifest", default=None)
             sub.add_argument("--limit", type=_count(1000), default=200)
         if name == "brain":
@@ -255,8 +267,49 @@ def answer(store: Store, result: cas.Cascade, members: DataFrame, args: argparse
     return [r.asDict(recursive=True) for r in rows.collect()]
 
 
+def collect(store: Store, args: argparse.Namespace) -> dict:
+    """One cycle: scan as far as is safe, and if that brought something new, analyse, verify, score every so many cycles, and
+    export. The first cycle's export and the count of cycles are in the exported document."""
+    node = rpc.client({"url": args.url})
+    progress = store.height() if store.has("blocks") else -1
+    rings = store.members().select("key_image").distinct().count() if store.has("ring_members") else 0
+    free = shutil.disk_usage(args.data if os.path.isdir(args.data) else os.path.dirname(os.path.abspath(args.out))).free / 1e9
+    height = node.height()
+    target = live.next_target(progress, height, args.confirmations, args.blocks, args.max_height, rings, free_gb=free)
+    if progress >= 0:
+        known = store.read("blocks").where(F.col("height") == progress).first()["hash"]
+        if node.block(progress)[1] != known:
+            raise RuntimeError("the stored tip is not on the node's chain: nothing goes on before someone has looked")
+    if target > progress:
+        scan(store, argparse.Namespace(start=progress + 1, end=target, url=args.url))
+    latest = store.height() if store.has("blocks") else -1
+    state = "caught_up" if latest >= height - 1 - args.confirmations else "collecting"
+    try:
+        with open(args.out, encoding="utf-8") as f:
+            old = json.load(f)
+    except (OSError, ValueError):
+        old = {}
+    cycles = old.get("collection", {}).get("cycles", 0)
+    if store.has("ring_members") and live.changed(latest, args.data, old.get("scope", {})):
+        members = store.members()
+        result = cas.cascade(members, None, args.max_passes)
+        analyze(store, result, members)
+        verify(store, result)
+        cycles += 1
+        if args.prediction_every and cycles % args.prediction_every == 0:
+            predict_rings(store, result, members, args.confidence)
+        shown = dashboard(store, result, members, args)
+        shown["scope"]["dataset_id"] = args.data
+        shown["collection"] = {"cycles": cycles, "chain_tip": height - 1, "confirmation_lag": args.confirmations, "blocks_behind": max(0, height - 1 - latest)}
+        sinks.publish(args.out, shown)
+    return {"state": "height_limit_reached" if args.max_height is not None and latest >= args.max_height else state, "scanned_height": latest, "cycles": cycles}
+
+
 def run(spark: SparkSession, args: argparse.Namespace) -> object:
     store = Store(spark, args.data)
+    if args.command == "collect":
+        with sinks.one_writer(args.data):
+            return collect(store, args)
     if args.command == "scan":
         return scan(store, args)
     members = store.members()

@@ -152,3 +152,22 @@ def folded(column: F.Column) -> F.Column:
 def freshness(age: F.Column, interval: int) -> F.Column:
     """recent, stale or clock_mismatch of an age in seconds."""
     return F.when(age < -60, "clock_mismatch").when(age <= max(600, 3 * interval), "recent").otherwise("stale")
+
+
+def paired_holds() -> F.Column:
+    """Of a published comparison (rings, both, first_only, second_only, neither, net, agreement_first, agreement_second): whether
+    its cells make up the rings, and the net change and both rates follow from them."""
+    c = F.col
+    cells = c("both") + c("first_only") + c("second_only") + c("neither")
+    rate = lambda only, said: F.abs((c("both") + c(only)) / F.nullif(c("rings"), F.lit(0)) - c(said)) < 1e-10
+    return F.coalesce((cells == c("rings")) & (c("net") == c("second_only") - c("first_only")) & rate("first_only", "agreement_first") & rate("second_only", "agreement_second"), F.lit(False))
+
+
+def baseline_holds() -> F.Column:
+    """Of a published baseline (rings, expected, accuracy): whether the accuracy is the expectation over the rings."""
+    return F.coalesce(F.abs(F.col("expected") / F.nullif(F.col("rings"), F.lit(0)) - F.col("accuracy")) < 1e-10, F.lit(False))
+
+
+def archive_state(age: F.Column, interval: int) -> F.Column:
+    """current or stale of the seconds since an archive's last success; unknown without one."""
+    return F.when(age.isNull() | (age < 0), "unknown").when(age > interval + 3600, "stale").otherwise("current")

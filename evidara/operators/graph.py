@@ -134,6 +134,22 @@ def trace(dependencies: DataFrame, most: int = 100, keys: DataFrame | None = Non
     return found
 
 
+def local_graph(explained: DataFrame, picks: DataFrame, limit: int = 24, sources: int = 3) -> tuple[DataFrame, DataFrame]:
+    """nodes (key_image, id, kind, place) and edges (key_image, source, target, kind) to draw each ring: its own node, its first
+    candidates (the picked one first, then those that remain, then by eliminators), and the first rings that eliminate each.
+    The limits are the feature; explained is as from explain, picks (key_image, amount, idx)."""
+    name = F.concat_ws(":", F.lit("output"), F.col("amount").cast("string"), F.col("idx").cast("string"))
+    rows = explained.join(picks.select("key_image", *OUTPUT, F.lit(1).alias("picked")), ["key_image", *OUTPUT], "left")
+    order = (F.coalesce("picked", F.lit(0)).desc(), F.col("is_claim").desc(), (F.col("state") == "remaining").desc(), F.desc("eliminators"), "amount", "idx")
+    place = F.row_number().over(Window.partitionBy("key_image").orderBy(*order))
+    shown = rows.withColumn("place", place).where(F.col("place") <= limit).withColumn("id", name)
+    by = shown.select("key_image", "id", F.explode(F.slice("eliminated_by", 1, sources)).alias("by")).withColumn("ring", F.concat(F.lit("ring:"), F.col("by").cast("string")))
+    own = F.concat(F.lit("ring:"), F.col("key_image").cast("string"))
+    nodes = shown.select("key_image", own.alias("id"), F.lit("ring").alias("kind"), F.lit(0).alias("place")).distinct().union(shown.select("key_image", "id", F.lit("candidate"), "place")).union(by.select("key_image", F.col("ring"), F.lit("eliminator"), F.lit(None).cast("int")).distinct())
+    edges = shown.select("key_image", own.alias("source"), F.col("id").alias("target"), F.lit("candidate").alias("kind")).union(by.select("key_image", "ring", "id", F.lit("eliminates")))
+    return nodes, edges
+
+
 def groups(rows: DataFrame, by: list[str]) -> DataFrame:
     """Direct groups of more than one ring, never joined transitively."""
     return rows.groupBy(*by).agg(F.count_distinct("key_image").alias("rings"), F.min("key_image").alias("first"), F.max("key_image").alias("last")).where("rings > 1")

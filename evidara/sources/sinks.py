@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import fcntl
 import hashlib
 import json
 import os
 import tempfile
+from collections.abc import Iterator
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -66,3 +69,16 @@ def fingerprint(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def content_hash(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
+
+
+@contextlib.contextmanager
+def one_writer(path: str) -> Iterator[None]:
+    """Holds the lock of a folder that only one job may write; another one is refused at once. On a cluster the job runs in one
+    driver, and a stream is further kept single by its checkpoint."""
+    os.makedirs(path, exist_ok=True)
+    with open(os.path.join(path, ".lock"), "w") as lock:
+        try:
+            fcntl.flock(lock, fcntl.LOCK_EX | fcntl.LOCK_NB)
+        except BlockingIOError:
+            raise RuntimeError(f"another job writes {path}") from None
+        yield

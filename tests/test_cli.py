@@ -5,6 +5,7 @@ import threading
 import pytest
 
 from evidara import cli
+from evidara.sources import sinks
 
 
 @pytest.fixture
@@ -71,6 +72,8 @@ class Node(http.server.BaseHTTPRequestHandler):
         if self.path == "/get_transactions":
             ring = {"vin": [{"key": {"amount": 0, "key_offsets": [5, 2, 0], "k_image": "k"}}, {"gen": {}}], "vout": [{"amount": 0}, {"amount": 0}]}
             answer = {"status": "OK", "txs": [{"tx_hash": h, "block_height": int(h[1:]), "as_json": json.dumps(ring | {"vin": [{"key": ring["vin"][0]["key"] | {"k_image": "k" + h}}, {"gen": {}}]})} for h in asked["txs_hashes"]]}
+        elif asked["method"] == "get_block_count":
+            answer = {"result": {"count": 5}}
         else:
             height = asked["params"]["height"]
             answer = {"result": {"block_header": {"height": height, "hash": f"{height:064x}", "timestamp": 1_500_000_000}, "json": json.dumps({"tx_hashes": [f"t{height}"] if height else []})}}
@@ -90,8 +93,13 @@ def test_scan_stores_transactions_and_rings(spark, tmp_path):
     assert ask(spark, "scan", "--data", str(tmp_path), "--url", url, "--end", "2") == {"scanned": 1, "rejected": 0, "start": 2}
     assert ask(spark, "scan", "--data", str(tmp_path), "--url", url, "--end", "2")["scanned"] == 0
     assert ask(spark, "scan", "--data", str(tmp_path), "--url", url, "--start", "0", "--end", "2")["scanned"] == 3  # adds nothing
+    out = str(tmp_path / "shown.json")
+    grown = [ask(spark, "collect", "--data", str(tmp_path), "--url", url, "--out", out, "--confirmations", "1", "--blocks", "9", *more) for more in ((), (), ("--max-height", "3"))]
+    assert [(g["state"], g["scanned_height"], g["cycles"]) for g in grown] == [("caught_up", 3, 1), ("caught_up", 3, 1), ("height_limit_reached", 3, 1)]
+    assert json.loads(open(out).read())["collection"]["blocks_behind"] == 1 and ask(spark, "status", "--data", str(tmp_path))["rings"] == 3
+    with sinks.one_writer(str(tmp_path)), pytest.raises(RuntimeError):
+        ask(spark, "collect", "--data", str(tmp_path), "--url", url, "--out", out)
     server.shutdown()
     read = lambda name, *columns: sorted(map(tuple, spark.read.parquet(str(tmp_path / name)).select(*columns or "*").collect()))
-    assert read("transactions.parquet", "tx_hash", "block_height", "num_inputs", "num_outputs") == [("t1", 1, 1, 2), ("t2", 2, 1, 2)] and len(read("blocks.parquet")) == 3
-    assert read("ring_members.parquet", "tx_hash", "input_index", "key_image", "amount", "position", "global_output_index") == [(t, 0, "k" + t, 0, p, i) for t in ("t1", "t2") for p, i in enumerate((5, 7, 7))]
-    assert ask(spark, "status", "--data", str(tmp_path))["rings"] == 2
+    assert read("transactions.parquet", "tx_hash", "block_height", "num_inputs", "num_outputs") == [(f"t{i}", i, 1, 2) for i in (1, 2, 3)] and len(read("blocks.parquet")) == 4
+    assert read("ring_members.parquet", "tx_hash", "input_index", "key_image", "amount", "position", "global_output_index") == [(t, 0, "k" + t, 0, p, i) for t in ("t1", "t2", "t3") for p, i in enumerate((5, 7, 7))]
