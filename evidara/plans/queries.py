@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from evidara.functions import analytics as an
 from evidara.operators import baselines, eras, features, graph, predict, summary
 from evidara.operators import cascade as cas
-from evidara.plans.lineage import cut
+from evidara.plans.lineage import cut, shared_dir
 from evidara.ringview import rings, table
 from evidara.sources import ingest
 from evidara.streaming.replay import replay
@@ -157,12 +157,6 @@ def output_groups(spark: SparkSession, sf: str) -> DataFrame:
     return graph.groups(rings(spark, sf).members, ["amount", "idx"])
 
 
-@query("SELECT l_orderkey AS key_image, l_linenumber AS position, CAST(sum(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey ROWS UNBOUNDED PRECEDING) AS BIGINT) AS absolute FROM lineitem")
-def offsets_prefix_sum(spark: SparkSession, sf: str) -> DataFrame:
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("key_image"), F.col("l_linenumber").alias("position"), F.sum("l_partkey").over(w).alias("absolute"))
-
-
 @query("""WITH v AS (SELECT l_orderkey AS t, l_linenumber AS pos, l_partkey AS o, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS p FROM lineitem)
 SELECT t AS tx_hash, 1 AS input_index, 'k' || t AS key_image, t % 10 AS amount, CAST(p AS INTEGER) AS position, CAST(sum(o) OVER (PARTITION BY t ORDER BY p) AS BIGINT) AS global_output_index FROM v""")
 def flattened_transactions(spark: SparkSession, sf: str) -> DataFrame:
@@ -491,14 +485,17 @@ def retention_newest_n(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").withColumn("r", rank).where("r <= 100").select("event_type", "event_id")
 
 
-@query("""WITH d AS (SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY ALL), lo AS (SELECT min(day) AS a FROM d), x AS (SELECT user_id, n FROM d, lo WHERE day = a), y AS (SELECT user_id, n FROM d, lo WHERE day = a + 1)
-SELECT user_id, x.n AS before, y.n AS after, CASE WHEN x.n IS NULL THEN 'added' WHEN y.n IS NULL THEN 'removed' WHEN x.n <> y.n THEN 'updated' ELSE 'same' END AS change FROM x FULL JOIN y USING (user_id)""")
+@query("""WITH d AS (SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY ALL)
+SELECT * FROM (SELECT coalesce(x.user_id, y.user_id) AS user_id, coalesce(y.day, CAST(x.day + INTERVAL 1 DAY AS DATE)) AS day, x.n AS before, y.n AS after, CASE WHEN x.n IS NULL THEN 'added' WHEN y.n IS NULL THEN 'removed' WHEN x.n <> y.n THEN 'updated' ELSE 'same' END AS change FROM d x FULL JOIN d y ON x.user_id = y.user_id AND y.day = CAST(x.day + INTERVAL 1 DAY AS DATE))
+WHERE day > (SELECT min(day) FROM d) AND day <= (SELECT max(day) FROM d)""")
 def snapshot_diff(spark: SparkSession, sf: str) -> DataFrame:
-    days = table(spark, sf, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
-    low = F.broadcast(table(spark, sf, "events").agg(F.to_date(F.min("ts")).alias("a")))
-    at = lambda k, name: days.join(low).where(F.col("day") == F.date_add("a", k)).select("user_id", F.col("n").alias(name))
+    """Every day's users against those of the day before."""
+    days = cut(table(spark, sf, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count("*").alias("n")), "days")
+    both = days.select("user_id", F.date_add("day", 1).alias("day"), F.col("n").alias("before")).join(days.withColumnRenamed("n", "after"), ["user_id", "day"], "full_outer")
+    span = F.broadcast(days.agg(F.min("day").alias("first"), F.max("day").alias("last")))
     b, a = F.col("before"), F.col("after")
-    return at(0, "before").join(at(1, "after"), "user_id", "full_outer").withColumn("change", F.when(b.isNull(), "added").when(a.isNull(), "removed").when(b != a, "updated").otherwise("same"))
+    change = F.when(b.isNull(), "added").when(a.isNull(), "removed").when(b != a, "updated").otherwise("same")
+    return both.join(span).where("day > first and day <= last").select("user_id", "day", "before", "after", change.alias("change"))
 
 
 @query("SELECT event_type, count(*) AS events, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS k_sum, max(CAST(json_extract(props, '$.k') AS BIGINT)) AS k_max FROM events GROUP BY event_type")
@@ -507,12 +504,6 @@ def json_props_agg(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_type", k.alias("k")).groupBy("event_type").agg(F.count("*").alias("events"), F.sum("k").alias("k_sum"), F.max("k").alias("k_max"))
 
 
-@query(r"SELECT doc_id, len(regexp_extract_all(text, 'Licensed under ([^\n.]*)')) AS licences, len(regexp_extract_all(text, '\n')) + 1 AS lines, sha256(text) AS sha FROM documents")
-def markdown_todos(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents")
-    return d.select("doc_id", F.regexp_count("text", F.lit(r"Licensed under [^\n.]*")).cast("long").alias("licences"), (F.regexp_count("text", F.lit("\n")) + 1).cast("long").alias("lines"), F.sha2("text", 256).alias("sha"))
-
-
 @query("""SELECT page_id, link, CAST(row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS INTEGER) AS pos FROM (SELECT page_id, unnest(l) AS link, generate_subscripts(l, 1) AS pos FROM (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS l FROM pages))""")
 def page_links(spark: SparkSession, sf: str) -> DataFrame:
     links = F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), 1)
@@ -521,7 +512,9 @@ def page_links(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(POOL + "SELECT state, count(*) AS transactions, CAST(sum(sightings) AS BIGINT) AS sightings FROM states GROUP BY state")
 def stream_state_machine(spark: SparkSession, sf: str) -> DataFrame:
-    per = replay(spark, f"{sf}/events.parquet")
+    path = f"{shared_dir(spark, 'events')}.parquet"
+    table(spark, sf, "events").repartition(9).write.parquet(path)  # several batches, whose states are merged
+    per = replay(spark, path)
     top = per.agg(F.max("last_seen").alias("top"))
     state = F.when(F.col("confirmed").isNotNull(), "confirmed").when(F.col("last_seen") < F.col("top") - 86_400_000_000, "disappeared").otherwise("pending")
     return per.join(F.broadcast(top)).groupBy(state.alias("state")).agg(F.count("*").alias("transactions"), F.sum("sightings").alias("sightings"))
