@@ -94,8 +94,9 @@ def decimal_places(atomic: F.Column, places: int = 12) -> F.Column:
 def fee_density(fee: str, weight: str) -> F.Column:
     """Fee for each unit of weight with two decimals, by integer division, as text; null where either is unknown or the weight
     is 0, and <0.01 for a fee that rounds to nothing."""
-    f, w = F.col(fee).cast("decimal(38,0)"), F.col(weight).cast("decimal(38,0)")
-    hundredths = F.expr(f"(cast({fee} as decimal(38,0)) * 100) div cast({weight} as decimal(38,0))").cast("decimal(38,0)")
+    f, w = F.col(fee).cast("decimal(20,0)"), F.nullif(F.col(weight).cast("decimal(20,0)"), F.lit(0).cast("decimal(20,0)"))
+    times = (f * F.lit(100).cast("decimal(3,0)")).cast("decimal(23,0)")
+    hundredths = ((times - times % w) / w).cast("decimal(38,0)")  # without its remainder the division is exact
     text = decimal_places(hundredths, 2)
     return F.when(f.isNotNull() & (w > 0), F.when((hundredths == 0) & (f > 0), "<0.01").otherwise(text))
 
