@@ -49,8 +49,9 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     hashes, firsts = words(data, offsets, NOT_SPACE)
     with np.errstate(over="ignore"):
         pairs = hashes[:-1] * np.uint64(31) + hashes[1:] if len(hashes) else hashes
+    pairs = np.delete(pairs, np.unique(firsts[(firsts > 0) & (firsts < len(hashes))]) - 1)  # of the last word of a text and the next text's first
     by_word = _repeats(hashes, firsts)
-    by_pair = _repeats(pairs, np.minimum(firsts, len(pairs)))
+    by_pair = _repeats(pairs, np.r_[0, np.cumsum(np.maximum(np.diff(firsts) - 1, 0))])
     by_line = _repeats(*words(data, offsets, _LINE))
     by_sentence = _repeats(*words(data, offsets, _SENTENCE))
     share = counts / chars[:, None]
@@ -77,14 +78,17 @@ def _numbers(docs: DataFrame, keep: list[str], kinds: str, model=None) -> DataFr
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, rows: int, key: str, text: str) -> DataFrame:
     """Texts with the label y of about so many rows at most: those outside the held-out remainder of crc32(key as text)
-    with the smallest hashes. Null labels don't count; of several labels of one key the largest holds."""
+    with the smallest hashes. Null labels don't count; of several labels of one key the largest holds. Where documents repeat
+    ids so often that there would be twice as many rows, rows are chosen by a hash of key and text too."""
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & (F.pmod(crc_text(key), F.lit(modulus)) != held))
     known = known.groupBy(F.col(key).cast("long").alias("k")).agg(F.max(label).cast("int").alias("y"))
     n = known.count()
     if n > rows:
         known = known.where(F.pmod(F.xxhash64("k"), F.lit(1 << 30)) < int(rows / n * (1 << 30)))
     known = F.broadcast(known)  # bounded by rows
-    return docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).join(known, "k").select("k", "t", "y")
+    found = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).join(known, "k").select("k", "t", "y")
+    n = found.count()  # reads ids alone
+    return found if n <= 2 * rows else found.where(F.pmod(F.xxhash64("k", "t"), F.lit(1 << 30)) < int(rows / n * (1 << 30)))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 3, held: int = 1, rows: int = TRAIN_ROWS, key: str = "doc_id", text: str = "text") -> Boosted:

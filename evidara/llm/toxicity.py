@@ -167,7 +167,7 @@ def _shape(n: int) -> tuple:
     places = np.array(list(itertools.combinations(range(n), ORDER)), np.int64)
     gap = np.subtract.outer(np.arange(n), np.arange(n))
     weights = DECAY ** (places[:, -1] - places[:, 0] + 1.0)
-    return places[:, 0] * n + places[:, 1], places[:, 2] * n + places[:, 3], weights.astype(np.float32), np.where(gap > 0, DECAY ** np.maximum(gap, 0.0), 0.0).astype(np.float32)
+    return places[:, 0] * n + places[:, 1], places[:, 2] * n + places[:, 3], weights.astype(np.float32), np.where(gap > 0, DECAY ** np.maximum(gap, 0.0), 0.0)
 
 
 def _parts(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -177,12 +177,12 @@ def _parts(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     first, second, weights, before = _shape(n)
     columns = np.ascontiguousarray(codes.T)
     pairs = (columns[:, None] * np.int32(ALPHABET) + columns).reshape(n * n, m)
-    level = same = (codes[:, :, None] == codes[:, None, :]).astype(np.float32)
+    level = same = (codes[:, :, None] == codes[:, None, :]).astype(np.float64)
     for _ in range(ORDER - 1):
         for _ in range(2):
             level = (level.reshape(m * n, n) @ before.T).reshape(m, n, n).transpose(0, 2, 1)
         level = same * level
-    return pairs[first] * np.int32(ALPHABET**2) + pairs[second], weights, np.sqrt(DECAY**2 * level.sum((1, 2)))
+    return pairs[first] * np.int32(ALPHABET**2) + pairs[second], weights, np.sqrt(DECAY**2 * level.sum((1, 2))).astype(np.float32)
 
 
 def _alike(letters: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -247,12 +247,16 @@ class Machine:
     slopes: tuple[float, ...] = (4.0, 0.0, 0.0)
     shift: float = 0.0
 
+    def __post_init__(self):
+        """As multiples of 2^-24 they are added up without rounding, so a unit's value is the same whatever is near it."""
+        self.weights = (np.rint(self.weights.astype(np.float64) * 2**24) / 2**24).astype(np.float32)
+
     def values(self, letters: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """What each unit adds to its sentence."""
         out = np.zeros(len(starts), np.float32)
         for own, codes in _alike(letters, starts, sizes):
             numbers, weights, norm = _parts(codes)
-            out[own] = weights @ self.weights.take(numbers) / norm
+            out[own] = weights.astype(np.float64) @ self.weights.take(numbers).astype(np.float64) / norm
         return out
 
 

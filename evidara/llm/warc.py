@@ -26,6 +26,9 @@ from evidara.llm.common import apart, column, in_arrow, integral, shared_dir
 VERSION = b"WARC/1.1\r\n"
 MEMBER = re.compile(rb"\x1f\x8b\x08[\x00-\x1f]")
 VERSION_LINE = re.compile(rb"WARC/[0-9]\.[0-9]\r?\n")
+#: No header goes on beyond the next line of this kind.
+NEXT_RECORD = re.compile(rb"\nWARC/[0-9]\.[0-9]\r?\n")
+CONTROL = re.compile("[\x00-\x1f\x7f]")
 #: Bytes after which a writer begins another file.
 FILE_BYTES = 16 << 20
 #: Packed bytes that are unpacked at a time; no more than these are looked at beyond a member's end.
@@ -46,7 +49,8 @@ def digest_column(payload: F.Column) -> F.Column:
 
 
 def record(headers: list[tuple[str, str]], block: bytes) -> bytes:
-    head = b"".join(f"{k}: {v}\r\n".encode() for k, v in headers)
+    """Control characters of a value, which could end its line, are percent-encoded."""
+    head = b"".join(f"{k}: {CONTROL.sub(lambda c: f'%{ord(c[0]):02X}', v)}\r\n".encode() for k, v in headers)
     return VERSION + head + b"Content-Length: %d\r\n\r\n" % len(block) + block + b"\r\n\r\n"
 
 
@@ -93,7 +97,8 @@ def parse(data: bytes | memoryview, at: int) -> tuple[Record, int]:
     if not line:
         raise Broken("no version line")
     whole = data if isinstance(data, bytes) else bytes(data)
-    end = whole.find(b"\r\n\r\n", at)
+    after = NEXT_RECORD.search(whole, at + line.end() - 1)
+    end = whole.find(b"\r\n\r\n", at, after.start() if after else len(whole))
     if end < 0:
         raise Broken("header not ended")
     headers: dict[str, str] = {}
@@ -181,7 +186,7 @@ def salvage(data: bytes) -> Iterator[Record | tuple[int, int, str]]:
     record that holds, is a gap of the archive's bytes up to the next place that holds. Empty data has no records and no gaps.
     Cost: each failed member is unpacked at most up to its first error.
     """
-    at, gap, reason = 0, -1, ""
+    at, gap, reason, following = 0, -1, "", [0, 0]
     kept: list[Record] = []  # of broken members since the gap began; packed data may hold them as they are, to be found again
     while at < len(data):
         if gap < 0:
@@ -218,8 +223,11 @@ def salvage(data: bytes) -> Iterator[Record | tuple[int, int, str]]:
         except Broken as e:
             if gap < 0:
                 gap, reason = at, str(e)
-            following = [m.start() for m in (MEMBER.search(data, at + 1), VERSION_LINE.search(data, at + 1)) if m]
-            at = min(following, default=len(data))
+            for kind, pattern in enumerate((MEMBER, VERSION_LINE)):
+                if following[kind] <= at:  # else what was found before still lies ahead
+                    found = pattern.search(data, at + 1)
+                    following[kind] = found.start() if found else len(data)
+            at = min(following)
     if gap >= 0:
         yield gap, len(data) - gap, reason
 
@@ -302,7 +310,8 @@ def salvaged(spark: SparkSession, path: str, to: str) -> tuple[DataFrame, DataFr
 def write_pages(pages: DataFrame, path: str, smallest: int = 0, date: str = "2024-01-01T00:00:00Z", key: str = "page_id", uri: str = "url", html: str = "html") -> None:
     """A record for each page. Of pages with equal payloads of at least smallest bytes the one with the smallest key is a
     response, the others revisit it; smaller ones are all responses. A null payload counts as empty; a null key is only
-    a response. Of repeated rows with the key of the response each is a response.
+    a response. Of repeated rows with the key of the response each is a response. A null address counts as empty; its control
+    characters are percent-encoded. Other columns, of any name, are ignored.
 
     Members are packed before they are dealt out by payload, as packed bytes are fewer.
     """

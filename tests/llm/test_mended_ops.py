@@ -1,0 +1,99 @@
+"""Cases that once went wrong: addresses with line breaks, equal windows, neighbours in a batch."""
+
+import time
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from evidara.llm import common, decontamination, quality, warc
+
+
+def test_warc_keeps_pages_whatever_their_address(spark):
+    urls = ["http://a\nb", "http://a\r\n\r\nboom", "u\r\nX-Page-Id: 77", "\r\nContent-Length: 1", " ", "é \x85", "\x00\x7f", "WARC/1.1\r\n", None]
+    rows = [(i, u, f"page {i % 4}", 0, "x") for i, u in enumerate(urls)]
+    got = sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string, key int, digest string")).collect())
+    assert got == [(i, 6, "revisit" if i > 3 else "response", i % 4 if i > 3 else None) for i in range(len(urls))]
+
+
+def test_warc_header_values_stay_on_their_line():
+    found, end = warc.parse(data := warc.record([("WARC-Type", "resource"), ("WARC-Target-URI", "a\r\nb: c\x7f")], b"x"), 0)
+    assert found.headers["warc-target-uri"] == "a%0D%0Ab: c%7F" and "b" not in found.headers and end == len(data)
+
+
+def test_unfinished_headers_cost_no_square():
+    def took(n):
+        data = b"WARC/1.1\r\nWARC-Type: response\r\nX: y\r\n" * n + warc.record([("WARC-Type", "resource")], b"kept")
+        began = time.perf_counter()
+        found = list(warc.salvage(data))
+        assert [x for x in found if isinstance(x, warc.Record)][0].block == b"kept" and found[0][:2] == (0, 37 * n)
+        return time.perf_counter() - began
+
+    took(2000)
+    assert took(40_000) < 40 * max(took(4000), 0.01)
+
+
+def brute(texts, items, window=10):
+    out = []
+    for t in texts:
+        w, hit, names = t.split(), set(), set()
+        for name, body in items:
+            b = body.split()
+            for i in range(max(1 if b else 0, len(b) - window + 1)):
+                own = b[i : i + window]
+                for at in range(len(w) - len(own) + 1):
+                    if w[at : at + len(own)] == own:
+                        hit |= set(range(at, at + len(own)))
+                        names.add(name)
+        out.append((len(w), len(hit), len(names)))
+    return out
+
+
+@pytest.mark.parametrize(("piece", "block"), [(1 << 20, 16 << 20), (3, 16 << 20), (50, 40)])
+def test_runs_of_equal_words_equal_brute_force(spark, monkeypatch, piece, block):
+    monkeypatch.setattr(decontamination, "PIECE", piece)
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", block)
+    items = [(1, "a " * 30), (2, "a " * 10), (3, "a b " * 8), (4, "b"), (5, "a " * 12 + "b " * 12), (6, "c d")]
+    texts = ["a " * 200, "a " * 9, "a b " * 40, "b a", "a " * 40 + "b " * 40, "", "c " * 20 + "d " * 20, "x y"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = decontamination.decontaminate(frame, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert [(r.n_words, r.n_hit, r.n_items) for r in sorted(found)] == brute(texts, items)
+
+
+def test_equal_windows_are_searched_once():
+    test = decontamination.Windows([("1", "w " * 300), ("2", "w " * 40)], 10)
+    assert test.rows.shape == (1, 10) and test.owner.tolist() == [0, 1]
+    n = 60_000
+    shard = {"terms": test.terms, "offsets": np.array([0, n], np.int32), "positions": np.arange(n, dtype=np.int32)}
+    assert sum(len(w) for w, _, _ in decontamination.matches(shard, test, 0)) == n - 9
+
+
+def test_reach_beyond_the_gap_is_refused(spark):
+    none = spark.createDataFrame([], decontamination.INDEX), spark.createDataFrame([], "item_id long, text string")
+    for window, slop in ((256, 0), (10, 123)):
+        with pytest.raises(ValueError, match="below 256"):
+            decontamination.search(*none, window=window, slop=slop)
+
+
+def test_statistics_of_a_text_are_its_own():
+    texts = ["a b a b a", "b c d", "zz c d", "", "one", None, "a a", "x\ny\nx y."]
+    alone = [quality.statistics(*common.utf8(pa.array([t], pa.string())))[0] for t in texts]
+    r = np.random.default_rng(0)
+    for _ in range(20):
+        order = r.permutation(len(texts))
+        whole = quality.statistics(*common.utf8(pa.array([texts[i] for i in order], pa.string())))
+        assert all(np.array_equal(whole[n], alone[i]) for n, i in enumerate(order))
+
+
+def test_ids_that_repeat_without_end_stay_bounded(spark):
+    docs = spark.createDataFrame([(k, f"text {k} {n}") for k in range(10) for n in range(100)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1, 1) for k in range(10)], "doc_id long, quality int, toxic int")
+    held = sum(common_crc(k) % 3 == 1 for k in range(10))
+    assert quality.labelled(docs, labels, "quality", 3, 1, 500, "doc_id", "text").count() == 100 * (10 - held)
+    assert 20 < quality.labelled(docs, labels, "quality", 3, 1, 100, "doc_id", "text").count() < 200
+
+
+def common_crc(k):
+    import zlib
+
+    return zlib.crc32(str(k).encode())
