@@ -10,7 +10,7 @@ from evidara.plans.lineage import cut, shared_dir
 from evidara.plans.queries import CASCADE, SPLIT, WITH, _cascade, _parts, query
 from evidara.ringview import rings, table
 from evidara.sources import documents, sinks
-from evidara.streaming import live, pool
+from evidara.streaming import follow, live, pool
 
 SAMPLE = CASCADE + """, o AS MATERIALIZED (SELECT category, amount, idx, min(key_image) AS key_image FROM (SELECT m.*, CASE WHEN r.key_image IS NULL THEN 'unresolved' ELSE 'resolved' END AS category FROM m LEFT JOIN res r USING (key_image)) GROUP BY ALL),
 s AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY category) AS frame, sha256('42:' || category || ':' || amount || ':' || idx) AS priority FROM o),
@@ -152,3 +152,59 @@ def safe_csv(spark: SparkSession, sf: str) -> DataFrame:
     path = shared_dir(spark, "csv")
     sinks.write_csv(table(spark, sf, "customer").select("c_custkey", F.col("c_acctbal").cast("decimal(12,2)").alias("c_acctbal"), "c_mktsegment"), path)
     return spark.read.option("lineSep", "\r\n").text(f"{path}/rows").select(F.col("value").alias("line"))
+
+
+#: An order is seen in the pool of its day and of each day on which a part of it ships; of those that are fulfilled the last such
+#: day is that of its block. Every such day has a poll.
+FOLLOW = """WITH d AS MATERIALIZED (SELECT o_orderkey AS id, o_orderstatus AS status, CAST(o_orderdate AS DATE) AS day FROM orders UNION SELECT l_orderkey, o_orderstatus, CAST(l_shipdate AS DATE) FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+x AS (SELECT *, status = 'F' AND day = max(day) OVER (PARTITION BY id) AND day > min(day) OVER (PARTITION BY id) AS block, date_diff('day', DATE '1970-01-01', day) AS n, dense_rank() OVER (ORDER BY day) AS poll FROM d),
+e AS (SELECT *, max(n) OVER () AS final, min(n) OVER () AS start, min(n) OVER (PARTITION BY id) AS first, lag(poll) OVER (PARTITION BY id ORDER BY poll) AS before FROM x)
+"""
+
+
+def _followed(spark: SparkSession, sf: str) -> DataFrame:
+    """(id, day, block): a row for each order and day, as FOLLOW says."""
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.to_date("o_orderdate").alias("day"))
+    shipped = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), F.to_date("l_shipdate").alias("day"))
+    days = orders.select("id", "status", "day").union(shipped.join(orders.select("id", "status"), "id").select("id", "status", "day")).distinct()
+    own = Window.partitionBy("id")
+    return days.select("id", "day", ((F.col("status") == "F") & (F.col("day") == F.max("day").over(own)) & (F.col("day") > F.min("day").over(own))).alias("block"))
+
+
+@query(FOLLOW + """SELECT CAST(id AS VARCHAR) AS id, CASE WHEN bool_or(block) THEN 'confirmed' WHEN min(first) < max(final) - 800 THEN 'censored' WHEN max(n) = max(final) THEN 'pending' ELSE 'disappeared' END AS state, min(first) = max(start) AS cold,
+min(first) < (CASE WHEN bool_or(block) THEN max(n) ELSE max(final) END) - 800 AS censored, count(*) FILTER (NOT block AND poll > before + 1 AND first >= n - 800) AS reappearances,
+max(CASE WHEN block AND first > start AND first >= n - 800 THEN CAST((n - first) * 86400 AS DOUBLE) END) AS delay FROM e GROUP BY id""")
+def pool_follow(spark: SparkSession, sf: str) -> DataFrame:
+    """Every order followed in the state store of a stream, over files of ascending days, in two runs of which the second goes on
+    where the first ended; the follow-up is 800 days, retention longer than the table."""
+    day, settings = 86_400.0, pool.Settings(interval=86_400.0, follow_up=800 * 86_400.0, retention=1e10)
+    rows = cut(_followed(spark, sf), "days")
+    number = F.unix_date("day")
+    polls = rows.select(number.cast("long").alias("poll_id"), (number * day).alias("seen"), (number * day).alias("monotonic_seen"), F.lit("s").alias("session")).distinct()
+    polls = cut(follow.marked(polls, pool.Settings(interval=1e9)).withColumn("part", F.ntile(3).over(Window.orderBy("poll_id"))), "polls")  # a row a day
+    events = rows.join(polls, number == F.col("poll_id")).select(
+        F.col("id").cast("string").alias("id"), F.when(F.col("block"), "block").otherwise("seen").alias("kind"), F.timestamp_seconds("seen").alias("at"), "poll", "epoch", "session", "cold", F.col("seen").alias("mono"),
+        F.when(F.col("block"), number).otherwise(number - 1).cast("long").alias("height"), "part",
+    )
+    source, path = shared_dir(spark, "pool-in"), shared_dir(spark, "pool")
+    events.write.partitionBy("part").parquet(source)
+    for run in ("{1,2}", "*"):  # the second run finds the checkpoint of the first
+        stream = spark.readStream.schema(follow.EVENT).option("maxFilesPerTrigger", 1_000_000).parquet(f"{source}/part={run}")
+        follow.watch(stream, path, settings)
+    last = polls.agg(F.max("seen")).first()[0]
+    return follow.tracked(spark, path, last, settings).select("id", "state", "cold", "censored", "reappearances", "delay")
+
+
+@query(FOLLOW + """SELECT CAST(id AS VARCHAR) AS id, CAST(n AS BIGINT) AS height, CAST((n - first) * 86400 AS DOUBLE) AS delay FROM e WHERE block AND n - first <= 800""")
+def pool_confirmations(spark: SparkSession, sf: str) -> DataFrame:
+    """Delays as a join of the stream of first sightings with the stream of blocks."""
+    rows = cut(_followed(spark, sf), "days")
+    source = shared_dir(spark, "streams")
+    key = F.col("id").cast("string").alias("id")
+    rows.groupBy(key).agg(F.min("day").cast("timestamp").alias("seen")).write.parquet(f"{source}/seen")
+    rows.where("block").select(key, F.unix_date("day").cast("long").alias("height"), F.col("day").cast("timestamp").alias("observed")).write.parquet(f"{source}/blocks")
+    read = lambda name, schema: spark.readStream.schema(schema).parquet(f"{source}/{name}")
+    met = follow.confirmations(read("seen", "id string, seen timestamp"), read("blocks", "id string, height long, observed timestamp"), "800 days", "10 days")
+    out = met.writeStream.format("parquet").option("path", f"{source}/out").option("checkpointLocation", f"{source}/checkpoint").trigger(availableNow=True).start()
+    out.awaitTermination()
+    return spark.read.schema("id string, height long, delay double").parquet(f"{source}/out")
