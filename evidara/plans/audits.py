@@ -9,7 +9,7 @@ from evidara.operators import audit, baselines, features
 from evidara.plans.lineage import cut, shared_dir
 from evidara.plans.queries import CASCADE, SPLIT, WITH, _cascade, _parts, query
 from evidara.ringview import rings, table
-from evidara.sources import documents, sinks
+from evidara.sources import documents, sinks, sqlite
 from evidara.streaming import follow, live, pool
 
 SAMPLE = CASCADE + """, o AS MATERIALIZED (SELECT category, amount, idx, min(key_image) AS key_image FROM (SELECT m.*, CASE WHEN r.key_image IS NULL THEN 'unresolved' ELSE 'resolved' END AS category FROM m LEFT JOIN res r USING (key_image)) GROUP BY ALL),
@@ -208,3 +208,13 @@ def pool_confirmations(spark: SparkSession, sf: str) -> DataFrame:
     out = met.writeStream.format("parquet").option("path", f"{source}/out").option("checkpointLocation", f"{source}/checkpoint").trigger(availableNow=True).start()
     out.awaitTermination()
     return spark.read.schema("id string, height long, delay double").parquet(f"{source}/out")
+
+
+@query("""SELECT l_orderkey AS key_image, l_returnflag AS flag, count(*) AS members, CAST(sum(l_linenumber) AS BIGINT) AS positions, max(l_extendedprice) AS top FROM lineitem WHERE l_returnflag >= 'N' AND l_linenumber IN (1, 2, 3, 5) AND l_quantity < 40 GROUP BY ALL""")
+def sqlite_members(spark: SparkSession, sf: str) -> DataFrame:
+    """Order lines as SQLite files, a file for each task, read back in ranges of row ids with filters that SQLite sees."""
+    path = shared_dir(spark, "sqlite")
+    sqlite.write(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity", "l_extendedprice"), path, "members")
+    rows = sqlite.table(spark, path, "members", "l_orderkey long, l_linenumber int, l_returnflag string, l_quantity double, l_extendedprice double", 100_000)
+    rows = rows.where("l_returnflag >= 'N' AND l_linenumber IN (1, 2, 3, 5) AND l_quantity < 40")
+    return rows.groupBy(F.col("l_orderkey").alias("key_image"), F.col("l_returnflag").alias("flag")).agg(F.count("*").alias("members"), F.sum("l_linenumber").alias("positions"), F.max("l_extendedprice").alias("top"))

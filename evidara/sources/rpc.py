@@ -1,7 +1,9 @@
 """A JSON-RPC node as a Spark data source: blocks by height in batch, and heights as a stream.
 
-Options: url; start, end (batch); per_partition; budget_seconds, max_requests and max_bytes of a partition; retries (1, 2, 4 s
-apart, on connection errors and time-outs only); lag, limit (stream: blocks behind the tip, blocks of one batch).
+Options: url; start, end (batch); per_partition (heights that one task reads); retries (1, 2, 4 s apart, on connection errors
+and time-outs only); lag, initial, limit, cursor (stream: blocks behind the tip, blocks to begin with, blocks of one batch, and a
+folder that remembers where it was). budget_seconds, max_requests and max_bytes hold for a whole scan or batch: its tasks
+have one deadline, and each has its share of the requests and bytes.
 """
 
 from __future__ import annotations
@@ -13,7 +15,11 @@ import urllib.request
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+import pyarrow as pa
+from pyarrow import fs
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 SCHEMA = "height long, hash string, previous_hash string, timestamp long, json string"
 
@@ -131,14 +137,40 @@ class Client:
             yield tx["tx_hash"], height, len(keys), len(body["vout"]), tx["as_json"]
 
 
-def client(options: dict) -> Client:
+LIMITS = {"budget_seconds": 300.0, "max_requests": 10_000, "max_bytes": 1 << 30}
+
+
+def limits(options: dict) -> dict:
     o = {k.lower(): v for k, v in options.items()}
-    return Client(o["url"], float(o.get("budget_seconds", 300)), int(o.get("max_requests", 10_000)), int(o.get("max_bytes", 1 << 30)), int(o.get("retries", 3)))
+    return {k: type(d)(o.get(k, d)) for k, d in LIMITS.items()}
+
+
+def client(options: dict, share: float = 1.0, deadline: float | None = None) -> Client:
+    """With a share of the requests and bytes (one request at least), and until a deadline on the wall clock, where one is set."""
+    o, most = {k.lower(): v for k, v in options.items()}, limits(options)
+    seconds = most["budget_seconds"] if deadline is None else deadline - time.time()
+    return Client(o["url"], seconds, max(1, int(most["max_requests"] * share)), max(1, int(most["max_bytes"] * share)), int(o.get("retries", 3)))
 
 
 class Heights(InputPartition):
-    def __init__(self, start: int, end: int):
-        self.start, self.end = start, end
+    """Heights from start to before end, with this share of the scan's budget, until its deadline."""
+
+    def __init__(self, start: int, end: int, share: float, deadline: float):
+        self.start, self.end, self.share, self.deadline = start, end, share, deadline
+
+
+def dealt(options: dict, start: int, end: int) -> list[Heights]:
+    """Heights from start to before end, dealt out to tasks; their shares make up one budget."""
+    step, deadline = int(options.get("per_partition", 100)), time.time() + limits(options)["budget_seconds"]
+    if step < 1:
+        raise ValueError("per_partition must be 1 or more")
+    return [Heights(a, min(a + step, end), (min(a + step, end) - a) / (end - start), deadline) for a in range(start, end, step)]
+
+
+def fetched(options: dict, part: Heights) -> Iterator[tuple]:
+    node = client(options, part.share, part.deadline)
+    for height in range(part.start, part.end):
+        yield node.block(height)
 
 
 class Reader(DataSourceReader):
@@ -146,39 +178,92 @@ class Reader(DataSourceReader):
         self.options = options
 
     def partitions(self) -> list[Heights]:
-        start, end, step = (int(self.options.get(k, d)) for k, d in (("start", 0), ("end", 0), ("per_partition", 100)))
-        return [Heights(a, min(a + step, end + 1)) for a in range(start, end + 1, step)]
+        return dealt(self.options, int(self.options.get("start", 0)), int(self.options.get("end", -1)) + 1)
 
     def read(self, partition: Heights) -> Iterator[tuple]:
-        node = client(self.options)
-        for height in range(partition.start, partition.end):
-            yield node.block(height)
+        return fetched(self.options, partition)
+
 
+class Stream(DataSourceStreamReader):
+    """Confirmed heights as offsets. The driver asks for the tip alone; tasks fetch the blocks, so a batch is spread over the
+    executors, and a batch that runs again fetches the same heights again.
 
-class Stream(SimpleDataSourceStreamReader):
-    """Confirmed heights as offsets: each batch goes on where the last one ended, so a failed batch is read again."""
+    With a cursor folder a batch has at most limit heights: Spark doesn't say where a query stands when it asks how far there is
+    data, so the reader keeps the end of each batch that it plans there. Without it the first batch of a run goes up to the tip.
+    """
 
     def __init__(self, options: dict):
         self.options = options
+        self.at = self._remembered()
+
+    def _target(self) -> int:
+        """The height after the last one that is confirmed."""
+        return max(0, client(self.options).height() - int(self.options.get("lag", 10)))
+
+    def _cursor(self) -> tuple[fs.FileSystem, str] | None:
+        folder = self.options.get("cursor")
+        return fs.FileSystem.from_uri(folder) if folder else None
+
+    def _remembered(self) -> int | None:
+        where = self._cursor()
+        if where is None or where[0].get_file_info(f"{where[1]}/height").type != fs.FileType.File:
+            return None
+        with where[0].open_input_stream(f"{where[1]}/height") as file:
+            return int(file.read())
 
     def initialOffset(self) -> dict:
         start = self.options.get("start")
-        first = max(0, client(self.options).height() - 1 - int(self.options.get("lag", 10)) - int(self.options.get("initial", 4)) + 1) if start is None else int(start)
-        return {"height": first}
+        self.at = max(0, self._target() - int(self.options.get("initial", 4))) if start is None else int(start)
+        return {"height": self.at}
+
+    def latestOffset(self) -> dict:
+        target = self._target()
+        if self.at is None and self.options.get("cursor"):  # a new query
+            self.initialOffset()
+        if self.at is not None:
+            target = max(self.at, min(target, self.at + int(self.options.get("limit", 1000))))
+        return {"height": target}
+
+    def partitions(self, start: dict, end: dict) -> list[Heights]:
+        self.at, where = end["height"], self._cursor()
+        if where is not None:
+            where[0].create_dir(where[1], recursive=True)
+            with where[0].open_output_stream(f"{where[1]}/_height") as file:
+                file.write(str(self.at).encode())
+            where[0].move(f"{where[1]}/_height", f"{where[1]}/height")
+        return dealt(self.options, start["height"], self.at)
+
+    def read(self, partition: Heights) -> Iterator[tuple]:
+        return fetched(self.options, partition)
+
+
+def origins(outputs: DataFrame, options: dict, tasks: int = 8, size: int = 1000) -> DataFrame:
+    """Outputs (amount, idx) -> (amount, idx, height, txid), looked up once each in batches of so many.
+
+    Tasks deal with the outputs by a hash; they have one deadline, and each an equal share of the scan's requests and bytes.
+    An output that the node doesn't answer fails the scan. Nulls are left out.
+    """
+    deadline = time.time() + limits(options)["budget_seconds"]
+    asked = outputs.select(F.col("amount").cast("long").alias("amount"), F.col("idx").cast("long").alias("idx")).dropna().distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        node, held = client(options, 1 / tasks, deadline), []
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        node = client(self.options)
-        target = node.height() - 1 - int(self.options.get("lag", 10))
-        end = min(target + 1, start["height"] + int(self.options.get("limit", 12)))
-        rows = [node.block(h) for h in range(start["height"], max(end, start["height"]))]
-        return iter(rows), {"height": max(end, start["height"])}
+        def found() -> pa.RecordBatch:
+            columns = zip(*node.outputs(held, size), strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 3 + [pa.string()], strict=True)], ["amount", "idx", "height", "txid"])
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        node = client(self.options)
-        return iter([node.block(h) for h in range(start["height"], end["height"])])
+        for batch in batches:
+            for pair in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                held.append(pair)
+                if len(held) == size:
+                    yield found()
+                    held = []
+        if held:
+            yield found()
 
-    def commit(self, end: dict) -> None:
-        pass
+    dealt = asked.repartition(tasks, F.xxhash64("amount", "idx"))  # by the columns themselves the shuffle of distinct would serve, which may be coalesced
+    return dealt.mapInArrow(run, "amount long, idx long, height long, txid string")
 
 
 class NodeSource(DataSource):
@@ -192,5 +277,5 @@ class NodeSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return Reader(self.options)
 
-    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
+    def streamReader(self, schema) -> DataSourceStreamReader:
         return Stream(self.options)
