@@ -205,11 +205,11 @@ def dashboard(store: Store, result: cas.Cascade, members: DataFrame, args: argpa
     claims, told = store.claims(result), store.predictions()
     rows = cut(evidence.rings(members, claims, result.live(), told), "rings")
     totals = evidence.summary(rows, members, claims)
-    mapping = eras.load_manifest(args.manifest) if args.manifest else {"status": "available", "eras": eras.NETWORK_ERAS, "mapping_sha256": eras.fingerprint(eras.NETWORK_ERAS), "unavailable_reason": None}
+    mapping = eras.load_manifest(members.sparkSession, args.manifest) if args.manifest else {"status": "available", "eras": eras.NETWORK_ERAS, "mapping_sha256": eras.fingerprint(eras.NETWORK_ERAS), "unavailable_reason": None}
     placed = evidence.eras_of_rings(store.details(), mapping["eras"])
     heights = store.read("transactions").select(F.col("block_height").alias("height"))
     blocks = store.read("blocks").select("height") if store.has("blocks") else heights.distinct()
-    roll = cut(evidence.era_roll(placed, rows, blocks, heights, members, claims, mapping["eras"]), "roll")
+    roll = cut(evidence.era_roll(placed, rows, blocks, heights, members, claims, mapping["eras"], True), "roll")
     checks = evidence.reconciliation(roll, totals).where("summary_total is not null")
     page = cut(history.page(history.rows(store.read("prediction_records", RECORDS), store.read("prediction_runs", RUNS), store.read("prediction_verifications", VERIFICATIONS)), args.limit), "page")
     asked = page.select("key_image").distinct()

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidara.operators.cascade import OUTPUT
+from evidara.operators.ranges import quantiles
 from evidara.operators.features import FEATURES, duplicate_columns
 
 
@@ -47,10 +48,11 @@ def attached(sample: DataFrame, origins: DataFrame) -> DataFrame:
 def ages(rows: DataFrame, distinct: tuple[str, ...] = ()) -> DataFrame:
     """One row: contexts, known origins, ages' least, median and most, how many are over 15 blocks or after a reference, and the
     distinct values of some columns, in order."""
-    return rows.agg(
-        F.count("*").alias("contexts"), F.count_distinct(*OUTPUT).alias("outputs"), F.count("age").alias("known"), F.count_if("origin_after_reference").alias("after_reference"), F.min("age").alias("age_min"), F.percentile("age", 0.5).alias("age_median"), F.max("age").alias("age_max"),
+    found = rows.agg(
+        F.count("*").alias("contexts"), F.count_distinct(*OUTPUT).alias("outputs"), F.count("age").alias("known"), F.count_if("origin_after_reference").alias("after_reference"), F.min("age").alias("age_min"), F.max("age").alias("age_max"),
         F.count_if(F.col("age") > 15).alias("over_15"), *(F.array_sort(F.collect_set(c)).alias(f"{c}_values") for c in distinct),
     )
+    return found.join(quantiles(rows, "age", {"age_median": 0.5}).drop("n"))
 
 
 def zipped(requested: F.Column, answered: F.Column) -> F.Column:

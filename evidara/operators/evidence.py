@@ -93,28 +93,31 @@ def eras_of_rings(details: DataFrame, eras: tuple[Era, ...]) -> DataFrame:
     return per.select("key_image", "rows", "contexts", F.when(reason.isNull(), F.col("era")).otherwise("unknown").alias("era"), reason.alias("reason"))
 
 
-def era_roll(placed: DataFrame, per_ring: DataFrame, blocks: DataFrame, transactions: DataFrame, members: DataFrame, claims: DataFrame, eras: tuple[Era, ...]) -> DataFrame:
-    """era and FIELDS, a row for each era and one for unknown, with 0 where nothing is.
+def era_roll(placed: DataFrame, per_ring: DataFrame, blocks: DataFrame, transactions: DataFrame, members: DataFrame, claims: DataFrame, eras: tuple[Era, ...], total: bool = False) -> DataFrame:
+    """era and FIELDS, a row for each era and one for unknown, with 0 where nothing is; with total one more, whose era is null.
 
     placed as from eras_of_rings; blocks and transactions: (height), counted by their own heights. Orphan claims count as
-    unknown.
+    unknown. All that is counted is one table, which one aggregate rolls up.
     """
     spark = placed.sparkSession
-    names = spark.createDataFrame([(e.id,) for e in eras] + [("unknown",)], "era string")
-    by_height = lambda rows, name: rows.groupBy(F.coalesce(era_of("height", eras), F.lit("unknown")).alias("era")).agg(F.count("*").alias(name))
-    ringed = placed.join(per_ring, "key_image").groupBy("era").agg(F.sum("rows").alias("ring_members"), *_counts())
-    lost = orphans(members, claims).agg(F.count("*").alias("orphan_resolution_claims")).withColumn("era", F.lit("unknown"))
-    rows = names.join(by_height(blocks, "blocks_scanned"), "era", "left").join(by_height(transactions, "transactions"), "era", "left").join(ringed, "era", "left").join(lost, "era", "left")
-    return _derived(rows.fillna(0)).select("era", *FIELDS)
+    names = spark.createDataFrame([(e.id,) for e in eras] + [("unknown",)], "era string").withColumn("part", F.lit("name"))
+    of = lambda rows, part: rows.select(F.coalesce(era_of("height", eras), F.lit("unknown")).alias("era"), F.lit(part).alias("part"))
+    lost = orphans(members, claims).select(F.lit("unknown").alias("era"), F.lit("claim").alias("part"))
+    ringed = placed.join(per_ring, "key_image").select("era", F.lit("ring").alias("part"), "rows", "n", "category", "conflict")
+    rows = ringed
+    for more in (names, of(blocks, "block"), of(transactions, "transaction"), lost):
+        rows = rows.unionByName(more, allowMissingColumns=True)
+    counted = [F.count_if(F.col("part") == part).alias(name) for part, name in (("block", "blocks_scanned"), ("transaction", "transactions"), ("claim", "orphan_resolution_claims"))]
+    grouped = rows.rollup("era") if total else rows.groupBy("era")
+    return _derived(grouped.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("ring_members"), *counted, *_counts())).select("era", *FIELDS)
 
 
 def reconciliation(roll: DataFrame, totals: DataFrame) -> DataFrame:
-    """field, era_total, summary_total, matches: whether the eras add up to the summary, field by field."""
-    sums = roll.agg(*(F.sum(f).alias(f) for f in FIELDS))
+    """field, era_total, summary_total, matches: whether the eras add up to the summary, field by field. roll has its total."""
     long = lambda df, name: df.select(F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("long").alias(name)) for f in FIELDS))).alias("x")).select("x.*")
     known = [f for f in FIELDS if f in totals.columns]
     have = totals.select(*(F.col(f) if f in known else F.lit(None).cast("long").alias(f) for f in FIELDS))
-    return long(sums, "era_total").join(long(have, "summary_total"), "field").withColumn("matches", F.col("era_total").eqNullSafe(F.col("summary_total")))
+    return long(roll.where("era is null"), "era_total").join(long(have, "summary_total"), "field").withColumn("matches", F.col("era_total").eqNullSafe(F.col("summary_total")))
 
 
 def coverage(roll: DataFrame) -> DataFrame:

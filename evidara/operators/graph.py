@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evidara.operators.cascade import OUTPUT
 from evidara.operators.components import components
-from evidara.plans.lineage import cut
+from evidara.plans.lineage import cut, settings
 
 
 def recall(members: DataFrame, context: DataFrame, resolved: DataFrame, key) -> DataFrame:
@@ -118,20 +118,34 @@ def trace_of(events: DataFrame, dependencies: DataFrame, claims: DataFrame, key,
 
 
 def trace(dependencies: DataFrame, most: int = 100, keys: DataFrame | None = None) -> DataFrame:
-    """(key_image, ancestor, depth): all that a resolution rests on, at its least depth. Each round extends only the pairs
-    that the last one found, so that paths don't multiply."""
+    """(key_image, ancestor, depth): all that a resolution rests on, at its least depth, up to depth most, as one recursive query.
+    Pairs of one depth are put together at each level, so that paths don't multiply."""
+    spark = dependencies.sparkSession
     edges = cut(dependencies.select("key_image", F.col("source").alias("ancestor")).distinct(), "edges")
-    new = edges.join(keys, "key_image", "left_semi") if keys is not None else edges
-    new = cut(new.withColumn("depth", F.lit(1)), "trace")
-    found = new
-    step = edges.select(F.col("key_image").alias("ancestor"), F.col("ancestor").alias("next"))
-    for depth in range(2, most + 1):
-        more = new.join(step, "ancestor").select("key_image", F.col("next").alias("ancestor")).distinct()
-        new = cut(more.join(found, ["key_image", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)), "trace")
-        if new.isEmpty():
-            break
-        found = cut(found.unionByName(new), "trace")
-    return found
+    start = edges.join(keys, "key_image", "left_semi") if keys is not None else edges
+    with settings(spark, {"spark.sql.cteRecursionLevelLimit": str(most + 2), "spark.sql.cteRecursionRowLimit": "-1"}):
+        return cut(spark.sql(
+            """WITH RECURSIVE walk(key_image, ancestor, depth) AS (
+                SELECT key_image, ancestor, 1 FROM {start}
+                UNION ALL
+                SELECT DISTINCT w.key_image, e.ancestor, w.depth + 1 FROM walk w JOIN {edges} e ON e.key_image = w.ancestor WHERE w.depth < {most}
+            ) SELECT key_image, ancestor, min(depth) AS depth FROM walk GROUP BY key_image, ancestor""",
+            start=start, edges=edges, most=most,
+        ), "trace")
+
+
+def traces(dependencies: DataFrame, known: DataFrame, most: int = 100, depth: int = 100) -> DataFrame:
+    """Of every ring with dependencies: key_image, events (ancestors that are listed), deepest, missing, truncated, complete.
+
+    The first most ancestors by depth, then id, are listed; missing are those of them that known (key_image) doesn't hold;
+    truncated is whether there are more.
+    """
+    here = known.select(F.col("key_image").alias("ancestor"), F.lit(True).alias("here")).distinct()
+    place = F.row_number().over(Window.partitionBy("key_image").orderBy("depth", "ancestor"))
+    rows = trace(dependencies, depth).withColumn("place", place).join(here, "ancestor", "left")
+    listed = F.col("place") <= most
+    out = rows.groupBy("key_image").agg(F.count_if(listed).alias("events"), F.max(F.when(listed, F.col("depth"))).alias("deepest"), F.count_if(listed & F.col("here").isNull()).alias("missing"), (F.max("place") > most).alias("truncated"))
+    return out.withColumn("complete", (F.col("missing") == 0) & ~F.col("truncated"))
 
 
 def local_graph(explained: DataFrame, picks: DataFrame, limit: int = 24, sources: int = 3) -> tuple[DataFrame, DataFrame]:

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evidara.operators import audit, baselines, features
+from evidara.functions import variants
+from evidara.operators import audit, baselines, components, features, graph, ranges
+from evidara.operators import cascade as cas
 from evidara.plans.lineage import cut, shared_dir
 from evidara.plans.queries import CASCADE, SPLIT, WITH, _cascade, _parts, query
 from evidara.ringview import rings, table
-from evidara.sources import documents, sinks, sqlite
+from evidara.sources import documents, ingest, sinks, sqlite
 from evidara.streaming import follow, live, pool
 
 SAMPLE = CASCADE + """, o AS MATERIALIZED (SELECT category, amount, idx, min(key_image) AS key_image FROM (SELECT m.*, CASE WHEN r.key_image IS NULL THEN 'unresolved' ELSE 'resolved' END AS category FROM m LEFT JOIN res r USING (key_image)) GROUP BY ALL),
@@ -218,3 +220,62 @@ def sqlite_members(spark: SparkSession, sf: str) -> DataFrame:
     rows = sqlite.table(spark, path, "members", "l_orderkey long, l_linenumber int, l_returnflag string, l_quantity double, l_extendedprice double", 100_000)
     rows = rows.where("l_returnflag >= 'N' AND l_linenumber IN (1, 2, 3, 5) AND l_quantity < 40")
     return rows.groupBy(F.col("l_orderkey").alias("key_image"), F.col("l_returnflag").alias("flag")).agg(F.count("*").alias("members"), F.sum("l_linenumber").alias("positions"), F.max("l_extendedprice").alias("top"))
+
+
+@query("""SELECT o_orderpriority AS priority, count(*) AS n, round(quantile_cont(o_totalprice, 0.05), 3) AS p05, round(quantile_cont(o_totalprice, 0.5), 3) AS median, round(quantile_cont(o_totalprice, 0.999), 3) AS p999 FROM orders GROUP BY ALL""")
+def price_quantiles(spark: SparkSession, sf: str) -> DataFrame:
+    rows = ranges.quantiles(table(spark, sf, "orders"), "o_totalprice", {"p05": 0.05, "median": 0.5, "p999": 0.999}, ["o_orderpriority"])
+    return rows.select(F.col("o_orderpriority").alias("priority"), "n", *(F.round(c, 3).alias(c) for c in ("p05", "median", "p999")))
+
+
+@query("""SELECT o_orderkey AS height, count(*) AS intervals, min(l_partkey) AS first, CAST(sum(l_linenumber) AS BIGINT) AS lines FROM orders JOIN lineitem ON o_orderkey BETWEEN l_orderkey - l_linenumber AND l_orderkey + CAST(l_quantity AS BIGINT) % 7 GROUP BY ALL""")
+def interval_orders(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as heights, held by an interval for each order line."""
+    spans = table(spark, sf, "lineitem").select((F.col("l_orderkey") - F.col("l_linenumber")).alias("a"), (F.col("l_orderkey") + F.col("l_quantity").cast("long") % 7).alias("z"), "l_partkey", "l_linenumber")
+    met = ranges.interval_join(table(spark, sf, "orders").select(F.col("o_orderkey").alias("height")), spans, "height", "a", "z")
+    return met.groupBy("height").agg(F.count("*").alias("intervals"), F.min("l_partkey").alias("first"), F.sum("l_linenumber").alias("lines"))
+
+
+@query(CASCADE.replace("WITH m AS", "WITH RECURSIVE m AS", 1) + """, dep AS MATERIALIZED (SELECT DISTINCT e.key_image, e.source AS ancestor FROM elim e SEMI JOIN res ON e.key_image = res.key_image),
+walk AS (SELECT key_image, ancestor, 1 AS depth FROM dep UNION SELECT w.key_image, d.ancestor, w.depth + 1 FROM walk w JOIN dep d ON d.key_image = w.ancestor),
+p AS (SELECT *, row_number() OVER (PARTITION BY key_image ORDER BY depth, ancestor) AS place FROM (SELECT key_image, ancestor, min(depth) AS depth FROM walk GROUP BY ALL))
+SELECT key_image, count(*) FILTER (place <= 3) AS events, CAST(max(depth) FILTER (place <= 3) AS INTEGER) AS deepest, count(*) FILTER (place <= 3 AND ancestor % 10 = 0) AS missing, max(place) > 3 AS truncated, count(*) FILTER (place <= 3 AND ancestor % 10 = 0) = 0 AND max(place) <= 3 AS complete FROM p GROUP BY key_image""")
+def trace_flags(spark: SparkSession, sf: str) -> DataFrame:
+    """Lineages of all resolved rings, three events listed, where every tenth event is lost."""
+    r, c = _cascade(spark, sf)
+    return graph.traces(cas.dependencies(c), c.resolved.where("key_image % 10 <> 0"), 3)
+
+
+@query("""SELECT event_type, p.fullkey AS path, count(DISTINCT event_id) AS documents, count(*) AS leaves, count(*) FILTER (p.type IN ('UBIGINT', 'BIGINT', 'DOUBLE')) AS numeric, count(*) FILTER (p.type = 'VARCHAR') AS texts, count(*) FILTER (p.type = 'NULL') AS nulls,
+min(TRY_CAST(p.atom AS DOUBLE)) AS least, max(TRY_CAST(p.atom AS DOUBLE)) AS most FROM events, json_tree(props) p WHERE p.type NOT IN ('OBJECT', 'ARRAY') GROUP BY ALL""")
+def variant_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    events = table(spark, sf, "events")
+    found = variants.leaves(events, "event_id", "props").join(events.select("event_id", "event_type"), "event_id")
+    return variants.coverage(found, "event_id", ["event_type"])
+
+
+@query("""SELECT o_orderkey AS height, sha256('b' || o_orderkey) AS hash, CASE WHEN o_orderkey % 7 = 0 THEN 'hash' END AS reason, CAST(o_orderkey // 500 AS BIGINT) AS span FROM orders WHERE o_orderkey % 11 <> 3""")
+def ingest_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as blocks, taken in overlapping batches, one of them twice, into ranges of 500 heights; a first try has other hashes,
+    and blocks that a check refuses lie beside the table."""
+    text = F.col("height").cast("string")
+    blocks = table(spark, sf, "orders").where("o_orderkey % 11 <> 3").select(F.col("o_orderkey").alias("height"))
+    hash_ = F.when(F.col("height") % 7 != 0, F.sha2(F.concat(F.lit("b"), text), 256)).otherwise(F.concat(F.lit("bad "), F.sha2(F.concat(F.lit("b"), text), 256)))
+    blocks = cut(blocks.select("height", hash_.alias("hash"), F.lit(1_600_000_000).cast("long").alias("timestamp")), "blocks")
+    last = blocks.agg(F.max("height")).first()[0]
+    path, third = shared_dir(spark, "heights"), last // 3
+    first = blocks.where(F.col("height") <= 2 * third).withColumn("hash", F.sha2(F.concat(F.lit("other"), "hash"), 256))
+    ingest.overwrite_range(path, first, 0, 2 * third, span=500)
+    for start, stop in ((0, third + 10), (third - 10, last), (third - 10, last)):
+        ingest.overwrite_range(path, blocks.where(F.col("height").between(start, stop)), start, stop, span=500)
+    good, bad = (spark.read.parquet(p) for p in (path, f"{path}-quarantine"))
+    rows = good.select("height", "hash", F.lit(None).cast("string").alias("reason"), "span").unionByName(bad.select("height", F.substring("hash", 5, 64).alias("hash"), "reason", "span"))
+    return rows.withColumn("span", F.col("span").cast("long"))
+
+
+@query("""WITH RECURSIVE e AS MATERIALIZED (SELECT DISTINCT o_custkey AS a, (o_custkey * 7 + CAST(o_orderkey % 3 AS BIGINT)) % 1000003 AS b FROM orders), v AS MATERIALIZED (SELECT a, b FROM e UNION SELECT b, a FROM e), w(v, root) AS (SELECT a, a FROM v UNION SELECT v.b, w.root FROM w JOIN v ON v.a = w.v AND w.root < v.b)
+SELECT v, min(root) AS root FROM w GROUP BY v""")
+def customer_components(spark: SparkSession, sf: str) -> DataFrame:
+    """Components by large and small stars over the whole cluster, whatever the number of edges."""
+    edges = table(spark, sf, "orders").select(F.col("o_custkey").alias("a"), ((F.col("o_custkey") * 7 + F.col("o_orderkey") % 3) % 1_000_003).alias("b"))
+    return components.stars(edges)

@@ -71,12 +71,12 @@ ROLL = PER_RING + f""", rl AS MATERIALIZED (SELECT e.era, coalesce(blocks_scanne
 """
 
 
-def _roll(spark: SparkSession, sf: str) -> tuple:
+def _roll(spark: SparkSession, sf: str, total: bool = False) -> tuple:
     r, c, claims, told = stored(spark, sf)
     raw = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("key_image")).join(r.context.select("key_image", "tx_hash", F.lit(0).alias("input_index"), "height"), "key_image", "left")
     rows = cut(per_ring(r, c, claims, told), "per_ring")
     txs = r.context.select("tx_hash", "height").distinct()
-    roll = evidence.era_roll(evidence.eras_of_rings(raw, eras.MONTH_ERAS), rows, r.context.select("height").distinct(), txs, r.members, claims, eras.MONTH_ERAS)
+    roll = evidence.era_roll(evidence.eras_of_rings(raw, eras.MONTH_ERAS), rows, r.context.select("height").distinct(), txs, r.members, claims, eras.MONTH_ERAS, total)
     return roll, evidence.summary(rows, r.members, claims)
 
 
@@ -88,7 +88,7 @@ def era_counts(spark: SparkSession, sf: str) -> DataFrame:
 @query(ROLL + f""", ry AS (SELECT *, {MORE} FROM rl), tt AS (SELECT *, {MORE}, {LOST} AS orphan_resolution_claims FROM (SELECT {COUNTS} FROM pr))
 {" UNION ALL ".join(f"SELECT '{f}' AS field, CAST(sum({f}) AS BIGINT) AS era_total, {'NULL::BIGINT' if f in evidence.FIELDS[:3] else f'(SELECT {f} FROM tt)'} AS summary_total, sum({f}) IS NOT DISTINCT FROM {'NULL' if f in evidence.FIELDS[:3] else f'(SELECT {f} FROM tt)'} AS matches FROM ry" for f in evidence.FIELDS)}""")
 def era_reconciliation(spark: SparkSession, sf: str) -> DataFrame:
-    return evidence.reconciliation(*_roll(spark, sf))
+    return evidence.reconciliation(*_roll(spark, sf, True))
 
 
 @query(ROLL + """SELECT CAST(sum(total_rings) FILTER (era <> 'unknown') AS BIGINT) AS classified_rings, CAST(sum(total_rings) FILTER (era = 'unknown') AS BIGINT) AS unknown_rings, CAST(sum(blocks_scanned) FILTER (era <> 'unknown') AS BIGINT) AS classified_blocks, CAST(sum(blocks_scanned) FILTER (era = 'unknown') AS BIGINT) AS unknown_blocks,

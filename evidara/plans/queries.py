@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evidara.functions import analytics as an
-from evidara.operators import baselines, eras, features, graph, predict, summary
+from evidara.operators import baselines, eras, features, graph, predict, ranges, summary
 from evidara.operators import cascade as cas
 from evidara.plans.lineage import cut, shared_dir
 from evidara.ringview import rings, table
@@ -185,8 +185,8 @@ c AS (SELECT *, coalesce((aft - idx) / span, 0.0) AS nxt, coalesce((idx - bef) /
 d AS (SELECT *, CASE WHEN amount <> 0 THEN CAST(progress AS DOUBLE) ELSE exp(ll) END AS decoy FROM c),
 e AS MATERIALIZED (SELECT *, max(greatest(nxt, prv)) OVER k AS max_gap, row_number() OVER (PARTITION BY key_image ORDER BY decoy, idx, amount) - 1 AS decoy0, max(decoy) OVER k AS max_decoy, avg(decoy) OVER k AS mean_decoy, stddev_pop(decoy) OVER k AS std_decoy FROM d WINDOW k AS (PARTITION BY key_image)),
 feat AS MATERIALIZED (SELECT key_image, amount, idx, height, reuse, rank0 / n1 AS output_age_rank, (idx - lo) / span AS normalized_age, ln(1 + reuse) AS ring_reuse_count, (idx = hi)::DOUBLE AS is_newest_member, abs(rank0 / n1 - 0.75) AS age_matches_decoy_distribution, n::DOUBLE AS ring_size, nxt AS gap_to_next, prv AS gap_to_prev, (height - idx) / greatest(height, 1) AS distance_from_tx,
- reuse0 / n1 AS reuse_rank_in_ring, (reuse = min_reuse)::DOUBLE AS is_min_reuse, reuse / greatest(max_reuse, 1) AS reuse_count_raw, least(prv, nxt) / greatest(max_gap, 1e-9) AS gap_isolation, (greatest(prv, nxt) >= max_gap)::DOUBLE AS is_max_gap_member, ll AS gamma_log_likelihood, (secs <= 1800)::DOUBLE AS is_recent, -ll / 50 AS gamma_surprisal, progress AS triangular_likelihood, progress AS amount_progress,
- (amount <> 0)::DOUBLE AS is_legacy, decoy0 / n1 AS decoy_likelihood_rank, (decoy = max_decoy)::DOUBLE AS is_most_decoy_like, max_decoy - decoy AS decoy_likelihood_gap, CASE WHEN std_decoy > 1e-12 THEN (decoy - mean_decoy) / std_decoy ELSE 0.0 END AS decoy_likelihood_zscore FROM e)
+ reuse0 / n1 AS reuse_rank_in_ring, (reuse = min_reuse)::DOUBLE AS is_min_reuse, reuse / greatest(max_reuse, 1) AS reuse_count_raw, least(prv, nxt) / greatest(max_gap, 1e-9) AS gap_isolation, (greatest(prv, nxt) >= max_gap)::DOUBLE AS is_max_gap_member, ll AS gamma_decoy_log_likelihood, (secs <= 1800)::DOUBLE AS gamma_recent_window, -ll / 50 AS gamma_age_surprisal, progress AS legacy_triangular_likelihood, progress AS amount_bucket_progress,
+ (amount <> 0)::DOUBLE AS is_legacy_amount, decoy0 / n1 AS decoy_likelihood_rank, (decoy = max_decoy)::DOUBLE AS is_most_decoy_like, max_decoy - decoy AS decoy_likelihood_gap, CASE WHEN std_decoy > 1e-12 THEN (decoy - mean_decoy) / std_decoy ELSE 0.0 END AS decoy_likelihood_zscore FROM e)
 """
 
 
@@ -201,7 +201,7 @@ def _feature_query(name: str, names: tuple[str, ...]) -> None:
 
 for _name, _names in {
     "features_age": ("output_age_rank", "normalized_age", "is_newest_member", "age_matches_decoy_distribution", "ring_size", "distance_from_tx"), "features_gaps": ("gap_to_next", "gap_to_prev", "gap_isolation", "is_max_gap_member"), "features_reuse": ("ring_reuse_count", "reuse_rank_in_ring", "is_min_reuse", "reuse_count_raw"),
-    "features_gamma": ("gamma_log_likelihood", "is_recent", "gamma_surprisal"), "features_decoy": ("triangular_likelihood", "amount_progress", "is_legacy", "decoy_likelihood_rank", "is_most_decoy_like", "decoy_likelihood_gap"),
+    "features_gamma": ("gamma_decoy_log_likelihood", "gamma_recent_window", "gamma_age_surprisal"), "features_decoy": ("legacy_triangular_likelihood", "amount_bucket_progress", "is_legacy_amount", "decoy_likelihood_rank", "is_most_decoy_like", "decoy_likelihood_gap", "decoy_likelihood_zscore"),
 }.items():
     _feature_query(_name, _names)
 
@@ -216,7 +216,7 @@ def _unpivot(names: tuple[str, ...]) -> str:
     return " UNION ALL ".join(f"SELECT key_image, '{c}' AS feature, CAST({c} AS DOUBLE) AS value FROM feat" for c in names)
 
 
-PROFILED = ("output_age_rank", "normalized_age", "ring_reuse_count", "ring_size", "gap_to_next", "reuse_rank_in_ring", "reuse_count_raw", "gamma_surprisal", "amount_progress", "decoy_likelihood_gap")
+PROFILED = ("output_age_rank", "normalized_age", "ring_reuse_count", "ring_size", "gap_to_next", "reuse_rank_in_ring", "reuse_count_raw", "gamma_age_surprisal", "amount_bucket_progress", "decoy_likelihood_gap")
 
 
 @query(FEATURE_SQL + f""", p AS (SELECT feature, key_image, count(*) AS c, min(value) AS lo, max(value) AS hi, FROM ({_unpivot(PROFILED)}) GROUP BY feature, key_image)
@@ -464,7 +464,8 @@ def pool_state_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(POOL + "SELECT count(delay) AS eligible, round(quantile_cont(CAST(delay AS DOUBLE), 0.5), 3) AS median, round(quantile_cont(CAST(delay AS DOUBLE), 0.9), 3) AS p90 FROM states")
 def delay_quantiles(spark: SparkSession, sf: str) -> DataFrame:
-    return _pool(spark, sf).agg(F.count("delay").alias("eligible"), F.round(F.percentile("delay", 0.5), 3).alias("median"), F.round(F.percentile("delay", 0.9), 3).alias("p90"))
+    found = ranges.quantiles(_pool(spark, sf), "delay", {"median": 0.5, "p90": 0.9})
+    return found.select(F.col("n").alias("eligible"), F.round("median", 3).alias("median"), F.round("p90", 3).alias("p90"))
 
 
 @query(POOL + "SELECT b AS bin, count(delay) AS rows FROM (SELECT CAST(range AS INTEGER) AS b FROM range(5)) x LEFT JOIN (SELECT delay, CAST((delay >= 60)::INT + (delay >= 300)::INT + (delay >= 900)::INT + (delay >= 3600)::INT AS INTEGER) AS b FROM states WHERE delay IS NOT NULL) USING (b) GROUP BY b")

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from evidara.functions.analytics import folded
 
+#: Front matter, fences, tasks, links (images are none) and task codes (fixed values).
 FRONT = r"(?s)\A---\s*\n(.*?)\n---\s*\n"
 FENCE = r"(?ms)^(`{3,}|~{3,}).*?^\1\s*$"
 TASK = r"(?m)^\s*[-*]\s+\[([ xX])\]\s+(.+)$"
-LINK = r"\[([^\]]*)\]\(([^)\s]+)\)"
-CODE = r"^([A-Z]{1,4}[0-9]{1,4})\b"
+LINK = r"(?<!!)\[([^\]]+)\]\(([^\s)]+)\)"
+CODE = r"^([A-Z]{1,4}\d+)\s*[—:-]"
 KINDS = ("first_recorded", "closed", "reopened", "removed", "reintroduced")
 
 

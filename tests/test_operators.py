@@ -11,13 +11,29 @@ from evidara.sources import ingest, sinks
 from evidara.streaming import live, pool
 
 
-def test_manifest_must_be_contiguous():
+def test_manifest_must_be_contiguous(spark, tmp_path):
     good = '{"schema_version":1,"network":"mainnet","classification_basis":"mainnet_height_inferred","eras":[{"id":"a","start_height":0,"end_height":9,"versions":[1]},{"id":"b","start_height":10,"end_height":null,"versions":[2,3]}]}'
-    assert [e.id for e in eras.parse_manifest(good)] == ["a", "b"]
-    for bad in (good.replace("10,", "11,"), good.replace("null", "20"), good.replace('"start_height":0', '"start_height":false'), good.replace("mainnet\"", "testnet\""), good.replace("[2,3]", "[2,2]"), good.replace("[1]", "[]"), good.replace('"id":"b"', '"id":"unknown"')):
-        with pytest.raises(ValueError):
-            eras.parse_manifest(bad)
-    assert eras.fingerprint(eras.parse_manifest(good)) == eras.fingerprint(eras.parse_manifest(good.replace('"id":"a"', '"label":"x","id":"a"')))
+    bad = {
+        "start": good.replace("10,", "11,"), "end": good.replace("null", "20"), "start ": good.replace('"start_height":0', '"start_height":false'), "versions": good.replace("[2,3]", "[2,2]"), "versions ": good.replace("[1]", "[]"), "versions  ": good.replace("[1]", "[1.0]"),
+        "versions   ": good.replace("[1]", "[256]"), "id": good.replace('"id":"b"', '"id":"unknown"'), "id ": good.replace('"id":"b"', '"id":5'), "repeated": good.replace('"id":"b"', '"id":"a"'), "end ": good.replace('"end_height":9', '"end_height":"9"'),
+    }
+    heads = {"network": good.replace('mainnet"', 'testnet"'), "schema": good.replace(":1,", ":true,", 1), "basis": good.replace("inferred", "told"), "eras": good[: good.index("[")] + "[]}", "json": "{", "eras ": good[: good.index("[")] + '{"id":"a"}}'}
+    rows, whole = eras.checked(spark.createDataFrame([*bad.items(), *heads.items(), ("good", good)], "source string, json string"))
+    found = {}
+    for r in rows.collect():
+        found[r.source] = found.get(r.source, set()) | set(r.faults)
+    faults = {r.source: r.faults for r in whole.collect()}
+    assert faults.pop("good") == [] and found["good"] == set()
+    assert all(k.strip() in found[k] and faults[k] == ["eras"] for k in bad)
+    assert all(k.strip() in faults[k] for k in heads)
+    (tmp_path / "good.json").write_text(good)
+    (tmp_path / "label.json").write_text(good.replace('"id":"a"', '"label":"x", "id":"a"'))
+    (tmp_path / "bad.json").write_text(bad["start"])
+    (tmp_path / "raw.json").write_bytes(b"\xff")
+    load = lambda name: eras.load_manifest(spark, f"{tmp_path}/{name}.json")
+    one, other = load("good"), load("label")
+    assert one["eras"] == (eras.Era("a", 0, 9, (1,)), eras.Era("b", 10, None, (2, 3))) and one["mapping_sha256"] == other["mapping_sha256"] and one["manifest_sha256"] != other["manifest_sha256"]
+    assert [load(n)["unavailable_reason"] for n in ("bad", "raw", "none")] == ["manifest_invalid", "manifest_invalid", "manifest_unreadable"]
 
 
 def test_era_boundaries(spark):
@@ -36,10 +52,10 @@ def test_features_of_legacy_ring(spark):
     members = spark.createDataFrame([("k", big, 100), ("k", big, 200), ("k", big, 400)], "key_image string, amount long, idx long")
     context = spark.createDataFrame([("k", "t", 5)], "key_image string, tx_hash string, height long")
     rows = features.features(members, context).orderBy("idx").collect()
-    assert [r.reuse_rank_in_ring for r in rows] == [0, 0.5, 1] and {r.is_recent for r in rows} == {1.0}
-    assert all(math.isclose(r.gamma_log_likelihood, -7.495541943884256) for r in rows) and [r.amount_progress for r in rows] == [r.triangular_likelihood for r in rows]
+    assert [r.reuse_rank_in_ring for r in rows] == [0, 0.5, 1] and {r.gamma_recent_window for r in rows} == {1.0}
+    assert all(math.isclose(r.gamma_decoy_log_likelihood, -7.495541943884256) for r in rows) and [r.amount_bucket_progress for r in rows] == [r.legacy_triangular_likelihood for r in rows]
     pairs = {tuple(r) for r in features.duplicate_columns(features.features(members, context)).collect()}
-    assert ("triangular_likelihood", "amount_progress") in pairs
+    assert ("legacy_triangular_likelihood", "amount_bucket_progress") in pairs
 
 
 def test_profile_counts_missing_and_nonfinite(spark):
