@@ -1,8 +1,8 @@
 """The elimination cascade: a bulk-synchronous fixpoint over rings and outputs, with provenance and taint.
 
 Each pass touches only rings that the newest resolutions hit. The membership table is scanned per pass, pruned and
-without a shuffle as long as the frontier is small enough to broadcast; sizes are counted once; removed members are
-counted for touched rings only. State is written to the shared folder, so that plans stay short.
+without a shuffle as long as the frontier is small enough to broadcast; sizes are counted once; what is removed is
+counted, and its exclusive or kept, for touched rings only. Amounts and indexes are whole numbers. State is written to the shared folder, so that plans stay short.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ ONE_TASK = 2_000_000
 #: Resolved outputs of one pass that may be broadcast.
 FRONTIER = 1_000_000
 OUTPUT = ["amount", "idx"]
+_STATE = ["n", "all_amounts", "all_idx", "removed", "lost_amounts", "lost_idx"]
 
 
 @dataclass(frozen=True)
@@ -57,7 +58,7 @@ def cascade(members: DataFrame, stored: DataFrame | None = None, max_passes: int
     members = cut(members.select("key_image", *OUTPUT), "members")
     if stored is None and members.count() <= (ONE_TASK if one_task is None else one_task):
         return _one_task(members, max_passes)
-    sizes = cut(members.groupBy("key_image").agg(F.count("*").alias("n")), "sizes")
+    sizes = cut(members.groupBy("key_image").agg(F.count("*").alias("n"), F.bit_xor("amount").alias("all_amounts"), F.bit_xor("idx").alias("all_idx")), "sizes")
     single = sizes.where("n = 1").select("key_image")
     first = members.join(single, "key_image").select("key_image", *OUTPUT, F.lit(0).alias("pass"), F.lit("ring_size_one").alias("method"), F.lit(False).alias("soft"))
     if stored is not None:
@@ -66,37 +67,36 @@ def cascade(members: DataFrame, stored: DataFrame | None = None, max_passes: int
     frontier = cut(first, "frontier")
     resolved: list[DataFrame] = [frontier]
     eliminated: list[DataFrame] = []
-    # What each open ring has lost so far; each pass adds its own losses and drops what it resolves, so that no pass reads
-    # the eliminations of all earlier ones.
-    state = members.where("false").select("key_image", F.lit(0).cast("long").alias("removed"), F.lit(False).alias("soft"))
-    done = cut(frontier.select("key_image").distinct(), "done")
+    # Of each touched ring: how many members it has lost, and the exclusive or of their amounts and indexes, which with that
+    # of all members names the last one that is left. So no pass reads earlier eliminations, and writes two tables.
+    state = frontier.select("key_image").distinct().select("key_image", *(F.lit(None).cast("long").alias(c) for c in _STATE), F.lit(False).alias("soft"), F.lit(True).alias("closed"))
     passes, size = 0, frontier.count()
     for number in range(1, max_passes + 1):
         if not size:
             break
         sources = frontier.groupBy(*OUTPUT).agg(F.min(F.struct("key_image", "soft")).alias("s")).select(*OUTPUT, F.col("s.key_image").alias("source"), F.col("s.soft").alias("soft"))
-        hits = members.join(F.broadcast(sources) if size <= FRONTIER else sources, OUTPUT).join(done, "key_image", "left_anti")
+        hits = members.join(F.broadcast(sources) if size <= FRONTIER else sources, OUTPUT).join(state.where("closed").select("key_image"), "key_image", "left_anti")
         eliminated.append(cut(hits.select("key_image", *OUTPUT, F.lit(number - 1).alias("pass"), "source", "soft"), "hits"))
-        delta = eliminated[-1].groupBy("key_image").agg(F.count("*").alias("removed"), F.bool_or("soft").alias("soft"))
-        touched = delta.select("key_image", F.lit(True).alias("touched"))
-        state = cut(state.unionByName(delta).groupBy("key_image").agg(F.sum("removed").alias("removed"), F.bool_or("soft").alias("soft")), "state")
-        short = cut(sizes.join(state.join(touched, "key_image"), "key_image").where("n - removed <= 1").select("key_image", F.col("soft").alias("s")), "short")
-        # The last member of each touched ring; a ring that lost all stays as a row without one, as it makes a pass.
-        lost = reduce(DataFrame.unionByName, (e.select("key_image", *OUTPUT).join(short, "key_image", "left_semi") for e in eliminated))
-        last = members.join(short, "key_image").join(lost, ["key_image", *OUTPUT], "left_anti").select("key_image", *OUTPUT)
-        soft = F.col("s")
-        step = short.join(last, "key_image", "left").select("key_image", *OUTPUT, F.when(soft, -2).otherwise(number).alias("pass"), F.when(soft, "soft_cascade").otherwise("cascade").alias("method"), soft.alias("soft"))
-        step = cut(step, "frontier")
-        queued, size = step.agg(F.count("*"), F.count("idx")).first()
+        delta = eliminated[-1].groupBy("key_image").agg(F.count("*").alias("removed"), F.bit_xor("amount").alias("lost_amounts"), F.bit_xor("idx").alias("lost_idx"), F.bool_or("soft").alias("soft")).join(sizes, "key_image")
+        both = state.select("key_image", *_STATE, "soft", "closed", F.lit(False).alias("touched")).unionByName(delta.withColumns({"closed": F.lit(False), "touched": F.lit(True)}))
+        both = both.groupBy("key_image").agg(
+            F.sum("removed").alias("removed"), F.bit_xor("lost_amounts").alias("lost_amounts"), F.bit_xor("lost_idx").alias("lost_idx"), *(F.max(c).alias(c) for c in ("n", "all_amounts", "all_idx")),
+            *(F.bool_or(c).alias(c) for c in ("soft", "closed", "touched")),
+        )
+        left = F.col("n") - F.col("removed")
+        ends = F.col("touched") & ~F.col("closed") & (left <= 1)
+        last = lambda every, lost: F.when(ends & (left == 1), F.col(every).bitwiseXOR(F.col(lost)))
+        state = cut(both.select("key_image", *_STATE, "soft", (F.col("closed") | ends).alias("closed"), ends.alias("ends"), last("all_amounts", "lost_amounts").alias("amount"), last("all_idx", "lost_idx").alias("idx")), "state")
+        # A ring that lost all ends without a last member; it makes a pass.
+        queued, size = state.where("ends").agg(F.count("*"), F.count("idx")).first()
         if not queued:
             break
         passes = number
-        frontier = step.where("idx is not null")
-        state = state.join(step.select("key_image"), "key_image", "left_anti")
-        done = cut(done.union(step.select("key_image")), "done")
+        soft = F.col("soft")
+        frontier = state.where("ends AND idx IS NOT NULL").select("key_image", *OUTPUT, F.when(soft, -2).otherwise(number).alias("pass"), F.when(soft, "soft_cascade").otherwise("cascade").alias("method"), "soft")
         resolved.append(frontier)
     empty = hits_schema(members)
-    return Cascade(reduce(DataFrame.unionByName, resolved), reduce(DataFrame.unionByName, eliminated) if eliminated else empty, sizes, passes)
+    return Cascade(reduce(DataFrame.unionByName, resolved), reduce(DataFrame.unionByName, eliminated) if eliminated else empty, sizes.select("key_image", "n"), passes)
 
 
 def passes_of(keys: np.ndarray, outputs: np.ndarray, n_keys: int, n_outputs: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
