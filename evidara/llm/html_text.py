@@ -317,7 +317,12 @@ def _grammar(n: int, seed: int = 11) -> list[tuple[str, list[int]]]:
             wrap = r.choice(("<article>", "<article>", "<article>", "<main>", f"<div{mark('content', 'post', 'entry', 'article', 'story', 'main', 'text')}>", "<div>"))
             add(wrap)
             if r.random() < 0.85:
+                inner = wrap == "<article>" and r.random() < 0.3  # an article's own header
+                add("<header>" if inner else "")
                 add(f"<h1>{words(2, 12)}</h1>", 1)
+                if inner and r.random() < 0.4:
+                    add(f"<p>{say(1, 2)}</p>", 1)
+                add("</header>" if inner else "")
             for k in range(r.randint(1, 9)):
                 kind = r.random()
                 if kind < 0.7:

@@ -97,3 +97,12 @@ def common_crc(k):
     import zlib
 
     return zlib.crc32(str(k).encode())
+
+
+def test_an_articles_own_header_belongs_to_it():
+    from evidara.llm import html_text
+
+    model = html_text.train()
+    body = "<p>The river fell by two metres in May, said the council. Farmers had hoped for rain.</p><p>More water will be let out next week.</p>"
+    page = f"<html><body><header><a href=/>Site name</a></header><nav><a href=/a>News</a> <a href=/b>Sport</a></nav><article><header><h1>The big title</h1></header>{body}</article><footer>&copy; 2024 Someone</footer></body></html>"
+    assert html_text.main_text([page], model) == ["The big title\n\nThe river fell by two metres in May, said the council. Farmers had hoped for rain.\n\nMore water will be let out next week."]
