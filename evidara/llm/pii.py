@@ -37,14 +37,19 @@ DIGIT = re.compile(r"[0-9]")
 
 #: Generators: (kind, pattern, texts each of which must be there for a match; a digit must be for the pattern None).
 GENERATORS = (
-    ("email", re.compile(r"(?<![\w.+-])[\w.+-]++(?:\s*+[\[({]\s*+at\s*+[\])}]\s*+|\s++at\s++)[\w-]++(?:(?:\s*+[\[({]\s*+dot\s*+[\])}]\s*+|\s++dot\s++|\.)[\w-]{2,}+){1,4}", re.I), ("at",)),
+    ("email", re.compile(r"(?<![\w.+-])[\w.+-]++(?:(?:\s*+[\[({]\s*+dot\s*+[\])}]\s*+|\s++dot\s++)[\w+-]++){0,2}(?:\s*+[\[({]\s*+at\s*+[\])}]\s*+|\s++at\s++)[\w-]++(?:(?:\s*+[\[({]\s*+dot\s*+[\])}]\s*+|\s++dot\s++|\.)[\w-]{2,}+){1,4}", re.I), ("at",)),
     ("phone", re.compile(r"(?<![\w.,+-])(?:\([0-9]{2,5}\)|[0-9]{2,5})[ ./-]?[0-9]{2,5}[ ./-][0-9]{2,6}(?:[ ./-][0-9]{2,6}){0,3}(?![\w-])"), None),
+    ("phone", re.compile(r"(?<![\w.,+-])0[0-9]{2,4}[ ./-][0-9]{5,8}(?![\w-])"), None),
     ("identity", re.compile(r"(?<![\w-])[0-9]{3}[ -][0-9]{2}[ -][0-9]{4}(?![\w-])"), None),
     ("account", re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"), None),
     ("ip", re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){2,7}(?::?[0-9A-Fa-f]{1,4})(?![\w:])"), None),
+    ("ip", re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){1,7}:(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?(?![\w:])"), None),
     ("secret", re.compile(r"(?<![\w/+=-])[A-Za-z0-9_/+-]{16,}+={0,2}(?![\w/+=-])"), None),
     ("secret", re.compile(r"(?<=[=:\"'])[^\s\"'=:]{8,}+(?=[\"'\s]|$)"), None),
+    ("secret", re.compile(r"(?<=[=:] )[^\s\"'=:,;]{8,}+(?=[\"'\s,;]|$)"), None),
 )
+#: Endings of addresses that are spelled out (fixed values).
+ENDINGS = ("com", "org", "net", "edu", "gov", "info", "io", "de", "fr", "es", "it", "uk", "eu", "ch", "at", "nl")
 #: Context words by group (fixed values).
 CUES = (
     ("tel", "phone", "call", "mobile", "fax", "cell", "whatsapp", "contact"), ("ssn", "social", "security", "identity", "passport"), ("iban", "account", "bank", "konto", "cuenta", "compte"),
@@ -134,6 +139,7 @@ def _numbers(text: str, span: Span) -> list[float]:
         *(float(kind == k) for k in KINDS), n, len(digits), len(groups), max(groups, default=0), min(groups, default=0), groups[-1] if groups else 0, float(luhn(digits)) if 8 <= len(digits) <= 19 else 0.5,
         body.count(" "), body.count("-"), body.count("."), body.count("/"), body.count(":"), float("(" in body), float("at" in body.lower()), entropy, upper / n, lower / n, changes / n, date, mod97,
         float(body.startswith("AKIA")), float(all(c in "0123456789abcdefABCDEF" for c in body)), float(bool(re.match(r"\s*[=:]|[\"']", before[-1:] or " "))), float(after[:1].isalnum()),
+        float(body.lower().endswith(ENDINGS)), float(body.lstrip("(")[:1] == "0"), body.count("::"), float(bool(re.search(r"[=:][ \"']?$", before))),
         *(float(any(re.search(rf"(?<![a-z]){re.escape(w)}", before) if w[0].isalpha() else w in before[-3:] for w in own)) for own in CUES),
     ]
 
@@ -160,14 +166,16 @@ def _examples(n: int, seed: int = 7) -> list[tuple[str, Span, int]]:
     kinds: list[tuple[str, int, object]] = [
         ("email", 1, lambda: f"{word()}{r.choice(('.', ''))}{word()} {r.choice(('[at]', '(at)', 'at'))} {word()} {r.choice(('[dot]', '(dot)', 'dot'))} {r.choice(('com', 'org', 'net', 'de'))}"),
         ("email", 1, lambda: f"{word()}{r.choice(('.', ''))}{word()} {r.choice(('[at]', '(at)', '{at}'))} {word()}.{r.choice(('com', 'org', 'net', 'de', 'fr', 'es', 'io'))}"),
-        ("email", 0, lambda: f"{word()} at {word()}.{word()}"), ("email", 0, lambda: f"{word()} at {word()} dot {word()}"),
+        ("email", 1, lambda: f"{word()} dot {word()} at {word()} dot {r.choice(ENDINGS)}"), ("email", 0, lambda: f"{word()} at {word()}.{word()}x"), ("email", 0, lambda: f"{word()} at {word()} dot {word()}x"),
+        ("phone", 1, lambda: f"0{digits(r.randint(2, 4))}{r.choice(' -/')}{digits(r.randint(5, 8))}"), ("phone", 0, lambda: f"0{digits(r.randint(2, 4))}.{digits(r.randint(5, 8))}"),
+        ("ip", 1, lambda: f"{r.choice(('fe80', 'fd' + letters(2, '0123456789abcdef'), '2001:db8', '2a0' + digits(1)))}::{':'.join(letters(r.randint(1, 4), '0123456789abcdef') for _ in range(r.randint(1, 4)))}"), ("ip", 0, lambda: f"{letters(r.randint(1, 3), 'abcdef')}::{letters(r.randint(1, 4), 'abcdef')}"),
         ("phone", 1, lambda: f"({digits(3)}) {digits(3)}-{digits(4)}"), ("phone", 1, lambda: f"0{digits(r.randint(2, 3))}{r.choice(' -/')}{digits(r.randint(3, 4))}{r.choice(' -')}{digits(r.randint(3, 4))}"), ("phone", 1, lambda: f"{r.randint(200, 999)}-{digits(3)}-{digits(4)}"),
         ("phone", 0, lambda: f"{r.randint(1900, 2030)}-{r.randint(1, 12):02d}-{r.randint(1, 31):02d}"), ("phone", 0, lambda: f"{r.randint(1, 31):02d}.{r.randint(1, 12):02d}.{r.randint(1900, 2030)}"), ("phone", 0, lambda: f"{digits(2)} {digits(3)} {digits(3)}"), ("phone", 0, lambda: f"{digits(r.randint(2, 5))}-{digits(r.randint(2, 5))}"), ("phone", 0, lambda: f"978-{digits(1)}{digits(1)}-{digits(5)}-{digits(2)}"), ("phone", 0, lambda: " ".join(digits(r.randint(2, 4)) for _ in range(r.randint(3, 5)))),
         ("identity", 1, lambda: f"{digits(3)}-{digits(2)}-{digits(4)}"), ("identity", 0, lambda: f"{digits(3)} {digits(2)} {digits(4)}"),
         ("account", 1, lambda: iban(True)), ("account", 0, lambda: iban(False)), ("account", 0, lambda: letters(2, "ABCDEFGHIJKLMNOPQRSTUVWXYZ") + digits(2) + letters(8, "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")),
         ("ip", 1, lambda: ":".join(letters(r.randint(2, 4), "0123456789abcdef") for _ in range(8))), ("ip", 0, lambda: f"{r.randint(0, 23):02d}:{r.randint(0, 59):02d}:{r.randint(0, 59):02d}"), ("ip", 0, lambda: f"{digits(1)}:{digits(2)}:{digits(2)}:{digits(2)}"),
         ("secret", 1, lambda: "AKIA" + letters(16, "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")), ("secret", 1, lambda: "AKIA" + letters(16, "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")), ("secret", 1, lambda: letters(r.randint(16, 44), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")), ("secret", 1, lambda: letters(r.randint(16, 40), "0123456789abcdef")), ("secret", 1, lambda: letters(r.randint(8, 15), "abcdefghijklmnopqrstuvwxyz0123456789")), ("secret", 1, lambda: letters(r.randint(45, 400), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")),
-        ("secret", 0, lambda: "-".join(word() for _ in range(r.randint(3, 6))) + f"-{digits(4)}"), ("secret", 0, lambda: letters(40, "0123456789abcdef")), ("secret", 0, lambda: word() + "_" + word() + "_" + word() + digits(2)), ("secret", 0, lambda: f"{word()}/{word()}/{word()}/{digits(4)}"),
+        ("secret", 0, lambda: "-".join(word() for _ in range(r.randint(3, 6))) + f"-{digits(4)}"), ("secret", 0, lambda: letters(40, "0123456789abcdef")), ("secret", 0, lambda: word() + "_" + word() + "_" + word() + digits(2)), ("secret", 0, lambda: f"{digits(1)}.{digits(1)}.{digits(1)}-{word()}{digits(2)}"), ("secret", 0, lambda: letters(r.randint(2, 4)) + digits(r.randint(6, 9))), ("secret", 0, lambda: f"{word()}/{word()}/{word()}/{digits(4)}"),
     ]
     cues = {"phone": CUES[0], "identity": CUES[1], "account": CUES[2], "secret": CUES[3], "ip": CUES[4], "email": CUES[5]}
     out = []
@@ -179,7 +187,7 @@ def _examples(n: int, seed: int = 7) -> list[tuple[str, Span, int]]:
         if kind == "secret" and label and not body.startswith("AKIA"):
             lead = f"{word()} {r.choice(('api_', '', 'my'))}{cue}{r.choice(('=', ': ', '=' + chr(34)))}"
         elif kind == "secret" and not label:
-            lead = f"{word()} {cue if near else word()} "
+            lead = f"{word()} {cue if near else word()}{r.choice((' ', ' ', ': '))}"
         else:
             lead = f"{word()} {word()} {cue + ' ' if near else ''}"
         text = lead + body + r.choice((" ", ". ", ", ", '" ')) + word()
