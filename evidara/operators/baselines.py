@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from fractions import Fraction
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidara.operators.features import reuse
+from evidara.plans.lineage import cut
 
 BASELINES = ("uniform", "newest", "oldest", "minimum_reuse")
 #: Why a claim is left out, in this order (fixed values); the first that holds counts.
@@ -100,18 +102,23 @@ def sample_frame(details: DataFrame, claims: DataFrame) -> DataFrame:
     return rows.select("key_image", "n", "rows", branch.alias("branch"), F.when(claimed, F.col("n")).otherwise(F.col("free")).alias("candidates"), reason.alias("reason"), F.when(reason.isNull(), F.concat_ws("|", status, branch, size_bucket("n"))).alias("stratum"))
 
 
-def ranked(rows: DataFrame, order: list[str], buckets: int = 64) -> DataFrame:
+def ranked(rows: DataFrame, order: list[str], rows_per_range: int = 1_000_000, sums: str | None = None) -> DataFrame:
     """rows with a global 0-based rank and their total, without gathering them in one task: rows are dealt by range of the
-    first order column, ranked within their range, and shifted by the counts of lower ranges (a few rows, broadcast)."""
-    first = order[0]
-    cuts = [c for c in rows.select(F.percentile_approx(first, [i / buckets for i in range(1, buckets)], 1000)).first()[0] or []]
-    part = sum((F.when(F.col(first) > c, 1).otherwise(0) for c in sorted(set(cuts))), F.lit(0))
-    rows = rows.withColumn("part", part)
-    counts = rows.groupBy("part").agg(F.count("*").alias("m"))
-    below = counts.alias("a").join(counts.alias("b"), F.col("b.part") < F.col("a.part"), "left").groupBy("a.part").agg(F.coalesce(F.sum("b.m"), F.lit(0)).alias("shift"))
-    total = counts.agg(F.sum("m").alias("total"))
-    own = F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1
-    return rows.join(F.broadcast(below), "part").join(F.broadcast(total)).withColumn("rank0", own + F.col("shift")).drop("part", "shift")
+    whole order, so that one hot value of its first column doesn't fill a range, numbered within their range, and shifted by
+    the counts of lower ranges (a row a range, broadcast). With sums also upto, the running sum of that column."""
+    n = rows.count()
+    ranges = max(1, min(10_000, -(-n // rows_per_range)))
+    dealt = rows.repartitionByRange(ranges, *order) if ranges > 1 else rows.coalesce(1)
+    dealt = cut(dealt.withColumn("part", F.spark_partition_id()), "ranges")
+    value = F.col(sums) if sums else F.lit(0)
+    counts = dealt.groupBy("part").agg(F.count("*").alias("m"), F.sum(value).alias("s"))
+    below = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    shift = counts.select("part", F.coalesce(F.sum("m").over(below), F.lit(0)).alias("shift"), F.coalesce(F.sum("s").over(below), F.lit(0)).alias("lower"))
+    own = Window.partitionBy("part").orderBy(*order)
+    found = dealt.join(F.broadcast(shift), "part").withColumn("rank0", F.row_number().over(own) - 1 + F.col("shift")).withColumn("total", F.lit(n).cast("long"))
+    if sums:
+        found = found.withColumn("upto", F.col("lower") + F.sum(sums).over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    return found.drop("part", "shift", "lower")
 
 
 def quartiles(rows: DataFrame, order: list[str]) -> DataFrame:
@@ -157,17 +164,31 @@ def bottom_k(rows: DataFrame, stratum: str, key: str, k: int = 500, seed: int =
     return rows.withColumn("priority", priority).withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def round_robin(sample: DataFrame, rings: int = 2000, candidates: int = 20_000, stratum: str = "stratum", size: str = "candidates") -> list:
-    """The sampled rows that fit both budgets, taken in turns over the strata; what doesn't fit is passed over. The scan is
-    sequential, over at most k rows of each stratum, in the driver."""
-    out, used = [], 0
-    for row in sample.orderBy("rank", stratum).toLocalIterator():
-        if len(out) == rings:
+def within_budgets(sample: DataFrame, rings: int = 2000, candidates: int = 20_000, stratum: str = "stratum", size: str = "candidates", key: str = "key_image") -> DataFrame:
+    """The sampled rows that fit both budgets, taken in turns over the strata; what doesn't fit is passed over, and smaller ones
+    that come later may still fit.
+
+    Instead of row by row it goes from one misfit to the next: up to the first row whose running sum is over what is left all
+    are taken; after it only rows that are small enough for the rest come into question, and the next round runs over those
+    alone. What is left shrinks below the misfit's size, so there are no more rounds than sizes. Sizes are whole numbers of
+    0 or more; a null one never fits.
+    """
+    order = ["rank", stratum, key]
+    rest = cut(sample.where(F.col(size).between(0, candidates)), "rest")
+    taken: list[DataFrame] = [sample.where("false")]
+    while rings > 0:
+        placed = cut(ranked(rest, order, sums=size), "placed")
+        misfit = placed.where(F.col("upto") > candidates).agg(F.min("rank0")).first()[0]
+        fits = placed.where(F.col("rank0") < (rings if misfit is None else min(rings, misfit)))
+        taken.append(fits.select(sample.columns))
+        n, used = fits.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+        rings, candidates = rings - n, candidates - used
+        if misfit is None or rings <= 0:
+            break
+        rest = placed.where((F.col("rank0") > misfit) & (F.col(size) <= candidates)).select(sample.columns)
+        if rest.isEmpty():
             break
-        if used + row[size] <= candidates:
-            out.append(row)
-            used += row[size]
-    return out
+    return reduce(DataFrame.unionByName, taken)
 
 
 def contingency(left: DataFrame, right: DataFrame) -> DataFrame:

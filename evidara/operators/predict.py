@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from evidara.operators.cascade import latest
 from evidara.operators.features import FEATURES
+from evidara.plans.lineage import cut
 
 
 def labelled(rows: DataFrame, resolved: DataFrame) -> DataFrame:
@@ -57,7 +58,7 @@ def soft_cascade(members: DataFrame, score, cascade, confidence: float = 0.95, r
         gone = result.eliminated.select("key_image", "amount", "idx")
         live = members.join(result.resolved.select("key_image"), "key_image", "left_anti").join(gone, ["key_image", "amount", "idx"], "left_anti")
         sure = argmax(score(live)).where(F.col("score") >= confidence)
-        new = sure.select("key_image", F.col("amount").alias("real_amount"), F.col("idx").alias("real_output_index"), F.lit(-1).alias("resolved_at_pass"), F.col("score").alias("confidence"))
+        new = cut(sure.select("key_image", F.col("amount").alias("real_amount"), F.col("idx").alias("real_output_index"), F.lit(-1).alias("resolved_at_pass"), F.col("score").alias("confidence")), "guesses")  # scored once
         if new.isEmpty():
             break
         guesses = new if guesses is None else guesses.unionByName(new)

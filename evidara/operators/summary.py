@@ -34,8 +34,8 @@ def reduction_categories(result: Cascade) -> DataFrame:
     return done.union(open_).groupBy("category").agg(F.count("*").alias("rings"))
 
 
-def tree_sizes(blocks: DataFrame) -> DataFrame:
-    """Totals over a window of blocks; null where a block's details are missing."""
+def window_totals(blocks: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """by, and totals over the blocks of a window; null where a block's details are missing."""
     incomplete = F.count_if(F.col("detail_status") != "complete")
     total = lambda c: F.when(incomplete == 0, F.sum(c)).alias(c)
-    return blocks.agg(F.count("*").alias("blocks"), (F.max("height") - F.min("height") + 1 == F.count("*")).alias("contiguous"), total("ring_input_count"), total("ring_member_count"))
+    return blocks.groupBy(*(by or [])).agg(F.count("*").alias("blocks"), (F.max("height") - F.min("height") + 1 == F.count("*")).alias("contiguous"), total("ring_input_count"), total("ring_member_count"))

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evidara.functions import variants
-from evidara.operators import audit, baselines, components, features, graph, ranges
+from evidara.operators import audit, baselines, components, features, graph, ranges, summary
 from evidara.operators import cascade as cas
 from evidara.plans.lineage import cut, shared_dir
-from evidara.plans.queries import CASCADE, SPLIT, WITH, _cascade, _parts, query
+from evidara.plans.queries import CASCADE, FRAME, SPLIT, WITH, _cascade, _frame, _parts, query
 from evidara.ringview import rings, table
 from evidara.sources import documents, ingest, sinks, sqlite
 from evidara.streaming import follow, live, pool
@@ -279,3 +279,44 @@ def customer_components(spark: SparkSession, sf: str) -> DataFrame:
     """Components by large and small stars over the whole cluster, whatever the number of edges."""
     edges = table(spark, sf, "orders").select(F.col("o_custkey").alias("a"), ((F.col("o_custkey") * 7 + F.col("o_orderkey") % 3) % 1_000_003).alias("b"))
     return components.stars(edges)
+
+
+@query(FRAME.replace("WITH m AS", "WITH RECURSIVE m AS", 1) + """, bk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY priority, key_image) AS rank FROM (SELECT *, sha256('42:' || stratum || ':' || key_image) AS priority FROM fr WHERE reason IS NULL)) WHERE rank <= 40),
+q AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY rank, stratum, key_image) AS place FROM bk),
+st AS (SELECT CAST(0 AS BIGINT) AS place, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS used, CAST(NULL AS BIGINT) AS key_image UNION ALL SELECT q.place, st.n + ok, st.used + ok * q.candidates, CASE WHEN ok = 1 THEN q.key_image END FROM (SELECT st.*, CASE WHEN st.n < 120 AND st.used + q.candidates <= 401 THEN 1 ELSE 0 END AS ok, st.place + 1 AS next FROM st JOIN q ON q.place = st.place + 1) st JOIN q ON q.place = st.next)
+SELECT key_image, stratum, candidates FROM st JOIN q USING (place, key_image)""")
+def budget_sample(spark: SparkSession, sf: str) -> DataFrame:
+    """Of 40 rings a stratum those that fit 120 rings and 401 candidates, in turns over the strata."""
+    sample = baselines.bottom_k(_frame(spark, sf).where("reason is null"), "stratum", "key_image", 40)
+    return baselines.within_budgets(cut(sample, "sample"), 120, 401).select("key_image", "stratum", "candidates")
+
+
+@query(r"""WITH p AS (SELECT doc_id, 'd' || doc_id || '.md' AS path FROM documents)
+SELECT path, path || '#T' || doc_id % 30 AS id, 'T' || doc_id % 30 AS code, 'T' || doc_id % 30 || ' — first' AS title, doc_id % 2 = 0 AS done FROM p
+UNION ALL SELECT path, path || '#title-' || left(sha256('t' || doc_id % 30 || ' and more'), 16), NULL, 'T' || doc_id % 30 || ' and more', false FROM p""")
+def document_tasks(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document as a page with a task that has a code, one whose title only looks like it, one in a fence, and its text
+    in front matter, which is none."""
+    code = F.concat(F.lit("T"), (F.col("doc_id") % 30).cast("string"))
+    mark = F.when(F.col("doc_id") % 2 == 0, "x").otherwise(" ")
+    head = F.concat(F.lit("---\nsummary: "), F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]+", " "), F.lit("\n- [ ] T1 — none\n---\n"))
+    body = F.concat(head, F.lit("- ["), mark, F.lit("] **"), code, F.lit(" — first** `now`\n\n```\n- [ ] T9 — fenced\n```\n  * [ ] "), code, F.lit(" and [more](a.md)\n- [y] no\n"))
+    pages = table(spark, sf, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), body.alias("content"))
+    return documents.tasks(pages).select("path", "id", "code", "title", "done")
+
+
+@query("""WITH p AS (SELECT doc_id, (doc_id * 7 + 3) % 200 AS other FROM documents) SELECT DISTINCT 'd' || doc_id || '.md' AS path, 'd' || other || '.md' AS target FROM p WHERE doc_id <> other""")
+def document_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document as a page with a link to a page, an image of another, a link outside and one in a fence."""
+    to = lambda n: F.concat(F.lit("(./d"), n.cast("string"), F.lit(".md#top)"))
+    other = (F.col("doc_id") * 7 + 3) % 200
+    body = F.concat(F.lit("# T\n[see]"), to(other), F.lit(" ![pic]"), to(other + 1), F.lit(" [web](https://a.b/c.md)\n~~~\n[no]"), to(other + 2), F.lit("\n~~~\n[]"), to(other + 3))
+    return documents.edges(table(spark, sf, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), body.alias("content")))
+
+
+@query("""SELECT CAST(o_orderkey // 100 AS BIGINT) AS span, count(*) AS blocks, max(o_orderkey) - min(o_orderkey) + 1 = count(*) AS contiguous, CASE WHEN count(*) FILTER (o_custkey % 97 = 0) = 0 THEN CAST(sum(o_custkey % 5) AS BIGINT) END AS ring_input_count, CASE WHEN count(*) FILTER (o_custkey % 97 = 0) = 0 THEN CAST(sum(o_custkey % 5 * 11) AS BIGINT) END AS ring_member_count FROM orders GROUP BY 1""")
+def block_window_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as blocks, in windows of a hundred heights; some lack their details."""
+    c = F.col("o_custkey")
+    rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("height"), F.when(c % 97 == 0, "missing").otherwise("complete").alias("detail_status"), (c % 5).alias("ring_input_count"), (c % 5 * 11).alias("ring_member_count"))
+    return summary.window_totals(rows.withColumn("span", F.floor(F.col("height") / 100)), ["span"])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from evidara.functions import analytics as an
 from evidara.operators import baselines, eras, features, predict
 from evidara.plans import queries
+from evidara.plans.lineage import cut
 from evidara.sources import ingest, sinks
 from evidara.streaming import live, pool
 
@@ -94,11 +95,32 @@ def test_chronological_cutoff_keeps_the_boundary_block_together(spark):
     assert cutoff.first()[0] == 9 and sorted(r.height for r in baselines.split(rows, cutoff).where("part = 'test'").collect()) == [9, 9, 10]
 
 
-def test_sampling_keeps_both_budgets(spark):
-    rows = spark.createDataFrame([(f"ring{i}", "abcd"[i % 4], 3 + i % 4) for i in range(50)], "key string, stratum string, candidates int")
-    sample = baselines.bottom_k(rows, "stratum", "key", 9)
-    first, again = baselines.round_robin(sample, 11, 37), baselines.round_robin(sample, 11, 37)
-    assert first == again and 0 < len(first) <= 11 and sum(r.candidates for r in first) <= 37 and len({r.stratum for r in first[:4]}) == 4
+@pytest.mark.parametrize("per_range", [1_000_000, 7])
+def test_sampling_keeps_both_budgets(spark, monkeypatch, per_range):
+    import random
+
+    monkeypatch.setattr(baselines.ranked, "__defaults__", (per_range, None))
+    r = random.Random(5)
+    for rings, candidates in ((11, 37), (100, 60), (3, 1000), (0, 5), (9, 0)):
+        rows = [(f"ring{i:02d}", "abcd"[i % 4], r.choice([1, 2, 3, 5, 9, 17, 30])) for i in range(60)]
+        sample = cut(baselines.bottom_k(spark.createDataFrame(rows, "key_image string, stratum string, candidates int"), "stratum", "key_image", 9), "sample")
+        want, used = [], 0
+        for row in sorted(sample.collect(), key=lambda x: (x["rank"], x.stratum, x.key_image)):
+            if len(want) < rings and used + row.candidates <= candidates:
+                want.append(row.key_image)
+                used += row.candidates
+        assert sorted(x.key_image for x in baselines.within_budgets(sample, rings, candidates).collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("per_range", [1_000_000, 50])
+def test_ranks_over_a_hot_first_column(spark, per_range):
+    rows = [(0 if i % 10 else i, i * 7 % 1000, None if i % 50 == 0 else i % 3) for i in range(1000)]
+    got = baselines.ranked(spark.createDataFrame(rows, "a int, b int, c int").repartition(5), ["a", "b"], per_range, "b").collect()
+    assert [(x.a, x.b) for x in sorted(got, key=lambda x: x.rank0)] == sorted(x[:2] for x in rows) and {x.total for x in got} == {1000}
+    total = 0
+    for x in sorted(got, key=lambda x: x.rank0):
+        total += x.b
+        assert x.upto == total
 
 
 def test_wilson_and_bins(spark):
