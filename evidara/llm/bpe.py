@@ -31,7 +31,7 @@ SPACES = regex.compile(f"[{SPACE}]+")
 #: Python splits at these too, the vocabulary's library doesn't.
 ODD = regex.compile(r"[\x1c-\x1f]")
 #: Words in each of a worker's two memo generations.
-MEMO = 200_000
+MEMO = 60_000
 
 
 class Codec:
