@@ -11,7 +11,7 @@ from evidara.sources import artifacts, documents
 PAGES = [
     ("index.md", "---\nsummary: start\nstatus: current\n---\n# Home\n[one](notes/index.md) [web](https://x.y/z.md) [one again](notes/index.md#top)\n"),
     ("notes/index.md", "# Notes\n[a](a-page.md) [up](../index.md) [lost](gone.md)\n"),
-    ("notes/a-page.md", "no heading\n- [ ] **B7** do `it` [now](x)\n~~~\n- [x] not this\n[nor](this.md)\n~~~\n- [X] Ｄone   Task\n"),
+    ("notes/a-page.md", "no heading\n- [ ] **B7: later** do `it` [now](x)\n~~~\n- [x] not this\n[nor](this.md)\n~~~\n- [X] Ｄone   Task\n"),
     ("notes/far.md", "# Far\n"),
 ]
 
@@ -35,13 +35,20 @@ def test_nodes_and_edges(pages):
 
 def test_tasks(pages):
     rows = {r.title: r for r in documents.tasks(pages).collect()}
-    assert set(rows) == {"B7", "Ｄone   Task"} and rows["B7"].id == "notes/a-page.md#B7" and rows["Ｄone   Task"].done
+    assert set(rows) == {"B7: later", "Ｄone   Task"} and rows["B7: later"].id == "notes/a-page.md#B7" and rows["Ｄone   Task"].done
     assert rows["Ｄone   Task"].id.endswith("title-" + hashlib.sha256(b"done task").hexdigest()[:16])
     assert documents.ambiguous(documents.tasks(pages).union(documents.tasks(pages))).count() == 2
     found = documents.matching(documents.tasks(pages), " TASK ", done=True)
     assert [r.title for r in found.collect()] == ["Ｄone   Task"] and documents.matching(documents.tasks(pages), "task", done=False).count() == 0
 
 
+def test_codes_need_a_mark_and_images_are_no_links(spark):
+    lines = ["AI2 model card", "T12345 — far", "AB1-x", "X9: y", "ABCDE1: no", "t1: no", "Q2 : z"]
+    pages = spark.createDataFrame([("a.md", "\n".join(f"- [ ] {x}" for x in lines) + "\n![pic](b.md) [see](c.md) [](d.md)")], "path string, content string")
+    assert {r.title: r.code for r in documents.tasks(pages).collect()} == dict(zip(lines, [None, "T12345", "AB1", "X9", None, None, "Q2"], strict=True))
+    assert [tuple(r) for r in documents.edges(pages).collect()] == [("a.md", "c.md")]
+
+
 def test_task_lifecycle(spark):
     snaps = spark.createDataFrame([(1, "t", False), (2, "t", True), (3, "t", False), (3, "u", False), (4, "u", False), (5, "t", False), (5, "u", False)], "seq long, id string, done boolean")
     found = documents.events(snaps)
