@@ -333,3 +333,14 @@ def test_holdout_fits_the_whole_forest(spark, monkeypatch):
     with pytest.raises(InterruptedError):
         queries.QUERIES["rf_holdout"](spark, "/root/testdata/sf0.001")
     assert (asked["numTrees"], asked["maxDepth"]) == (500, 30)
+
+
+def test_forest_keeps_the_nodes_of_rows(spark, monkeypatch):
+    asked, plain = [], predict.RandomForestClassifier
+    rows = spark.range(400).selectExpr("id", "cast(id % 7 as double) as a", "cast(id * 37 % 101 as double) as b", "cast(id % 7 > 3 and id * 37 % 101 > 20 as double) as label")
+
+    def scores(**other):
+        monkeypatch.setattr(predict, "RandomForestClassifier", lambda **params: asked.append(params) or plain(**(params | other)))
+        return [r.score for r in predict.forest(rows, trees=5, names=("a", "b"))(rows).orderBy("id").collect()]
+
+    assert scores() == scores(cacheNodeIds=False) and len(asked) == 2 and all(p["cacheNodeIds"] for p in asked)
