@@ -159,7 +159,7 @@ def predict_rings(store: Store, result: cas.Cascade, members: DataFrame, thresho
     """Scores every candidate of the unresolved rings and stores the run, its records, accepted or not, and all candidates."""
     gone = result.eliminated.select("key_image", "amount", "idx")
     live = members.join(result.resolved.select("key_image"), "key_image", "left_anti").join(gone, ["key_image", "amount", "idx"], "left_anti")
-    known = cut(predict.labelled(features.features(members, store.context()), result.resolved), "labelled")
+    known = cut(predict.known(members, store.context(), result), "labelled")
     if known.select("key_image").distinct().limit(10).count() < 10:
         return {"predictions": 0, "reason": "fewer than ten rings to learn from"}
     scored = cut(predict.forest(known)(features.features(members, store.context(), live)).select("key_image", "amount", "idx", "score"), "scored")

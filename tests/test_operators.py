@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from evidara.functions import analytics as an
 from evidara.operators import baselines, eras, features, predict
+from evidara.operators import cascade as cas
 from evidara.plans import queries
 from evidara.plans.lineage import cut
 from evidara.sources import ingest, sinks
@@ -344,3 +345,19 @@ def test_forest_keeps_the_nodes_of_rows(spark, monkeypatch):
         return [r.score for r in predict.forest(rows, trees=5, names=("a", "b"))(rows).orderBy("id").collect()]
 
     assert scores() == scores(cacheNodeIds=False) and len(asked) == 2 and all(p["cacheNodeIds"] for p in asked)
+
+
+def test_only_known_rings_are_described(spark, monkeypatch):
+    asked, plain = [], predict.features
+    monkeypatch.setattr(predict, "features", lambda *a: asked.append(a[2]) or plain(*a))
+    r = queries.rings(spark, "/root/testdata/sf0.001")
+    result = cas.cascade(r.members, one_task=0)
+    every = sorted(map(tuple, predict.labelled(features.features(r.members, r.context), result.resolved).collect()))
+    for most in (cas.FRONTIER, 0):  # joined with and without a broadcast
+        monkeypatch.setattr(predict, "FRONTIER", most)
+        assert sorted(map(tuple, predict.known(r.members, r.context, result).collect())) == every
+    assert asked[0].count() == asked[1].count() == len(every) < r.members.count()
+    monkeypatch.setattr(cas, "FRONTIER", 0)
+    again = cas.cascade(r.members, one_task=0)
+    for a, b in ((result.resolved, again.resolved), (result.eliminated, again.eliminated)):
+        assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.select(*a.columns).collect()))
